@@ -22,9 +22,9 @@ _FAMILIES = [
     "aggregate_checks",
     "window_checks",
     "sampling_checks",
-    # "function_checks",
-    # "guard_checks",
-    # "retrieval_checks",
+    "function_checks",
+    "guard_checks",
+    "retrieval_checks",
     # "model_checks",
     # "streaming_checks",
     # "job_checks",

@@ -127,18 +127,31 @@ def replace_chain(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)
 
 
+def fixed(x: Column, places: int) -> Column:
+    """Number with a fixed count of decimals, rounded on its exact binary value.
+
+    `format_string('%.2f')` rounds the shortest decimal text instead, which turns
+    49.605 into 49.61 where C and Python print 49.60.
+    """
+    pattern = "0." + "0" * places if places else "0"
+    return F.call_function("format_number", x.cast("double"), F.lit(pattern))
+
+
 def render(template: str, available: Sequence[str], defaults: Mapping[str, object] = TEMPLATE_DEFAULTS) -> Column:
-    """`{name:.2f}` template as a `format_string`; absent or null columns take their default."""
+    """`{name:.2f}` template as a text column; absent or null columns take their default."""
     import string
 
-    fmt, args = "", []
+    parts = []
     for literal, name, spec, _ in string.Formatter().parse(template):
-        fmt += literal.replace("%", "%%")
+        if literal:
+            parts.append(F.lit(literal))
         if name is not None:
-            fmt += f"%{spec}" if spec else "%s"
             value = F.col(name) if name in available else F.lit(None).cast("double" if spec else "string")
-            args.append(F.coalesce(value, F.lit(defaults[name])) if name in defaults else value)
-    return F.format_string(fmt, *args)
+            if name in defaults:
+                value = F.coalesce(value, F.lit(defaults[name]))
+            shown = fixed(value, int(spec[1:-1])) if spec else value.cast("string")
+            parts.append(F.coalesce(shown, F.lit("None")))
+    return F.concat(*parts)
 
 
 def render_by_class(cls: Column, available: Sequence[str], templates: Mapping[str, str] = TEMPLATES) -> Column:
@@ -172,8 +185,8 @@ def map_text(m: Column, indent: str = "  ") -> Column:
 
 
 def percent(x: Column, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", x * 100)
+    return F.concat(fixed(x * 100, places), F.lit("%"))
 
 
 def signed(x: Column, places: int = 3) -> Column:
-    return F.format_string(f"%+.{places}f", x)
+    return F.concat(F.when(x >= 0, "+").otherwise(""), fixed(x, places))
