@@ -25,8 +25,8 @@ _FAMILIES = [
     "function_checks",
     "guard_checks",
     "retrieval_checks",
-    # "model_checks",
-    # "streaming_checks",
+    "model_checks",
+    "streaming_checks",
     # "job_checks",
 ]
 

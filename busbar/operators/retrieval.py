@@ -246,7 +246,7 @@ def _scan_blocks(rows: DataFrame, asks: DataFrame, schema: T.StructType, k: int,
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint"))
     arrow = to_arrow_schema(schema)
 
-    def meet(key, docs: pa.Table, qs: pa.Table) -> pa.Table:
+    def meet(key, docs, qs):
         if docs.num_rows == 0 or qs.num_rows == 0:
             return arrow.empty_table()
         ids = np.asarray(docs.column("doc_id"), dtype=np.int64)
