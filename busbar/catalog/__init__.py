@@ -27,7 +27,7 @@ _FAMILIES = [
     "retrieval_checks",
     "model_checks",
     "streaming_checks",
-    # "job_checks",
+    "job_checks",
 ]
 
 

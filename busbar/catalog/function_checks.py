@@ -74,12 +74,14 @@ def row_sentence(spark, d):
     return rows.select("row_id", tx.render(template, rows.columns).alias("sentence"))
 
 
-def _sql_template(cls: str) -> str:
-    """SQL of one event template over the columns that `tel` provides."""
+TEL_NAMES = {"equipment_type": "equipment", "region": "zone", "transformer_status": "'normal'", "voltage": "v",
+             "current": "i", "power_consumption": "value", "demand_load": "value", "grid_frequency": "freq"}
+
+
+def template_sql(cls: str, names: dict[str, str]) -> str:
+    """SQL of one event template; `names` maps its fields to columns, others show 0."""
     import string
 
-    names = {"equipment_type": "equipment", "region": "zone", "transformer_status": "'normal'", "voltage": "v",
-             "current": "i", "power_consumption": "value", "demand_load": "value", "grid_frequency": "freq"}
     fmt, args = "", []
     for literal, name, spec, _ in string.Formatter().parse(tx.TEMPLATES[cls]):
         fmt += literal.replace("%", "%%").replace("'", "''")
@@ -92,7 +94,7 @@ def _sql_template(cls: str) -> str:
 @query(
     "x08_render_by_class",
     "SELECT reading_id, CASE outage "
-    + " ".join(f"WHEN '{c}' THEN {_sql_template(c)}" for c in tx.TEMPLATES)
+    + " ".join(f"WHEN '{c}' THEN {template_sql(c, TEL_NAMES)}" for c in tx.TEMPLATES)
     + " END AS description FROM (SELECT *, 220 + value / 20 AS v, value / 10 AS i FROM tel)",
     views="tel",
 )
