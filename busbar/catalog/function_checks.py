@@ -184,7 +184,7 @@ def map_text(spark, d):
 def array_slice(spark, d):
     # The three best orders are cut out first, so the list per customer stays short.
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    top = top_per_group(rows, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, salt=["o_orderkey"])
+    top = top_per_group(rows, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
     listed = F.slice(F.sort_array(F.collect_list(F.struct("rank", "o_orderkey"))), 1, 3)
     return top.groupBy("o_custkey").agg(
         F.array_join(F.transform(listed, lambda s: s["o_orderkey"].cast("string")), ",").alias("top_orders"))

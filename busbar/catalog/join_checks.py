@@ -17,9 +17,9 @@ def rankings(spark, d):
     """Two rankings of parts per brand, the ten best of each."""
     part = table(spark, d, "part")
     by_price = top_per_group(part.select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"],
-                             [F.desc("p_retailprice"), F.asc("p_partkey")], 10, salt=["p_partkey"])
+                             [F.desc("p_retailprice"), F.asc("p_partkey")], 10)
     by_size = top_per_group(part.select("p_brand", "p_partkey", "p_size"), ["p_brand"],
-                            [F.desc("p_size"), F.asc("p_partkey")], 10, salt=["p_partkey"])
+                            [F.desc("p_size"), F.asc("p_partkey")], 10)
     cols = ["p_brand AS query_id", "p_partkey AS doc_id", "rank"]
     return by_price.selectExpr(*cols), by_size.selectExpr(*cols)
 

@@ -61,7 +61,7 @@ def head_tail(spark, d):
 def top_k_per_query(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
-    return sampling.top_per_group(rows, ["l_suppkey"], order, 20, salt=["l_orderkey"]).drop("l_partkey")
+    return sampling.top_per_group(rows, ["l_suppkey"], order, 20).drop("l_partkey")
 
 
 @query(

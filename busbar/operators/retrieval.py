@@ -117,7 +117,7 @@ def bm25_search(
         .agg(F.round(F.sum(part), 6).alias("score"))
     )
     order = [F.desc("score"), F.asc("doc_id")]
-    hits = top_per_group(scored, ["query_id"], order, k, salt=["doc_id"])
+    hits = top_per_group(scored, ["query_id"], order, k)
     if not pad:
         return hits
     # The first 2k ids hold at least k documents that a query with fewer than k hits missed.
@@ -126,7 +126,7 @@ def bm25_search(
     zeros = queries.select(F.col(query_id).alias("query_id"), F.explode(ids).alias("doc_id"))
     zeros = zeros.join(hits, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     both = hits.select("query_id", "doc_id", "score").unionByName(zeros)
-    return top_per_group(both, ["query_id"], order, k, salt=["doc_id"])
+    return top_per_group(both, ["query_id"], order, k)
 
 
 def embedder(df: DataFrame, text: str, dims: int = 256) -> PipelineModel:
@@ -199,7 +199,7 @@ def vector_search(
         partial = _scan_broadcast(rows, head, schema, k)
     else:
         partial = _scan_blocks(rows, asks, schema, k, len(head[0]["q"]))
-    return top_per_group(partial, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, salt=["doc_id"])
+    return top_per_group(partial, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def _scan_broadcast(rows: DataFrame, head, schema: T.StructType, k: int) -> DataFrame:
@@ -283,7 +283,7 @@ def rrf_fuse(lists: Sequence[DataFrame], k_rrf: int = RRF_K, final_k: int = 20)
     fused = both.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.lit(1.0) / (F.lit(k_rrf) + F.col("rank"))), 6).alias("rrf_score")
     )
-    return top_per_group(fused, ["query_id"], [F.desc("rrf_score"), F.asc("doc_id")], final_k, salt=["doc_id"])
+    return top_per_group(fused, ["query_id"], [F.desc("rrf_score"), F.asc("doc_id")], final_k)
 
 
 def coverage(question: Column, text: Column) -> Column:
@@ -300,7 +300,7 @@ def rerank(cands: DataFrame, scorer: Column | None, k: int = 5) -> DataFrame:
     else:
         scored = first.withColumn("rerank_score", F.round(scorer, 4))
     order = [F.desc_nulls_last("rerank_score"), F.asc("first_rank"), F.asc("doc_id")]
-    return top_per_group(scored, ["query_id"], order, k, salt=["doc_id"])
+    return top_per_group(scored, ["query_id"], order, k)
 
 
 def hybrid_search(
@@ -341,7 +341,7 @@ def merge_hits(exact: DataFrame, semantic: DataFrame, lexical: DataFrame, total:
     first = both.groupBy("query_id", "doc_id").agg(F.min(F.struct("src", "rank")).alias("_m"))
     flat = first.select("query_id", "doc_id", "_m.src", F.col("_m.rank").alias("src_rank"))
     order = [F.asc("src"), F.asc("src_rank"), F.asc("doc_id")]
-    return top_per_group(flat, ["query_id"], order, total, name="place", salt=["doc_id"])
+    return top_per_group(flat, ["query_id"], order, total, name="place")
 
 
 def cache_lookup(

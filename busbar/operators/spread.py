@@ -97,7 +97,10 @@ def fill_gaps(
     rows = chunk(df, keys, order)
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
     to_here = inside.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = inside.rowsBetween(0, Window.unboundedFollowing)
+    # Backwards as a running frame over the reversed order: a frame that ends at
+    # "unbounded following" is evaluated anew for every row.
+    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_pos"))
+    from_here = back.rowsBetween(Window.unboundedPreceding, 0)
     aggs = []
     for c in cols:
         known = F.when(F.col(c).isNotNull(), F.col("_pos"))
@@ -105,14 +108,15 @@ def fill_gaps(
     ends = rows.groupBy(*keys, "_chunk").agg(*aggs)
     chunks = Window.partitionBy(*keys).orderBy("_chunk")
     past = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    future = chunks.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_chunk"))
+    future = later.rowsBetween(Window.unboundedPreceding, -1)
     carried = []
     for c in cols:
         if forward:
             ends = ends.withColumn(f"_prev_{c}", F.last(f"_last_{c}", ignorenulls=True).over(past))
             carried.append(f"_prev_{c}")
         if backward:
-            ends = ends.withColumn(f"_next_{c}", F.first(f"_first_{c}", ignorenulls=True).over(future))
+            ends = ends.withColumn(f"_next_{c}", F.last(f"_first_{c}", ignorenulls=True).over(future))
             carried.append(f"_next_{c}")
     # Only chunks that continue a group from (or into) another chunk keep a row.
     ends = ends.filter(reduce(or_, [F.col(c).isNotNull() for c in carried]))
@@ -122,7 +126,7 @@ def fill_gaps(
         if forward:
             local[f"_f_{c}"] = F.last(c, ignorenulls=True).over(to_here)
         if backward:
-            local[f"_b_{c}"] = F.first(c, ignorenulls=True).over(from_here)
+            local[f"_b_{c}"] = F.last(c, ignorenulls=True).over(from_here)
     out = _attach(out.withColumns(local), ends, keys, carried)
     for c in cols:
         picks = []
@@ -191,16 +195,17 @@ def top_per_group(
     order: Sequence[Column],
     n: int,
     name: str = "rank",
-    salt: Sequence[str] | None = None,
     salts: int = 32,
 ) -> DataFrame:
     """First `n` rows of each group under a total order.
 
-    Salted first cut, then the final one: each stage keeps at most `n` rows per
-    (group, salt), so a hot group never arrives whole at one task.
+    Two cuts. Before the first shuffle every task already drops all but its own
+    best `n` rows of a group; those meet by (group, salt), the salt being the
+    task's number, so the survivors of a hot group are spread over `salts`
+    tasks and only `n * salts` of its rows reach the final cut. Any assignment
+    of salts gives the same result.
     """
-    spread_on = list(salt or [c for c in df.columns if c not in keys])
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     cut = salted.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
     final = Window.partitionBy(*keys).orderBy(*order)

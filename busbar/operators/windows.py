@@ -27,11 +27,11 @@ def block_fill(df: DataFrame, order: Sequence[str], cols: Sequence[str], block:
     A block is one window group, so no task holds more than `block` rows of it.
     """
     ranked = global_rank(df, order, "_row").withColumn("_block", F.floor((F.col("_row") - 1) / block))
-    w = Window.partitionBy("_block").orderBy("_row")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    future = w.rowsBetween(0, Window.unboundedFollowing)
+    # Two running frames, one per direction; both are linear in the block's rows.
+    past = Window.partitionBy("_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy("_block").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
-        c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(future)) for c in cols
+        c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.last(c, ignorenulls=True).over(future)) for c in cols
     }
     return ranked.withColumns(filled).select(*df.columns)
 
@@ -51,7 +51,7 @@ def spread_timestamps(
 
 def last_n(df: DataFrame, keys: Sequence[str], ts: str, tie: str, n: int = 500) -> DataFrame:
     """The newest `n` rows per key; `age_rank` 1 is the newest."""
-    return top_per_group(df, keys, [F.desc(ts), F.desc(tie)], n, name="age_rank", salt=[tie])
+    return top_per_group(df, keys, [F.desc(ts), F.desc(tie)], n, name="age_rank")
 
 
 def last_hours(df: DataFrame, keys: Sequence[str], ts: str, hours: int = 24) -> DataFrame:

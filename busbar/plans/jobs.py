@@ -182,7 +182,7 @@ def assess_stability(
     drivers = attribution.explain_top_k(scored.select(tie, *features), tie, classifier, features, 5)
     state = window.groupBy(*keys).agg(rules.frequency_state(F.avg(freq)).alias("grid_freq_status"))
     marked = forest.score_forest(window, iso, tie).filter("is_anomaly").join(window.select(tie, *keys), tie)
-    worst = sampling.top_per_group(marked, keys, [F.asc("anomaly_score"), F.asc(tie)], flags, salt=[tie])
+    worst = sampling.top_per_group(marked, keys, [F.asc("anomaly_score"), F.asc(tie)], flags)
     # At most `flags` entries per zone are listed.
     listed = worst.groupBy(*keys).agg(
         F.count("*").alias("anomaly_count"), F.sort_array(F.collect_list(F.struct("anomaly_score", tie))).alias("anomaly_flags"))
