@@ -86,13 +86,12 @@ def missing_ids(spark, d):
 def terms_join_postings(spark, d):
     index = retrieval.bm25_index(corpus(spark, d), "doc_id", ["text", "region", "equipment", "severity"])
     # Postings are combined per term first, so a frequent term joins as one row.
-    terms = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    return retrieval.query_terms(qset(spark, d), "query_id", "text").join(terms, "term")
+    return retrieval.query_terms(qset(spark, d), "query_id", "text").join(index.terms, "term")
 
 
 @query(
     "j05_vectors_by_query",
-    """SELECT query_id, doc_id, round(s, 4) AS score FROM (SELECT query_id, vec_id AS doc_id,
+    """SELECT query_id, doc_id, s AS score FROM (SELECT query_id, vec_id AS doc_id,
        round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS s, row_number() OVER (PARTITION BY query_id
        ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) DESC, vec_id) AS rank FROM embeddings, cent)
        WHERE rank <= 50""",
@@ -102,7 +101,7 @@ def vectors_by_query(spark, d):
     vectors = vec(spark, d)
     hits = retrieval.vector_search(vectors, "vec_id", "embedding", retrieval.centroids(vectors, "label", "embedding"),
                                    "query_id", "qv", k=50)
-    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return hits.select("query_id", "doc_id", "score")
 
 
 @query(

@@ -40,15 +40,15 @@ def bm25_index(spark, d):
     return index(spark, d).postings.select("doc_id", "term", "tf")
 
 
-@query("r02_bm25_search", "SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm", views="corpus qset", ctes=BM25_SQL)
+@query("r02_bm25_search", "SELECT query_id, doc_id, score, rank FROM bm", views="corpus qset", ctes=BM25_SQL)
 def bm25_search(spark, d):
     hits = retrieval.bm25_search(index(spark, d), qset(spark, d), "query_id", "text", 20)
-    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "doc_id", "score", "rank")
 
 
 @query(
     "r02_bm25_search_padded",
-    """SELECT query_id, doc_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id
+    """SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id
        ORDER BY score DESC, doc_id) AS INT) AS rank FROM (SELECT q.query_id, c.doc_id, coalesce(score, 0.0) AS score
        FROM qset q CROSS JOIN len c LEFT JOIN sc ON sc.query_id = q.query_id AND sc.doc_id = c.doc_id)
        QUALIFY rank <= 20""",
@@ -57,7 +57,7 @@ def bm25_search(spark, d):
 )
 def bm25_search_padded(spark, d):
     hits = retrieval.bm25_search(index(spark, d), qset(spark, d), "query_id", "text", 20, pad=True)
-    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "doc_id", "score", "rank")
 
 
 @query("r03_embed")
@@ -73,13 +73,13 @@ VEC_SQL = """SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(emb
     vec_id) AS INT) AS rank FROM embeddings, cent"""
 
 
-@query("r04_vector_search", f"SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ({VEC_SQL} WHERE label = 3 QUALIFY rank <= 10)",
+@query("r04_vector_search", f"SELECT query_id, doc_id, score, rank FROM ({VEC_SQL} WHERE label = 3 QUALIFY rank <= 10)",
        ctes=CENTROIDS_SQL)
 def vector_search(spark, d):
     vectors = vec(spark, d)
     hits = retrieval.vector_search(vectors, "vec_id", "embedding", retrieval.centroids(vectors, "label", "embedding"),
                                    "query_id", "qv", 10, filters={"label": 3})
-    return hits.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return hits.select("query_id", "doc_id", "score", "rank")
 
 
 @query(

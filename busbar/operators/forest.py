@@ -127,13 +127,30 @@ def fit_forest(
     return forest
 
 
+def _pack(trees: list[list[tuple]]) -> tuple[list[tuple], int]:
+    """Arrays per tree; a leaf leads to itself, so every walk takes the same number of steps."""
+    packed, deepest = [], 0
+    for nodes in trees:
+        feature, threshold, lo, hi, path = (np.array(col) for col in zip(*nodes))
+        leaf = feature < 0
+        me = np.arange(len(feature))
+        child = np.empty(2 * len(feature), dtype=np.int32)
+        child[0::2], child[1::2] = np.where(leaf, me, lo), np.where(leaf, me, hi)
+        level = np.zeros(len(feature), dtype=np.int64)
+        for i in np.flatnonzero(~leaf):  # a parent is stored before its children
+            level[[lo[i], hi[i]]] = level[i] + 1
+        deepest = max(deepest, int(level.max()))
+        packed.append((np.maximum(feature, 0).astype(np.int32), np.where(leaf, np.inf, threshold), child, path))
+    return packed, deepest
+
+
 def raw_scores(df: DataFrame, forest: IsolationForest, key: str) -> DataFrame:
     """`key` and `_score` in (-1, 0): minus two to the power of minus the scaled path length."""
     spark: SparkSession = df.sparkSession
     trees: dict[int, list] = {}
     for r in forest.nodes.orderBy("tree", "node").collect():  # at most 2 * psi nodes per tree
         trees.setdefault(r["tree"], []).append((r["feature"], r["threshold"], r["lo"], r["hi"], r["path"]))
-    packed = [tuple(np.array(col) for col in zip(*nodes)) for nodes in trees.values()]
+    packed, depth = _pack(list(trees.values()))
     scale = float(expected_path(forest.sample_size)) or 1.0
     shared = spark.sparkContext.broadcast(packed)
     cols = forest.features
@@ -146,18 +163,15 @@ def raw_scores(df: DataFrame, forest: IsolationForest, key: str) -> DataFrame:
             n = batch.num_rows
             if n == 0:
                 continue
-            x = np.column_stack([np.asarray(batch.column(i + 1)) for i in range(len(cols))])
-            at_row = np.arange(n)
+            x = np.column_stack([np.asarray(batch.column(i + 1)) for i in range(len(cols))]).ravel()
+            first = np.arange(0, n * len(cols), len(cols), dtype=np.int32)
             total = np.zeros(n)
-            for feature, threshold, lo, hi, path in shared.value:
-                node = np.zeros(n, dtype=np.int64)
-                live = feature[node] >= 0
-                while live.any():
-                    f = feature[node]
-                    go_left = x[at_row, np.maximum(f, 0)] <= threshold[node]
-                    node = np.where(live, np.where(go_left, lo[node], hi[node]), node)
-                    live = feature[node] >= 0
-                total += path[node]
+            for feature, threshold, child, path in shared.value:
+                node = np.zeros(n, dtype=np.int32)
+                for _ in range(depth):
+                    right = x.take(first + feature.take(node)) > threshold.take(node)
+                    node = child.take(2 * node + right)
+                total += path.take(node)
             score = -np.exp2(-(total / len(shared.value)) / scale)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], schema=arrow)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def extract_ids(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """Distinct upper-cased ids named in each text."""
     ids = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.upper))
-    return df.select(key, F.explode(ids).alias("asked_id"))
+    # Outer, so that no filter on the id count is pushed down and the pattern runs once per text.
+    return df.select(key, F.explode_outer(ids).alias("asked_id")).filter("asked_id IS NOT NULL")
 
 
 def lookup_ids(asked: DataFrame, table: DataFrame, id_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -47,36 +48,47 @@ class Bm25Index:
         return self.terms
 
     def statistics(self) -> DataFrame:
-        return self.docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_len"))
+        """Document count and mean length; a document without a token counts with length 0."""
+        total = self.postings.agg(F.sum("tf").alias("t")).scalar()
+        return self.docs.agg(F.count("*").alias("n_docs"), (total / F.count("*")).alias("avg_len"))
 
 
 def bm25_index(df: DataFrame, id_col: str, text_cols: Sequence[str]) -> Bm25Index:
     """Build the index once and keep it in the shared folder.
 
+    The plain text is shuffled by document and split into terms afterwards.
     Postings are bucketed by document, so scoring groups by document without
     moving them, and a term that occurs everywhere is never a shuffle key.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).alias("doc_id"), tokens(F.concat_ws(" ", *text_cols)).alias("toks"))
-    by_doc = docs.repartition(n, "doc_id").withColumn("dl", F.size("toks"))
+    text = F.concat_ws(" ", *text_cols).alias("text")
+    by_doc = df.select(F.col(id_col).alias("doc_id"), text).repartition(n, "doc_id")
+    toks = by_doc.select("doc_id", tokens(F.col("text")).alias("toks"))
+    # `explode` would make the optimizer push a filter on the token count below the
+    # shuffle, and every text would be split twice; `explode_outer` does not.
     # One document's terms are all in one task already: this groupBy adds no exchange.
-    postings = by_doc.select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("doc_id", "dl", "term").agg(
-        F.count("*").alias("tf")
+    postings = (
+        toks.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+        .filter("term IS NOT NULL")
+        .groupBy("doc_id", "dl", "term")
+        .agg(F.count("*").alias("tf"))
     )
-    name = f"postings_{abs(hash(work_path(spark, 'p'))):x}"
+    name = f"postings_{uuid.uuid4().hex}"
     postings.write.bucketBy(n, "doc_id").option("path", work_path(spark, "postings")).saveAsTable(name)
     stored = spark.table(name)
-    lengths = materialize(docs.select("doc_id", F.size("toks").alias("dl")), "lengths")
-    terms = materialize(stored.groupBy("term").agg(F.count("*").alias("df")), "terms")
-    row = lengths.agg(F.count("*"), F.avg("dl")).first()
-    return Bm25Index(stored, terms, lengths, row[0], row[1] or 0.0)
+    terms = materialize(stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")), "terms")
+    docs = df.select(F.col(id_col).alias("doc_id"))
+    n_docs = docs.count()
+    total = terms.agg(F.sum("ctf")).first()[0] or 0
+    return Bm25Index(stored, terms, docs, n_docs, total / n_docs if n_docs else 0.0)
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     """Distinct terms per query with their repeat count."""
     return (
-        queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term"))
+        queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(F.col(text))).alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -236,14 +248,18 @@ def _scan_broadcast(rows: DataFrame, head, schema: T.StructType, k: int) -> Data
     return rows.filter(F.size("v") == dim).mapInArrow(scan, schema)
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _scan_blocks(rows: DataFrame, asks: DataFrame, schema: T.StructType, k: int, dim: int) -> DataFrame:
     n_rows, n_asks = rows.count(), asks.count()
     parts = max(1, math.ceil(n_rows / ROW_BLOCK))
     blocks = max(1, math.ceil(n_asks / QUERY_BLOCK))
     left = rows.filter(F.size("v") == dim).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    left = left.withColumn("block", F.explode(_numbers(blocks)))
     right = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint"))
+    right = right.withColumn("part", F.explode(_numbers(parts)))
     arrow = to_arrow_schema(schema)
 
     def meet(key, docs, qs):
@@ -318,8 +334,10 @@ def hybrid_search(
             Bm25Index(index.postings.join(allowed, "doc_id", "left_semi"), index.terms, index.docs, index.n_docs,
                       index.avg_len), queries, "query_id", "text", candidate_k)
     vectors = embed(model, corpus, "text")
-    semantic = vector_search(vectors, "doc_id", "vec", embed(model, queries, "text"), "query_id", "vec",
-                             candidate_k, filters)
+    asked = embed(model, queries.select("query_id", "text"), "text")
+    # Used twice below; it holds at most candidate_k rows per query.
+    semantic = materialize(
+        vector_search(vectors, "doc_id", "vec", asked, "query_id", "vec", candidate_k, filters), "semantic")
     fused = rrf_fuse([lexical, semantic], final_k=candidate_k)
     # At most candidate_k rows per query are joined with their texts and cosine.
     cands = (

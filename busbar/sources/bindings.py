@@ -23,6 +23,8 @@ OUTAGES = [
     "renewable_variability",
 ]
 
+SPLIT_BYTES = 128 << 20
+
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -30,6 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for work that is heavy per row.
+
+    One small file is one split, and one task would do all of it, so such a file
+    is dealt out to all cores. A table of many or large files is left as it is.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    if status.isFile() and status.getLen() < cores * SPLIT_BYTES:
+        return rows.repartition(cores)
+    return rows
+
+
 def tel(spark: SparkSession, d: str) -> DataFrame:
     """Telemetry readings per zone."""
     outages = ",".join(f"'{o}'" for o in OUTAGES)
@@ -58,7 +75,7 @@ def met(spark: SparkSession, d: str) -> DataFrame:
 
 def feat(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows for the models."""
-    return table(spark, d, "lineitem").selectExpr(
+    return spread_table(spark, d, "lineitem").selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) AS row_id",
         *FEATURES,
         "l_returnflag = 'R' AS unstable",
@@ -69,7 +86,7 @@ def feat(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Incident reports with their dimensions."""
-    docs = table(spark, d, "documents")
+    docs = spread_table(spark, d, "documents")
     return docs.join(table(spark, d, "labels"), "doc_id", "left").selectExpr(
         "doc_id",
         "text",
