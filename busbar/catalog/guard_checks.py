@@ -111,10 +111,10 @@ def greeting(spark, d):
     return chat(spark, d).select("conv_id", "turn", guard.is_greeting(F.col("text")).alias("greeting"))
 
 
-ASKED = """SELECT doc_id, concat('Find ', severity, ' incidents for the ', CASE WHEN doc_id % 3 = 0 THEN 'smart meter bank'
+QUESTION = """concat('Find ', severity, ' incidents for the ', CASE WHEN doc_id % 3 = 0 THEN 'smart meter bank'
     WHEN doc_id % 3 = 1 THEN 'transmission_line' ELSE 'Transformer' END, ' in zone', CASE WHEN doc_id % 2 = 0 THEN '_'
     ELSE ' ' END, CASE region WHEN 'en' THEN 'a' WHEN 'de' THEN 'B' WHEN 'fr' THEN 'c' ELSE 'x' END, ', seen from ',
-    equipment) AS question FROM corpus"""
+    equipment)"""
 
 
 @query(
@@ -122,12 +122,12 @@ ASKED = """SELECT doc_id, concat('Find ', severity, ' incidents for the ', CASE
     f"""SELECT doc_id, CASE WHEN z <> '' THEN 'Zone_' || z END AS region,
         {first_sql('question', guard.SEVERITY_WORDS)} AS severity,
         {first_sql('question', guard.EQUIPMENT_WORDS, True)} AS equipment
-        FROM (SELECT *, upper(regexp_extract(question, {_lit('(?i)' + guard.ZONE)}, 1)) AS z FROM ({ASKED}))""",
+        FROM (SELECT *, upper(regexp_extract(question, {_lit('(?i)' + guard.ZONE)}, 1)) AS z
+        FROM (SELECT doc_id, {QUESTION} AS question FROM corpus))""",
     views="corpus",
 )
 def extract_filters(spark, d):
-    corpus(spark, d).createOrReplaceTempView("busbar_g08_corpus")
-    rows = spark.sql(ASKED.replace("FROM corpus", "FROM busbar_g08_corpus"))
+    rows = corpus(spark, d).select("doc_id", F.expr(QUESTION).alias("question"))
     return rows.select("doc_id", *[c.alias(n) for n, c in guard.extract_filters(F.col("question")).items()])
 
 

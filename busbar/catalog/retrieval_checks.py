@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 
 from ..operators import retrieval
-from ..operators.guard import passes_gate, evidence_score, answer_rubric
+from ..operators.joins import join_measured
+from ..session import materialize
+from ..operators.guard import answer_rubric, evidence_score, passes_gate
 from ..operators.spread import top_per_group
 from ..sources.bindings import corpus, fb, pairs, qset, vec
 from . import query
@@ -105,8 +107,8 @@ def rrf_fuse(spark, d):
 )
 def rerank(spark, d):
     hits = retrieval.bm25_search(index(spark, d), qset(spark, d), "query_id", "text", 20)
-    cands = hits.join(qset(spark, d).withColumnRenamed("text", "question"), "query_id").join(
-        corpus(spark, d).select("doc_id", "text"), "doc_id")
+    asked = materialize(hits.join(qset(spark, d).withColumnRenamed("text", "question"), "query_id"), "hits")
+    cands = join_measured(corpus(spark, d).select("doc_id", "text"), asked, "doc_id")
     out = retrieval.rerank(cands, retrieval.coverage(F.col("question"), F.col("text")), 5)
     return out.select("query_id", "doc_id", "rerank_score", F.col("rank").alias("final_rank"))
 

@@ -47,7 +47,7 @@ def band_counts(col: str, low: float = 220.0, high: float = 250.0) -> list[Colum
 
 def demand_statistics(df: DataFrame, col: str, peak_q: float = 0.95) -> DataFrame:
     """Mean, maximum, minimum, deviation, and the rows above the peak quantile."""
-    peak = exact_quantiles(df, col, {"q": peak_q}).scalar()
+    peak = F.lit(exact_quantiles(df.select(col), col, {"q": peak_q}).first()["q"])
     return df.agg(
         F.count(col).alias("n"), F.avg(col).alias("mean_kw"), F.max(col).alias("max_kw"), F.min(col).alias("min_kw"),
         F.stddev_samp(col).alias("std_kw"), F.count_if(F.col(col) > peak).alias("peak_events"),

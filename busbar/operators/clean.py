@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,16 +103,16 @@ def filter_region(df: DataFrame, region: str | None, col: str = "zone") -> DataF
 def filter_quantile(df: DataFrame, col: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Rows at or below quantile `lo`, or at or above quantile `hi` (either may be absent).
 
-    The bounds are scalar subqueries over a one-row result; nothing is joined.
+    The bounds are one row and become literals, so the comparison reaches the scan.
     """
     qs = {n: q for n, q in (("lo", lo), ("hi", hi)) if q is not None}
-    bounds = exact_quantiles(df, col, qs)
-    cond = F.lit(False)
+    bounds = exact_quantiles(df, col, qs).first()
+    conds = []
     if lo is not None:
-        cond = cond | (F.col(col) <= bounds.select("lo").scalar())
+        conds.append(F.col(col) <= F.lit(bounds["lo"]))
     if hi is not None:
-        cond = cond | (F.col(col) >= bounds.select("hi").scalar())
-    return df.filter(cond)
+        conds.append(F.col(col) >= F.lit(bounds["hi"]))
+    return df.filter(reduce(or_, conds)) if conds else df
 
 
 def filter_or_all(df: DataFrame, cond: Column) -> DataFrame:

@@ -9,6 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000
+
+
+def join_measured(big: DataFrame, small: DataFrame, on: str | list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a large table with a stored one that is probably small.
+
+    The stored side is counted (up to `rows`) first. If it is small it is
+    broadcast and the large table is scanned where it lies; otherwise both are
+    shuffled, and adaptive execution splits the partitions of hot keys.
+    """
+    fits = small.limit(rows + 1).count() <= rows
+    return big.join(F.broadcast(small) if fits else small, on)
+
 
 def extract_ids(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """Distinct upper-cased ids named in each text."""

@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.text import tokens
 from ..session import materialize, work_path
 from .clean import filter_meta
+from .joins import join_measured
 from .sampling import upsert
 from .spread import top_per_group
 
@@ -340,9 +341,9 @@ def hybrid_search(
         vector_search(vectors, "doc_id", "vec", asked, "query_id", "vec", candidate_k, filters), "semantic")
     fused = rrf_fuse([lexical, semantic], final_k=candidate_k)
     # At most candidate_k rows per query are joined with their texts and cosine.
+    asked_for = materialize(fused.join(queries.select("query_id", F.col("text").alias("question")), "query_id"), "fused")
     cands = (
-        fused.join(queries.select("query_id", F.col("text").alias("question")), "query_id")
-        .join(corpus.select("doc_id", "text"), "doc_id")
+        join_measured(corpus.select("doc_id", "text"), asked_for, "doc_id")
         .join(semantic.select("query_id", "doc_id", F.col("score").alias("cosine")), ["query_id", "doc_id"], "left")
     )
     scorer = coverage(F.col("question"), F.col("text")) + F.coalesce("cosine", F.lit(0.0))

@@ -54,8 +54,8 @@ def lookup(df: DataFrame, key: str, mapping: Mapping[str, str], out: str) -> Dat
 def equipment_class(df: DataFrame, reaction: str, elasticity: Column, margin: Column, out: str = "equipment_class"):
     """First match of: slow reaction, high elasticity, near-zero margin; else a distribution unit."""
     with_el = df.withColumn("_el", elasticity)
-    r75 = exact_quantiles(with_el, reaction, {"q": 0.75}).select("q").scalar()
-    e75 = exact_quantiles(with_el, "_el", {"q": 0.75}).select("q").scalar()
+    r75 = F.lit(exact_quantiles(with_el.select(reaction), reaction, {"q": 0.75}).first()["q"])
+    e75 = F.lit(exact_quantiles(with_el.select("_el"), "_el", {"q": 0.75}).first()["q"])
     rule = (
         F.when(F.col(reaction) >= r75, "transformer")
         .when(F.col("_el") >= e75, "smart_meter_bank")

@@ -74,7 +74,8 @@ def quota_sample(df: DataFrame, stratum: str, key: str, quotas: Mapping[str, int
     wanted = F.explode(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]))
     table = df.sparkSession.range(1).select(wanted.alias(stratum, "_quota"))
     order = [hash_key(F.col(key), seed), F.col(key)]
-    cut = top_per_group(df, [stratum], order, max(quotas.values()), name="_rn")
+    wanted_rows = df.filter(F.col(stratum).isin(list(quotas)))
+    cut = top_per_group(wanted_rows, [stratum], order, max(quotas.values()), name="_rn")
     return cut.join(F.broadcast(table), stratum).filter("_rn <= _quota").drop("_rn", "_quota")
 
 

@@ -16,6 +16,7 @@ from ..functions.hashing import gaussian, hash_key, uniform, weighted_choice
 from ..functions.text import fixed, render_by_class
 from ..operators import aggregates as agg
 from ..operators import attribution, clean, forest, joins, rules, sampling, stability, windows
+from ..session import materialize
 from ..sources.files import write_once
 
 # Names and constants of the enriched tables.
@@ -220,7 +221,7 @@ def analyse_meters(df: DataFrame, power: str, anomalies: DataFrame | None = None
 def cross_domain_report(stability_part: DataFrame, meters: DataFrame, hits: DataFrame, corpus: DataFrame,
                         zone: str = "zone") -> DataFrame:
     """Stability, meters and retrieved incidents side by side per zone."""
-    found = hits.join(corpus, "doc_id").groupBy(zone).agg(
+    found = joins.join_measured(corpus, materialize(hits, "hits"), "doc_id").groupBy(zone).agg(
         F.count("*").alias("incidents_found"), F.countDistinct("query_id").alias("queries_served"))
     return joins.side_by_side([stability_part, meters, found], zone)
 

@@ -33,10 +33,11 @@ def scan_delimited(
     )
 
 
-def scan_splits(spark: SparkSession, path: str, max_bytes: int = 128 << 20) -> DataFrame:
-    """A file of any size, cut into splits of `max_bytes` that are read in parallel."""
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_bytes))
-    return spark.read.parquet(path)
+def scan_splits(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of any size: Spark cuts the files into splits (`spark.sql.files.maxPartitionBytes`)
+    and streams them through the tasks, so no chunk loop is needed."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def scan_available(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
