@@ -104,7 +104,7 @@ def qset(spark: SparkSession, d: str) -> DataFrame:
 
 def chat(spark: SparkSession, d: str) -> DataFrame:
     """All turns: users ask, assistants answer."""
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return spread_table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
