@@ -1,7 +1,5 @@
 """Models: scaling, boosted trees, isolation forest, contributions."""
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..operators import attribution, forest, stability
@@ -19,32 +17,32 @@ def labelled(spark, d):
     return feat(spark, d).select("row_id", *FEATURES, "unstable", "grp", "ts", margin)
 
 
-@lru_cache(maxsize=4)
-def _models(app: str, d: str):
-    from pyspark.sql import SparkSession
+# Fitted once per session and input, and shared by the queries below.
+_fitted: dict[tuple[str, str, str], object] = {}
 
-    spark = SparkSession.active()
-    parts = materialize(stratified_split(labelled(spark, d), "unstable", "row_id"), "split")
-    train = parts.filter("part = 'train'")
-    cls = stability.fit_classifier(train, FEATURES, "unstable", trees=TREES, depth=DEPTH)
-    reg = stability.fit_regressor(train, FEATURES, "margin", trees=TREES, depth=DEPTH)
-    return parts, cls, reg
 
+def _once(kind, spark, d, build):
+    key = (kind, spark.sparkContext.applicationId, d)
+    if key not in _fitted:
+        _fitted[key] = build()
+    return _fitted[key]
 
-def models(spark, d):
-    """The split and both models, trained once per session and input."""
-    return _models(spark.sparkContext.applicationId, d)
 
+def models(spark, d):
+    """The split rows, the classifier and the regressor."""
 
-@lru_cache(maxsize=4)
-def _forest(app: str, d: str):
-    from pyspark.sql import SparkSession
+    def build():
+        parts = materialize(stratified_split(labelled(spark, d), "unstable", "row_id"), "split")
+        train = parts.filter("part = 'train'")
+        cls = stability.fit_classifier(train, FEATURES, "unstable", trees=TREES, depth=DEPTH)
+        reg = stability.fit_regressor(train, FEATURES, "margin", trees=TREES, depth=DEPTH)
+        return parts, cls, reg
 
-    return forest.fit_forest(labelled(SparkSession.active(), d), "row_id", FEATURES)
+    return _once("models", spark, d, build)
 
 
 def fitted_forest(spark, d):
-    return _forest(spark.sparkContext.applicationId, d)
+    return _once("forest", spark, d, lambda: forest.fit_forest(labelled(spark, d), "row_id", FEATURES))
 
 
 @query(
