@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 import zlib
@@ -106,15 +107,13 @@ class SharedFolder:
     def __reduce__(self):
         return SharedFolder, (self.uri,)
 
-    def write(self, name: str, parts: Iterator[bytes]) -> int:
+    @contextlib.contextmanager
+    def create(self, name: str):
         self.files.create_dir(self.root, recursive=True)
-        draft, n = f"{self.root}/.{name}.{uuid.uuid4().hex}", 0
+        draft = f"{self.root}/.{name}.{uuid.uuid4().hex}"
         with self.files.open_output_stream(draft) as out:
-            for part in parts:
-                out.write(part)
-                n += len(part)
+            yield out
         self.files.move(draft, f"{self.root}/{name}")
-        return n
 
     def open(self, name: str):
         return self.files.open_input_file(f"{self.root}/{name}")
@@ -125,6 +124,12 @@ class SharedFolder:
         return path if isinstance(self.files, fs.LocalFileSystem) and os.path.exists(path) else None
 
 
+def spread_files(manifest: DataFrame) -> DataFrame:
+    """A stored list of files, a few per task."""
+    spark = manifest.sparkSession
+    return manifest.repartition(max(1, min(manifest.count(), 8 * spark.sparkContext.defaultParallelism)))
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)
