@@ -13,9 +13,13 @@ offsets and unpacked with a few numpy operations, whatever the width.
 
 from __future__ import annotations
 
+import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ BLOCK_IDS = 4096
 #: A file is closed once it has this many ids.
 FILE_IDS = 4 << 20
 #: Pieces of text whose ids a worker remembers, for each of its two tables.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -115,47 +119,92 @@ class TokenFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: Marks that a word may end in; an apostrophe may join what follows it.
+MARKS = string.punctuation.replace("'", "")
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, each piece of text encoded once per worker.
 
     The byte-level pattern always ends a word before a space that a letter, digit
     or ASCII punctuation mark follows, so a text may be cut there and each piece
-    encoded by itself. Other spaces are never cut at.
+    encoded by itself. Other spaces are never cut at. A piece that is one Latin
+    word and marks behind it needs no pattern: the library's merges are applied to
+    the word and to the marks.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.heads: dict[str, bytes] = {}  # a text's first piece, or several that stay together
         self.parts: dict[str, bytes] = {}  # a later piece, without its leading space
+        self.marks: dict[str, list[int]] = {"": []}
         self.unsafe: set[str] = set()
 
     @staticmethod
     def _cut_before(part: str) -> bool:
         return part != "" and (part[0].isalnum() or "!" <= part[0] <= "~")
 
+    def _merged(self, pretoken: str) -> list[int]:
+        if not pretoken.isascii():
+            pretoken = pretoken.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.merge(pretoken)]
+
     def _learn(self, known: dict[str, bytes], pieces: Iterable[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        # A batch is encoded in one thread; Spark runs a task per core.
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            known[piece] = np.array(got.ids, "<u4").tobytes()
+        other, marks, merge = [], self.marks, self.merge
+        space = lead and BYTE_LETTERS[32]
+        for p in pieces:
+            word = p.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                tail = p[len(word) :]
+                if tail not in marks:
+                    if len(marks) > CACHE_PIECES:
+                        marks = self.marks = {"": []}
+                    marks[tail] = self._merged(tail)
+                if word.isascii():
+                    ids = [t.id for t in merge(space + word)]
+                else:
+                    ids = self._merged(lead + word)
+                known[p] = array("I", ids + marks[tail]).tobytes()
+            else:
+                other.append(p)
+        for p, got in zip(other, self.tokenizer.encode_batch_fast([lead + p for p in other], add_special_tokens=False)):
+            known[p] = array("I", got.ids).tobytes()
+
+    @staticmethod
+    def _bound(known: dict[str, bytes]) -> None:
+        """Short pieces recur, so they stay when a table is full."""
+        if len(known) > CACHE_PIECES:
+            short = {p: ids for p, ids in known.items() if len(p) <= 8}
+            known.clear()
+            known.update(short if len(short) < CACHE_PIECES // 2 else {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.heads) > CACHE_PIECES:
-            self.heads.clear()
-        if len(self.parts) > CACHE_PIECES:
-            self.parts.clear()
+        self._bound(self.heads)
+        self._bound(self.parts)
+        if len(self.unsafe) > CACHE_PIECES:
             self.unsafe.clear()
         split = [t.split(" ") for t in texts]
         fresh = set().union(*split) - self.parts.keys() - self.unsafe
         self.unsafe |= (odd := {p for p in fresh if not self._cut_before(p)})
         self._learn(self.parts, fresh - odd, " ")
         joined = [[p[0], p[1:]] if self.unsafe.isdisjoint(p[1:]) else self._rejoin(p) for p in split]
-        self._learn(self.heads, {head for j in joined for head in ([j[0]] if len(j) == 2 else j[0])}, "")
+        heads = {head for j in joined for head in ([j[0]] if len(j) == 2 else j[0])}
+        self._learn(self.heads, heads - self.heads.keys(), "")
         return [
             self.heads[j[0]] + b"".join(map(self.parts.__getitem__, j[1])) if len(j) == 2 else b"".join(map(self.heads.__getitem__, j[0]))
             for j in joined
@@ -172,9 +221,15 @@ class PieceEncoder:
         return [list(" ".join(o) for o in out)]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> PieceEncoder:
+    """The worker's encoder; what it has learnt serves the worker's next tasks."""
+    return PieceEncoder(path)
+
+
 def _encode_task(uri: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, folder, part = PieceEncoder(path), SharedFolder(uri), TaskContext.get().partitionId()
+        encoder, folder, part = _encoder(path), SharedFolder(uri), TaskContext.get().partitionId()
         bits, end = id_bits(encoder.vocabulary), np.array([end_id], "<u4").tobytes()
         seq, doc_ids, sizes, held = 0, [], [], []
 
