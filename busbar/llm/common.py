@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import prepare
 
@@ -50,16 +51,25 @@ def crc_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def batches_of(batch: pa.RecordBatch, schema: pa.Schema, columns: dict[str, list]) -> pa.RecordBatch:
-    """A record batch with some columns kept from `batch` and others given as lists or arrays."""
-    arrays = []
-    for field in schema:
-        if field.name in columns:
-            got = columns[field.name]
-            arrays.append(got if isinstance(got, pa.Array) else pa.array(got, field.type))
-        else:
-            arrays.append(batch.column(field.name).cast(field.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def annotate(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: str) -> DataFrame:
+    """`docs` with more columns, computed batch by batch without a shuffle.
+
+    `make` sets up once per task and returns a function from a batch to the
+    arrays of the columns `added` names as DDL. A column of `docs` that has one
+    of those names is replaced.
+    """
+    more = StructType.fromDDL(added)
+    kept = [f for f in docs.schema.fields if f.name not in more.names]
+    names = [f.name for f in kept] + more.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            if batch.num_rows:
+                arrays = [batch.column(f.name) for f in kept] + step(batch)
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return docs.mapInArrow(run, StructType([*kept, *more.fields]))
 
 
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
