@@ -88,8 +88,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """Left join of many rows with one row per group, in one pass, whatever the largest group is.
 
     Groups that hold more than 1/HOT_SHARE of all `total` rows are fewer than
-    HOT_SHARE, so they are broadcast; rows of those groups go on under keys of
-    their own and spread evenly. No other key has more than that share.
+    HOT_SHARE, so they are broadcast; rows of those groups, and rows without a
+    key, go on under keys of their own and spread evenly. No other key has more
+    than that share.
     """
     floor = max(total // HOT_SHARE, 1)
     values = [c for c in groups.columns if c != key]
@@ -97,7 +98,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     cold = groups.filter(F.col(size) <= floor).select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
     out = rows.join(F.broadcast(hot), key, "left")
     own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
-    out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(own))
+    out = out.withColumn("_key", F.coalesce(F.when(F.col("_hot").isNull(), F.col(key).cast("string")), own))
     out = out.join(cold.withColumn("_key", F.col("_key").cast("string")), "_key", "left")
     group = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *(group[v].alias(v) for v in values))
