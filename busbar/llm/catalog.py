@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, licenses, mixture, ngram_jaccard, quality, token_files, warc
+from . import decontaminate, exact_dedup, kneser_ney, language_id, licenses, mixture, ngram_jaccard, quality, token_files, warc
 
-_MODULES = [token_files, mixture, licenses, exact_dedup, ngram_jaccard, decontaminate, quality, language_id, warc]
+_MODULES = [token_files, mixture, licenses, exact_dedup, ngram_jaccard, decontaminate, quality, kneser_ney, language_id, warc]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
