@@ -190,6 +190,22 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The mix as whole documents: each row of `docs` as often as the mix goes through it.
+
+    A row of which the mix takes a part, at the end of its source's target, is
+    in if that is at least half of it, so a source misses its target by at most
+    half a document. Rows without words are in no block and go. Of rows that
+    share key, source and size each comes as often as the one most taken.
+    """
+    takes = mix(docs, key, source, text, **how).filter("size > 0")
+    takes = takes.withColumn("_copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    takes = takes.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("_copies").alias("_copies")).filter("_copies > 0")
+    size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0))
+    same = docs[key].eqNullSafe(F.col("_id")) & docs[source].eqNullSafe(F.col("_source")) & (size == F.col("_size"))
+    return docs.join(takes, same).withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

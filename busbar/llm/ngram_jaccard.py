@@ -299,6 +299,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_digest", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, shingle_words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without all but one document of each component: the one with the smallest id stays.
+
+    Of rows that share that id, one stays. Documents without shingles, or without
+    an id, are in no group and stay.
+    """
+    found = near_duplicates(docs, shingle_words, percent, key, text).select(F.col("doc_id").alias("_id"), "n_shingles", "component_id")
+    found = materialize(found, "near-duplicates")
+    gone = found.filter("_id <> component_id").select("_id").distinct()
+    again = found.filter("n_shingles > 0 AND _id = component_id").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id")
+    again = materialize(again, "repeated-ids")
+    same = docs[key].cast("long") == F.col("_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same, "left_anti")
+    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
