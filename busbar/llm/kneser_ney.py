@@ -157,6 +157,7 @@ class Words:
     bits: int  # leading bits of a hash that name its shard
     sizes: np.ndarray  # words of each shard
     tokens: int
+    block_bits: int  # a block of statistics has two to this power words
 
     def __post_init__(self) -> None:
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -205,7 +206,7 @@ def count_words(texts: DataFrame, uri: str) -> tuple[Words, list[int]]:
     for r in stored.collect():  # a row for each file
         sizes[r.shard] = r.n
     hot = [r.word for r in counts.filter(F.col("n") > max(all_.n // HOT_SHARE, 1)).select("word").collect()]
-    return Words(uri, bits, sizes, all_.n), hot
+    return Words(uri, bits, sizes, all_.n, WORD_BITS), hot
 
 
 def bigrams_of(words: Words, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -274,13 +275,13 @@ def _write_bigrams(uri: str):
     return run
 
 
-def _write_stats(uri: str):
+def _write_stats(uri: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = SharedFolder(uri)
         for rows in _groups(batches, ["block", "id", *_STATS.names]):
             block = int(rows["block"][0])
-            stats = np.zeros(1 << WORD_BITS, _STATS)
-            at = rows["id"] - (block << WORD_BITS)
+            stats = np.zeros(1 << bits, _STATS)
+            at = rows["id"] - (block << bits)
             for c in _STATS.names:
                 stats[c][at] = rows[c]
             _columns_file(folder, f"stats-{block}", [stats.view(np.uint8)])
@@ -312,13 +313,13 @@ class Model:
     word_rest: float  # what the word discounts add up to
 
     def _stats(self, numbers: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(numbers), _STATS)
-        blocks = numbers >> WORD_BITS
+        out, bits = np.zeros(len(numbers), _STATS), self.words.block_bits
+        blocks = numbers >> bits
         for b in np.unique(blocks[numbers >= 0]):
             if int(b) in self.blocks:
                 own = np.flatnonzero(blocks == b)
                 stored = _mapped(self.words.uri, f"stats-{b}")[_COUNT.size :].view(_STATS)
-                out[own] = stored[numbers[own] - (b << WORD_BITS)]
+                out[own] = stored[numbers[own] - (b << bits)]
         return out
 
     def _bigram_counts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -366,7 +367,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
     stats = parts.filter("kind = 'word'").groupBy("id").agg(*(F.sum(c).alias(c) for c in _STATS.names))
     stats = materialize(stats.withColumn("block", F.shiftright("id", WORD_BITS)), "word-stats")
     placed = stats.repartition("block").sortWithinPartitions("block", "id").select("block", "id", *_STATS.names)
-    blocks = {r.block for r in materialize(placed.mapInArrow(_write_stats(uri), "block long"), "stat-files").collect()}
+    blocks = {r.block for r in materialize(placed.mapInArrow(_write_stats(uri, WORD_BITS), "block long"), "stat-files").collect()}
     seen = stats.agg(*(F.count(F.when(F.col("contexts") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count(F.when(F.col("contexts") >= 3, 1)).alias("more")).first()
     d = discounts([seen.n1, seen.n2, seen.n3, seen.n4])
     return Model(

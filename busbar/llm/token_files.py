@@ -227,7 +227,7 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _encode_task(uri: str, path: str, end_id: int):
+def _encode_task(uri: str, path: str, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, folder, part = _encoder(path), SharedFolder(uri), TaskContext.get().partitionId()
         bits, end = id_bits(encoder.vocabulary), np.array([end_id], "<u4").tobytes()
@@ -251,7 +251,7 @@ def _encode_task(uri: str, path: str, end_id: int):
                     doc_ids.append(doc_id)
                     held.append(ids + end)
                     sizes.append(len(ids) // 4 + 1)
-                if sum(sizes) >= FILE_IDS:
+                if sum(sizes) >= file_ids:
                     yield flush()
         if sizes:
             yield flush()
@@ -266,7 +266,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, key: str
     first; rows with one key are ordered by a hash of their text. No rows give
     no files.
     """
-    task = _encode_task(work_path(docs.sparkSession, "tokens"), path, end_id)
+    task = _encode_task(work_path(docs.sparkSession, "tokens"), path, end_id, FILE_IDS)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)

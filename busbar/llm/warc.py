@@ -184,7 +184,7 @@ def train_dictionary(pages: DataFrame, html: str, total: int) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def _write_task(uri: str, dictionary: bytes):
+def _write_task(uri: str, dictionary: bytes, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, part = SharedFolder(uri), TaskContext.get().partitionId()
         encoder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -195,7 +195,7 @@ def _write_task(uri: str, dictionary: bytes):
             with folder.create(name) as out:
                 if dictionary:
                     out.write(dictionary_frame(dictionary))
-                while row is not None and size < FILE_BYTES:
+                while row is not None and size < file_bytes:
                     page_id, url, html, refers_to, revisit = row
                     frame = encoder.compress(build_record(page_id, url, html or b"", refers_to, revisit))
                     out.write(frame)
@@ -224,7 +224,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     joined = join_groups(keyed, groups, "payload_sha256", "copies", sizes.n)
     revisit = F.col("top_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top_id"))
     plan = joined.select("page_id", "url", "html", F.when(revisit, F.col("top_id")).alias("refers_to"), revisit.alias("revisit"))
-    task = _write_task(work_path(spark, "warc"), train_dictionary(rows, "html", sizes.n))
+    task = _write_task(work_path(spark, "warc"), train_dictionary(rows, "html", sizes.n), FILE_BYTES)
     return materialize(plan.mapInArrow(task, _WRITTEN), "warc-files")
 
 
