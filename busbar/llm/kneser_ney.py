@@ -180,7 +180,7 @@ class Words:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        if new := list(set(tokens) - known.keys()):
+        if new := [t for t in set(tokens) if t not in known]:
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
             known.update(zip(new, self._of(hashes).tolist()))
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
