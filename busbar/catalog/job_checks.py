@@ -63,7 +63,7 @@ METER_SQL = """raw AS (SELECT reading_id, strftime(ts, '%d/%m/%Y') AS date, strf
     filled AS (SELECT reading_id, date, time, v, cur, power IS NULL AS missing, coalesce(last_value(power IGNORE NULLS) OVER
       (PARTITION BY b ORDER BY reading_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(power IGNORE NULLS)
       OVER (PARTITION BY b ORDER BY reading_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p FROM raw),
-    nom AS (SELECT avg(v) AS n FROM (SELECT v FROM raw ORDER BY reading_id LIMIT 10000)),
+    nom AS (SELECT avg(v) AS n FROM raw),
     meters AS (SELECT reading_id, strptime(date || ' ' || time, '%d/%m/%Y %H:%M:%S') AS timestamp, p AS power_consumption,
       p AS demand_load, v AS voltage, cur AS current, round(50.0 - (v - n) / n * 0.5, 3) AS grid_frequency,
       CASE WHEN v < 230 THEN 'degraded' WHEN v < 237 THEN 'monitoring' WHEN v <= 245 THEN 'normal' ELSE 'monitoring' END
@@ -179,9 +179,8 @@ def meter_analysis(spark, d):
 @query("c05_meter_analysis_anomalies")
 def meter_analysis_anomalies(spark, d):
     rows = met(spark, d)
-    iso = forest.fit_forest(rows, "reading_id", ["power", "k"])
-    sample = jobs.sampling.sample_n(rows, "reading_id", 1000)
-    return jobs.analyse_meters(rows, "power", forest.score_forest(sample, iso, "reading_id"))
+    iso = forest.fit_forest(rows, "reading_id", ["power", "k"], incomplete="drop")
+    return jobs.analyse_meters(rows, "power", forest.score_forest(rows, iso, "reading_id"))
 
 
 @query("c06_cross_domain_report")

@@ -153,7 +153,7 @@ def cache_lookup(spark, d):
 
 @query(
     "r10_cache_upsert",
-    f"""SELECT md5(question) AS cache_id, question, substr(answer, 1, 2000) AS answer, version FROM
+    f"""SELECT md5(question) AS cache_id, question, answer, version FROM
         (SELECT *, conv_id * 1000 + turn AS version FROM w WHERE {EVIDENCE_SQL} >= 0.5 AND {RUBRIC_SQL} >= 3)
         QUALIFY row_number() OVER (PARTITION BY question ORDER BY version DESC) = 1""",
     views="pairs",
@@ -176,4 +176,5 @@ def cache_upsert(spark, d):
 def cache_from_feedback(spark, d):
     keep = F.col("helpful") & (F.col("rating").try_cast("int") >= 4)
     new = retrieval.cache_rows(fb(spark, d), F.col("comment"), F.col("session_id").cast("string"), F.col("feedback_id"), keep)
-    return retrieval.cache_upsert(new.limit(0), new)
+    # The first half is cached, then the whole comes in: every one of its questions is replaced by itself.
+    return retrieval.cache_upsert(new.filter("version % 2 = 0"), new)

@@ -102,12 +102,12 @@ def minmax_frequency(spark, d):
 @query(
     "d08_deviation_frequency",
     """SELECT reading_id, round(50.0 - (power - n) / n * 0.5, 4) AS grid_frequency FROM met,
-       (SELECT avg(power) AS n FROM (SELECT power FROM met ORDER BY ts, reading_id LIMIT 10000))""",
+       (SELECT avg(power) AS n FROM met)""",
     views="met",
 )
 def deviation_frequency(spark, d):
     rows = met(spark, d).select("reading_id", "ts", "power")
-    nominal = nominal_level(rows, "power", ["ts", "reading_id"], 10000).scalar()
+    nominal = nominal_level(rows, "power").scalar()
     return rows.select("reading_id", F.round(rules.deviation_frequency(F.col("power"), nominal), 4)
                        .alias("grid_frequency"))
 

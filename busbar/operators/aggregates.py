@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,16 +69,26 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
 
 
 def live_summary(df: DataFrame, prob: str, freq: str, dims: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Share of unstable readings, mean health and frequency, and a count map per dimension."""
+    """Share of unstable readings, mean health and frequency, and a count map per dimension, all per group of `by`."""
     from .rules import health_score
 
+    by = list(by)
     out = df.groupBy(*by).agg(
         F.count(prob).alias("buffer_size"),
         F.round(F.count_if(F.col(prob) >= 0.5) / F.count(prob) * 100, 1).alias("unstable_pct"),
         F.round(F.avg(health_score(F.col(prob))), 1).alias("mean_health"),
         F.round(F.avg(freq), 3).alias("mean_freq_hz"),
     )
-    return out.withColumns({f"{c}_distribution": distribution(df, c).scalar() for c in dims}) if dims else out
+    if not by:
+        return out.withColumns({f"{c}_distribution": distribution(df, c).scalar() for c in dims}) if dims else out
+    for c in dims:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_n"))
+        entries = F.sort_array(F.collect_list(F.struct(c, "_n")))
+        maps = counts.groupBy(*by).agg(F.map_from_entries(entries).alias(f"{c}_distribution"))
+        right = maps.select(*[F.col(k).alias(f"_r_{k}") for k in by], f"{c}_distribution")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by])
+        out = out.join(right, same, "left").drop(*[f"_r_{k}" for k in by])
+    return out
 
 
 def nearest_quartiles(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -133,9 +145,10 @@ def pass_counts(cases: DataFrame, errored: Column | None = None) -> DataFrame:
     )
 
 
-def nominal_level(df: DataFrame, col: str, order: Sequence[str], n: int = 10_000) -> DataFrame:
-    """Mean of the first `n` rows (a top-n scan, then a one-row aggregate)."""
-    return df.select(col, *order).orderBy(*order).limit(n).agg(F.avg(col).alias("nominal"))
+def nominal_level(df: DataFrame, col: str, order: Sequence[str] = (), n: int | None = None) -> DataFrame:
+    """Mean of a column over the whole table, or of its first `n` rows in `order` if that is asked for."""
+    rows = df.select(col) if n is None else df.select(col, *order).orderBy(*order).limit(n)
+    return rows.agg(F.avg(col).alias("nominal"))
 
 
 def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:

@@ -80,17 +80,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def sample_for_trees(df: DataFrame, key: str, features: Sequence[str], n_trees: int, psi: int, seed: str) -> DataFrame:
     """`(tree, _key, features)` with `psi` rows per tree, drawn without replacement inside a tree.
 
-    The draw is the head of a hash order of at most `n_trees * psi` rows. When the
-    table fills it, the trees take disjoint stretches; a smaller table is drawn
-    from again for every tree.
+    The pool is the head of a hash order of at most `n_trees * psi` rows, and every
+    tree draws from it anew, whatever the size of the table.
     """
     want = n_trees * psi
     pool = df.select(F.col(key).alias("_key"), *features).withColumn("_h", hash_key(F.col("_key"), seed))
     pool = materialize(pool.orderBy("_h", "_key").limit(want), "sample")  # bounded by the forest's size
-    n = pool.count()
-    if n == want:
-        place = F.row_number().over(Window.orderBy("_h", "_key")) - 1
-        return pool.withColumn("tree", F.floor(place / psi)).drop("_h")
     each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trees - 1).cast("bigint"))))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree"), "_key")
     return each.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= psi).drop("_rn", "_h")
@@ -98,11 +93,17 @@ def sample_for_trees(df: DataFrame, key: str, features: Sequence[str], n_trees:
 
 def fit_forest(
     df: DataFrame, key: str, features: Sequence[str], n_trees: int = 100, contamination: float = 0.05,
-    psi: int = PSI, seed: int = 42,
+    psi: int = PSI, seed: int = 42, incomplete: str = "fill",
 ) -> IsolationForest:
-    """Grow the trees, then set the threshold at the contamination quantile of the training scores."""
+    """Grow the trees, then set the threshold at the contamination quantile of the training scores.
+
+    Rows with an unknown feature count as 0 there, or with `incomplete="drop"` stay
+    out of the training. Scaling the features first would change nothing: a
+    threshold splits a scaled feature where it splits the feature.
+    """
     cols = list(features)
-    rows = fill_zero(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = rows.dropna(subset=cols) if incomplete == "drop" else fill_zero(rows, cols)
     sample = sample_for_trees(rows, key, cols, n_trees, psi, str(seed))
     arrow = to_arrow_schema(NODE_SCHEMA)
 
@@ -144,8 +145,8 @@ def _pack(trees: list[list[tuple]]) -> tuple[list[tuple], int]:
     return packed, deepest
 
 
-def raw_scores(df: DataFrame, forest: IsolationForest, key: str) -> DataFrame:
-    """`key` and `_score` in (-1, 0): minus two to the power of minus the scaled path length."""
+def raw_scores(df: DataFrame, forest: IsolationForest, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """`key`, the columns of `keep` and `_score` in (-1, 0): minus two to the power of minus the scaled path length."""
     spark: SparkSession = df.sparkSession
     trees: dict[int, list] = {}
     for r in forest.nodes.orderBy("tree", "node").collect():  # at most 2 * psi nodes per tree
@@ -154,16 +155,17 @@ def raw_scores(df: DataFrame, forest: IsolationForest, key: str) -> DataFrame:
     scale = float(expected_path(forest.sample_size)) or 1.0
     shared = spark.sparkContext.broadcast(packed)
     cols = forest.features
-    rows = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    schema = T.StructType([rows.schema[key], T.StructField("_score", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
+    rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)],
+                     key, *[c for c in keep if c != key])
+    schema = T.StructType([*rows.schema.fields[len(cols):], T.StructField("_score", T.DoubleType())])
+    names = schema.names
 
     def scan(batches):
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            x = np.column_stack([np.asarray(batch.column(i + 1)) for i in range(len(cols))]).ravel()
+            x = np.column_stack([np.asarray(batch.column(i)) for i in range(len(cols))]).ravel()
             first = np.arange(0, n * len(cols), len(cols), dtype=np.int32)
             total = np.zeros(n)
             for feature, threshold, child, path in shared.value:
@@ -173,22 +175,22 @@ def raw_scores(df: DataFrame, forest: IsolationForest, key: str) -> DataFrame:
                     node = child.take(2 * node + right)
                 total += path.take(node)
             score = -np.exp2(-(total / len(shared.value)) / scale)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(cols):], pa.array(score)], names)
 
     return rows.mapInArrow(scan, schema)
 
 
-def score_forest(df: DataFrame, forest: IsolationForest, key: str) -> DataFrame:
-    """Add `anomaly_score` (below 0 is an anomaly) and `is_anomaly` to the features and key."""
-    scored = raw_scores(df, forest, key)
+def score_forest(df: DataFrame, forest: IsolationForest, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """`key`, the columns of `keep`, `anomaly_score` (below 0 is an anomaly) and `is_anomaly`."""
+    scored = raw_scores(df, forest, key, keep)
     score = F.col("_score") - F.lit(forest.threshold)
-    return scored.select(key, score.alias("anomaly_score"), (score < 0).alias("is_anomaly"))
+    return scored.select(*scored.columns[:-1], score.alias("anomaly_score"), (score < 0).alias("is_anomaly"))
 
 
 def detect(df: DataFrame, forest: IsolationForest, key: str, region: str | None = None, region_col: str = "zone",
-           top: int | None = None) -> DataFrame:
-    """Anomalies only, most anomalous first; `top` keeps the worst ones."""
-    bad = score_forest(filter_region(df, region, region_col), forest, key).filter("is_anomaly")
+           top: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Anomalies only, most anomalous first, with the columns of `keep`; `top` keeps the worst ones."""
+    bad = score_forest(filter_region(df, region, region_col), forest, key, keep).filter("is_anomaly")
     ordered = bad.orderBy("anomaly_score", key)
     return ordered.limit(top) if top else ordered
 

@@ -171,8 +171,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
+    """Unit vectors; one of another length fails the query, since it cannot be compared."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = np.diff(np.asarray(column.offsets))
+    if len(lengths) and (lengths != dim).any():
+        raise ValueError(f"vectors of {dim} and of {int(lengths[lengths != dim][0])} numbers cannot be compared")
     return _unit(np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim))
 
 
@@ -246,7 +250,7 @@ def _scan_broadcast(rows: DataFrame, head, schema: T.StructType, k: int) -> Data
             schema=arrow,
         )
 
-    return rows.filter(F.size("v") == dim).mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
 def _numbers(n: int) -> Column:
@@ -257,7 +261,7 @@ def _scan_blocks(rows: DataFrame, asks: DataFrame, schema: T.StructType, k: int,
     n_rows, n_asks = rows.count(), asks.count()
     parts = max(1, math.ceil(n_rows / ROW_BLOCK))
     blocks = max(1, math.ceil(n_asks / QUERY_BLOCK))
-    left = rows.filter(F.size("v") == dim).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    left = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     left = left.withColumn("block", F.explode(_numbers(blocks)))
     right = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     right = right.withColumn("part", F.explode(_numbers(parts)))
@@ -367,7 +371,7 @@ def cache_lookup(
     queries: DataFrame, query_id: str, query_vec: str, cache: DataFrame, cache_id: str, cache_vec: str,
     threshold: float = 0.97,
 ) -> DataFrame:
-    """Nearest past query per query if similar enough; misses keep a null `cached_id`."""
+    """Nearest past query per query if similar enough; misses, and queries without a vector, keep a null `cached_id`."""
     small = cache.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
     if small:
         best = _nearest_entry(queries, query_id, query_vec, cache, cache_id, cache_vec)
@@ -384,7 +388,8 @@ def cache_lookup(
 
 def _nearest_entry(queries, query_id, query_vec, cache, cache_id, cache_vec) -> DataFrame:
     """Best entry of a small cache for every query, in one narrow pass over the queries."""
-    entries = cache.select(F.col(cache_id).cast("bigint").alias("i"), F.col(cache_vec).alias("v")).orderBy("i").collect()
+    known = cache.filter(F.col(cache_vec).isNotNull())
+    entries = known.select(F.col(cache_id).cast("bigint").alias("i"), F.col(cache_vec).alias("v")).orderBy("i").collect()
     id_type = queries.schema[query_id].dataType
     schema = T.StructType(
         [T.StructField("query_id", id_type), T.StructField("entry_id", T.LongType()),
@@ -405,22 +410,26 @@ def _nearest_entry(queries, query_id, query_vec, cache, cache_id, cache_vec) ->
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = np.round(_matrix(batch.column(1), dim) @ m.T, 6)
+            known = np.flatnonzero(np.asarray(batch.column(1).is_valid()))
+            scores = np.round(_matrix(batch.column(1).take(pa.array(known)), dim) @ m.T, 6)
             at = scores.argmax(axis=1)  # entries are in id order, so ties go to the smaller id
+            entry, best = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, np.nan)
+            entry[known], best[known] = ids[at], scores[np.arange(len(at)), at]
+            none = np.isnan(best)  # a query without a vector, or that is not a number, meets no entry
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids[at], type=pa.int64()),
-                 pa.array(scores[np.arange(len(at)), at], type=pa.float64())],
+                [batch.column(0), pa.array(entry, pa.int64(), mask=none), pa.array(best, pa.float64(), mask=none)],
                 schema=arrow,
             )
 
-    return asks.filter(F.size("q") == dim).mapInArrow(scan, schema)
+    return asks.mapInArrow(scan, schema)
 
 
-def cache_rows(df: DataFrame, question: Column, answer: Column, version: Column, keep: Column) -> DataFrame:
-    """Cacheable answers keyed by the md5 of their question."""
+def cache_rows(df: DataFrame, question: Column, answer: Column, version: Column, keep: Column,
+               answer_chars: int | None = None) -> DataFrame:
+    """Cacheable answers keyed by the md5 of their question; cut to `answer_chars` only if that is given."""
+    text = answer if answer_chars is None else F.substring(answer, 1, answer_chars)
     return df.filter(keep).select(
-        F.md5(question).alias("cache_id"), question.alias("question"), F.substring(answer, 1, 2000).alias("answer"),
-        version.alias("version"),
+        F.md5(question).alias("cache_id"), question.alias("question"), text.alias("answer"), version.alias("version")
     )
 
 

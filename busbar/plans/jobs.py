@@ -83,7 +83,7 @@ def enrich_meters(
 
     The high-demand rule sees the filled power and overrides a dropout.
     """
-    nominal = agg.nominal_level(raw, "Voltage", order, 10_000).scalar()
+    nominal = agg.nominal_level(raw, "Voltage").scalar()
     flagged = clean.flag_missing(raw, "Global_active_power", "_missing")
     cols = [c for c in METER_NAMES if c in raw.columns]
     filled = windows.block_fill(flagged, order, cols, block)
@@ -182,11 +182,12 @@ def assess_stability(
     scored = stability.score_latest(window, keys, ts, tie, classifier, regressor, features)
     drivers = attribution.explain_top_k(scored.select(tie, *features), tie, classifier, features, 5)
     state = window.groupBy(*keys).agg(rules.frequency_state(F.avg(freq)).alias("grid_freq_status"))
-    marked = forest.score_forest(window, iso, tie).filter("is_anomaly").join(window.select(tie, *keys), tie)
+    marked = materialize(forest.score_forest(window, iso, tie, [*keys, ts]).filter("is_anomaly"), "marked")
     worst = sampling.top_per_group(marked, keys, [F.asc("anomaly_score"), F.asc(tie)], flags)
-    # At most `flags` entries per zone are listed.
+    # All anomalies of the window are counted; at most `flags` of them per zone are listed.
+    counted = marked.groupBy(*keys).agg(F.count("*").alias("anomaly_count"))
     listed = worst.groupBy(*keys).agg(
-        F.count("*").alias("anomaly_count"), F.sort_array(F.collect_list(F.struct("anomaly_score", tie))).alias("anomaly_flags"))
+        F.sort_array(F.collect_list(F.struct("anomaly_score", tie, ts))).alias("anomaly_flags")).join(counted, list(keys))
     return (
         scored.join(drivers.select(tie, F.col("top").alias("drivers")), tie)
         .join(state, list(keys))

@@ -53,6 +53,11 @@ def ingest(stream: DataFrame, defaults: dict[str, object] = DEFAULTS) -> DataFra
     )
 
 
+def keep_running(writer, path_checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Start a query that stays up and works through new files at an interval; the caller stops it."""
+    return writer.option("checkpointLocation", path_checkpoint).trigger(processingTime=every).start()
+
+
 def run_available(writer, path_checkpoint: str) -> None:
     """Process everything that is there, then stop. Raises if the query failed."""
     query: StreamingQuery = (
@@ -93,6 +98,13 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(done)
 
 
+def _drop_versions(spark: SparkSession, path: str, versions: Sequence[int]) -> None:
+    jvm = spark.sparkContext._jvm
+    for v in versions:
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def bounded_buffer(stream: DataFrame, path: str, order: Sequence[Column], rows: int = BUFFER_ROWS) -> None:
     """Keep the newest `rows` readings: each batch writes a new version from the one before it.
 
@@ -107,12 +119,17 @@ def bounded_buffer(stream: DataFrame, path: str, order: Sequence[Column], rows:
             kept = batch.sparkSession.read.schema(schema).parquet(f"{path}/v{older[-1]}")
             newest = kept.unionByName(newest).orderBy(*order).limit(rows)
         newest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        # This version, the one it was made from and the one before that stay for readers and for a repeated batch.
+        _drop_versions(spark, path, older[:-2])
 
     run_available(stream.writeStream.foreachBatch(merge), f"{path}-checkpoint")
 
 
 def read_buffer(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest version; no rows before the first batch."""
     versions = _batches(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/v{versions[-1]}")
 
 
@@ -128,7 +145,8 @@ def delta_log(result: DataFrame, path: str) -> None:
 def read_delta_log(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
     """Current rows of a delta log: the newest change per key, combined before the shuffle."""
     full = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
-    rows = spark.read.schema(full).parquet(*[f"{path}/v{b}" for b in _batches(spark, path)])
+    versions = _batches(spark, path)
+    rows = spark.read.schema(full).parquet(*[f"{path}/v{b}" for b in versions]) if versions else spark.createDataFrame([], full)
     rest = [f.name for f in schema.fields if f.name not in keys]
     newest = F.max_by(F.struct(*rest), F.col("_batch")).alias("_r")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")

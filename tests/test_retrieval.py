@@ -52,6 +52,25 @@ def test_k_above_the_collection(spark, vectors):
     assert retrieval.vector_search(df, "id", "v", queries, "q", "v", 1000).count() == 300
 
 
+@pytest.mark.parametrize("block", [2000, 5])
+def test_cache_lookup_keeps_queries_without_a_vector(spark, vectors, block, monkeypatch):
+    df, _ = vectors
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    asks = df.filter("id < 4").withColumn("v", F.when(F.col("id") != 2, F.col("v")))
+    cache = df.filter("id BETWEEN 1 AND 20").withColumn("v", F.when(F.col("id") != 9, F.col("v")))
+    got = {r.query_id: r.cached_id for r in retrieval.cache_lookup(asks, "id", "v", cache, "id", "v", 0.99).collect()}
+    assert got == {0: None, 1: 1, 2: None, 3: 3}
+
+
+@pytest.mark.parametrize("block", [2000, 5])
+def test_vectors_of_other_lengths_fail(spark, vectors, block, monkeypatch):
+    df, _ = vectors
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    odd = df.withColumn("v", F.when(F.col("id") == 50, F.slice("v", 1, 3)).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="cannot be compared"):
+        retrieval.vector_search(odd, "id", "v", df.limit(20), "id", "v", 3).collect()
+
+
 @pytest.mark.parametrize("block", [2000, 5])
 def test_cache_lookup_paths(spark, vectors, block, monkeypatch):
     df, m = vectors

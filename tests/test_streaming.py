@@ -27,7 +27,7 @@ def test_buffer_over_many_batches(spark, sf, folder):
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/buffer"
     live.bounded_buffer(stream(spark, folder), path, [F.desc("ts"), F.desc("event_id")], rows=50)
     versions = live._batches(spark, path)
-    assert len(versions) == 6
+    assert versions == [3, 4, 5]  # older versions are deleted
     for v in versions:
         assert spark.read.parquet(f"{path}/v{v}").count() <= 50
     got = {r["event_id"] for r in live.read_buffer(spark, path, live.EVENT_SCHEMA).collect()}
@@ -35,6 +35,21 @@ def test_buffer_over_many_batches(spark, sf, folder):
     assert got == {r["reading_id"] for r in want}
 
 
+def test_reading_before_the_first_batch(spark):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/nothing"
+    assert live.read_buffer(spark, path, live.EVENT_SCHEMA).count() == 0
+
+
+def test_a_running_query_takes_new_files(spark, sf, folder):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/running"
+    writer = stream(spark, folder).writeStream.format("parquet").option("path", path).outputMode("append")
+    query = live.keep_running(writer, f"{path}-checkpoint", "1 second")
+    query.processAllAvailable()
+    assert query.isActive
+    query.stop()
+    assert spark.read.parquet(path).count() == tel(spark, sf).count()
+
+
 def test_windows_over_many_batches_equal_batch(spark, sf, folder):
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/windows"
     rows = stream(spark, folder).withColumns({"prob": F.col("value") / 500, "freq": 50 + (F.col("value") - 50) / 100})
