@@ -1,14 +1,16 @@
 """Language identification by segmentation-marginalised unigrams over a fixed vocabulary.
 
-A text is a sequence of words, a word a sequence of vocabulary pieces. Each
+A text is a sequence of words (what white space and ASCII punctuation leave,
+lower-cased), a word a sequence of vocabulary pieces. Each
 language has a probability for every piece; the probability of a word is the sum
 over all its segmentations, found by the forward algorithm. Pieces never cross a
 word border, so a text's probability is the product over its words, and a word
 needs its forward sums once per worker.
 
-Learning is one pass of expectation maximisation over all training texts: from
-equal probabilities for all pieces, the forward-backward algorithm gives the
-expected number of times each piece is used.
+Learning is one round of expectation maximisation: from equal probabilities for
+all pieces, the forward-backward algorithm gives the expected number of times
+each piece is used. It is fitted on a bounded sample of the labelled rows of each
+language; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from .common import annotate, held_out, table
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
+#: Labelled rows of each language that the model is fitted on, about: all of those whose hash is below that share.
+SAMPLE_ROWS = 5000
 #: Added to every expected count.
 SMOOTHING = 0.1
 #: Words that a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+CACHE_WORDS, CACHE_LENGTH = 600_000, 48
 #: Distinct words counted before their pieces are.
 COUNT_WORDS = 300_000
 
@@ -51,28 +55,40 @@ class Pieces:
         self.unknown = len(self.number)  # stands for one character that is no piece
         self.size = self.unknown + 1
         self.longest = max(map(len, self.number), default=1)
+        # A trie of all pieces: sorted keys of (node, character), the nodes they lead to, the piece that ends at a node.
+        nodes: dict[str, int] = {"": 0}
+        for piece in sorted(self.number):
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes))
+        steps = sorted((nodes[p[:-1]] << 21 | ord(p[-1]), n) for p, n in nodes.items() if p)
+        self.steps, self.leads = np.array(steps, np.int64).reshape(-1, 2).T.copy()
+        self.ends = np.array([self.number.get(p, -1) for p in nodes], np.int32)
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """Piece that begins k + 1 characters before a place and ends there, by word, place and k; -1 if none."""
         n = max(map(len, words))
+        codes = np.frombuffer("".join(w.ljust(n, "\0") for w in words).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.int64)
         out = np.full((len(words), n + 1, min(self.longest, n)), -1, np.int32)
-        number, unknown, longest = self.number.get, self.unknown, self.longest
-        w, at, back, found = [], [], [], []
-        for row, word in enumerate(words):
-            for lo in range(len(word)):
-                for hi in range(lo + 1, min(lo + longest, len(word)) + 1):
-                    piece = number(word[lo:hi])
-                    if piece is None:
-                        if hi > lo + 1:
-                            continue
-                        piece = unknown
-                    w.append(row)
-                    at.append(hi)
-                    back.append(hi - lo - 1)
-                    found.append(piece)
-        out[w, at, back] = found
+        row, lo = np.nonzero(np.arange(n) < np.array([len(w) for w in words])[:, None])
+        out[row, lo + 1, 0] = self.unknown
+        node = np.zeros(len(row), np.int64)
+        for k in range(out.shape[2]):  # all walks from all places at once, each for as long as a piece may follow
+            keys = node << 21 | codes[row, lo + k]
+            at = np.minimum(np.searchsorted(self.steps, keys), len(self.steps) - 1)
+            on = self.steps[at] == keys
+            row, lo, node = row[on], lo[on], self.leads[at[on]]
+            piece = self.ends[node]
+            whole = piece >= 0
+            out[row[whole], lo[whole] + k + 1, k] = piece[whole]
+            on = lo + k + 1 < n
+            row, lo, node = row[on], lo[on], node[on]
         return out
 
+    def spelt(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lattice and lengths of words as the vocabulary writes them, with its mark of a word's start."""
+        marked = [_WORD_START + w for w in words]
+        return self.lattice(marked), np.array([len(w) for w in marked])
+
     @staticmethod
     def groups(words: list[str]) -> Iterator[list[str]]:
         """Words of like lengths together, with a bounded lattice."""
@@ -162,8 +178,11 @@ def expected(lattice: np.ndarray, lengths: np.ndarray, share: float) -> tuple[np
     return np.concatenate(rows), np.concatenate(found), np.concatenate(uses)
 
 
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
 def words_of(text: str) -> list[str]:
-    return [_WORD_START + w for w in text.lower().split()]
+    return text.encode().translate(_PLAIN).decode().lower().split()
 
 
 def _count_task(path: str):
@@ -175,8 +194,7 @@ def _count_task(path: str):
             langs = list(counts)
             uses = np.zeros((len(langs), vocabulary.size))
             for group in Pieces.groups(list(set().union(*counts.values()))):
-                lattice = vocabulary.lattice(group)
-                lengths = np.array([len(w) for w in group])
+                lattice, lengths = vocabulary.spelt(group)
                 row, piece, n = expected(lattice, lengths, 1 / vocabulary.size)
                 for k, lang in enumerate(langs):
                     times = np.array([counts[lang].get(w, 0) for w in group])
@@ -197,13 +215,16 @@ def _count_task(path: str):
     return run
 
 
-def learn(docs: DataFrame, path: str, train: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, path: str, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages of the training rows, and the probability of each piece in each of them.
 
     One number per piece and language comes back: the vocabulary is fixed, so the
     model does not grow with the documents.
     """
-    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang), F.col(text))
+    known = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    part = F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) / (1 << 30)
+    shares = known.groupBy(lang).agg((SAMPLE_ROWS / F.count("*")).alias("_share"))
+    rows = known.join(F.broadcast(shares), lang).filter(part <= F.col("_share")).select(F.col(lang), F.col(text))  # a row for each language
     sums = rows.mapInArrow(_count_task(path), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
     got = sums.toPandas()
     langs = sorted(got["lang"].unique())
@@ -225,18 +246,21 @@ class Scorer:
     def _sums(self, words: list[str]) -> tuple[list[str], np.ndarray]:
         order, found = [], []
         for group in Pieces.groups(words):
-            lengths = np.array([len(w) for w in group])
+            lattice, lengths = self.pieces.spelt(group)
             order += group
-            found.append(forward(self.pieces.lattice(group), self.chances, lengths))
+            found.append(forward(lattice, self.chances, lengths))
         return order, np.concatenate(found)
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.place) > CACHE_WORDS:
-            self.place.clear()
+        if len(self.place) > CACHE_WORDS:  # short words recur, so they stay
+            short = [w for w in self.place if len(w) <= 6][: CACHE_WORDS // 4]
+            kept = self.rows[[self.place[w] for w in short]]
+            self.rows[: len(short)] = kept
+            self.place = dict(zip(short, range(len(short))))
         seen = set().union(*texts)
         long = {w for w in seen if len(w) > CACHE_LENGTH}
         extra: dict[str, np.ndarray] = dict(zip(*self._sums(list(long)))) if long else {}
-        if new := list(seen - long - self.place.keys()):
+        if new := [w for w in seen if w not in self.place and w not in long]:
             words, sums = self._sums(new)
             lo, hi = len(self.place), len(self.place) + len(new)
             if hi > len(self.rows):
@@ -285,7 +309,7 @@ def _score(path: str, langs: list[str], model, key: str, text: str):
     return make
 
 
-def identify(docs: DataFrame, path: str, train: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, path: str, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with lang_pred and score, the share of the best language's probability.
 
     The model is learnt from the rows of `docs` where `train` holds and neither
@@ -294,7 +318,7 @@ def identify(docs: DataFrame, path: str, train: Column, text: str = "text", lang
     probabilities go to the language that sorts first. Repeated rows are judged
     alike; columns of the same names are replaced, all others pass through.
     """
-    langs, chances = learn(docs, path, train, text, lang)
+    langs, chances = learn(docs, path, train, key, text, lang)
     model = docs.sparkSession.sparkContext.broadcast(chances)  # vocabulary x languages
     key = f"{docs.sparkSession.sparkContext.applicationId}-{id(model)}-{chances.sum()!r}"
     return annotate(docs, _score(path, langs, model, key, text), "lang_pred string, score double")
