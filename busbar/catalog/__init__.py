@@ -28,6 +28,7 @@ _FAMILIES = [
     "model_checks",
     "streaming_checks",
     "job_checks",
+    "model_facts",
 ]
 
 

@@ -8,9 +8,6 @@ from ..session import materialize, work_path
 from ..sources.bindings import FEATURES, feat
 from . import query
 
-# Smaller than the defaults (200 trees of depth 6 and 5), to keep a check short.
-TREES, DEPTH = 10, 4
-
 
 def labelled(spark, d):
     margin = (F.col("l_discount") - F.col("l_tax")).alias("margin")
@@ -34,9 +31,7 @@ def models(spark, d):
     def build():
         parts = materialize(stratified_split(labelled(spark, d), "unstable", "row_id"), "split")
         train = parts.filter("part = 'train'")
-        cls = stability.fit_classifier(train, FEATURES, "unstable", trees=TREES, depth=DEPTH)
-        reg = stability.fit_regressor(train, FEATURES, "margin", trees=TREES, depth=DEPTH)
-        return parts, cls, reg
+        return parts, *stability.fit_models(train, FEATURES, "unstable", "margin")
 
     return _once("models", spark, d, build)
 

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-
 from ..operators import retrieval
-from ..operators.joins import join_measured
-from ..session import materialize
 from ..operators.guard import answer_rubric, evidence_score, passes_gate
+from ..operators.joins import join_measured
 from ..operators.spread import top_per_group
+from ..session import materialize, work_path
+from ..sources import files
 from ..sources.bindings import corpus, fb, pairs, qset, vec
 from . import query
 from .aggregate_checks import TOKENS_SQL
@@ -32,14 +32,42 @@ BM25_SQL = f"""{TOKENS_SQL},
         QUALIFY rank <= 20)"""
 
 
-def index(spark, d):
+# Built once per session and input, and shared by the searches below.
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind, spark, d, build):
+    key = (kind, spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        _stored[key] = build()
+    return _stored[key]
+
+
+def new_index(spark, d):
     return retrieval.bm25_index(corpus(spark, d), "doc_id", TEXT_COLS)
 
 
+def index(spark, d):
+    return _once("bm25", spark, d, lambda: new_index(spark, d))
+
+
+def collection(spark, d):
+    """The embedder, and the corpus with its vectors as it is stored."""
+
+    def build():
+        docs = corpus(spark, d)
+        model = retrieval.embedder(docs, "text")
+        meta = ["region", "equipment", "severity"]
+        stored = files.build_collection(retrieval.embed(model, docs, "text"), work_path(spark, "vectors"), "doc_id", "text", meta, "region", vec_col="vec")
+        return model, stored.select(F.col("id").alias("doc_id"), "vec", "meta.*")
+
+    return _once("vectors", spark, d, build)
+
+
 @query("r01_bm25_index", "SELECT doc_id, term, tf FROM post", views="corpus",
        ctes=f"{TOKENS_SQL}, post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)")
 def bm25_index(spark, d):
-    return index(spark, d).postings.select("doc_id", "term", "tf")
+    return new_index(spark, d).postings.select("doc_id", "term", "tf")
 
 
 @query("r02_bm25_search", "SELECT query_id, doc_id, score, rank FROM bm", views="corpus qset", ctes=BM25_SQL)
@@ -62,7 +90,12 @@ def bm25_search_padded(spark, d):
     return hits.select("query_id", "doc_id", "score", "rank")
 
 
-@query("r03_embed")
+@query(
+    "r03_embed",
+    """SELECT doc_id, 256 AS dims, CASE WHEN len(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+       FROM corpus""",
+    views="corpus",
+)
 def embed(spark, d):
     docs = corpus(spark, d).select("doc_id", "text")
     out = retrieval.embed(retrieval.embedder(docs, "text"), docs, "text")
@@ -115,9 +148,19 @@ def rerank(spark, d):
 
 @query("r07_hybrid_search")
 def hybrid_search(spark, d):
-    docs = corpus(spark, d)
-    model = retrieval.embedder(docs, "text")
-    return retrieval.hybrid_search(docs, qset(spark, d), index(spark, d), model, filters={"region": "en"})
+    model, stored = collection(spark, d)
+    return retrieval.hybrid_search(corpus(spark, d), qset(spark, d), index(spark, d), model, filters={"region": "en"}, stored=stored)
+
+
+@query("r07_hybrid_shape", "SELECT query_id, 5::BIGINT AS n, TRUE AS ranked, TRUE AS ordered FROM qset", views="qset")
+def hybrid_shape(spark, d):
+    """Every question gets its five answers, ranked one to five by falling score."""
+    out = hybrid_search(spark, d)
+    by_rank = F.sort_array(F.collect_list(F.struct("final_rank", "rerank_score")))
+    found = out.groupBy("query_id").agg(F.count("*").alias("n"), by_rank.alias("_r"))
+    falling = F.transform("_r", lambda r: -r["rerank_score"])
+    return found.select("query_id", "n", (F.transform("_r", lambda r: r["final_rank"].cast("int")) == F.array(*map(F.lit, range(1, 6)))).alias("ranked"),
+                        (falling == F.array_sort(falling)).alias("ordered"))
 
 
 @query(

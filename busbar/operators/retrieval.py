@@ -327,10 +327,13 @@ def rerank(cands: DataFrame, scorer: Column | None, k: int = 5) -> DataFrame:
 def hybrid_search(
     corpus: DataFrame, queries: DataFrame, index: Bm25Index, model: PipelineModel, candidate_k: int = 20,
     final_k: int = 5, filters: Mapping[str, object | None] | None = None, filter_both: bool = False,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """BM25 and vectors, fused and reranked. Filters narrow the vector leg only, unless `filter_both`.
 
-    `corpus` has `doc_id, text` and the filter columns; `queries` has `query_id, text`.
+    `corpus` has `doc_id, text` and the filter columns; `queries` has `query_id, text`;
+    `stored` has `doc_id, vec` and the filter columns, made when the collection was
+    built. Without it the corpus is embedded for this search.
     """
     lexical = bm25_search(index, queries, "query_id", "text", candidate_k)
     if filter_both and filters:
@@ -338,7 +341,7 @@ def hybrid_search(
         lexical = bm25_search(
             Bm25Index(index.postings.join(allowed, "doc_id", "left_semi"), index.terms, index.docs, index.n_docs,
                       index.avg_len), queries, "query_id", "text", candidate_k)
-    vectors = embed(model, corpus, "text")
+    vectors = embed(model, corpus, "text") if stored is None else stored
     asked = embed(model, queries.select("query_id", "text"), "text")
     # Used twice below; it holds at most candidate_k rows per query.
     semantic = materialize(

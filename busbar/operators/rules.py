@@ -54,8 +54,10 @@ def lookup(df: DataFrame, key: str, mapping: Mapping[str, str], out: str) -> Dat
 def equipment_class(df: DataFrame, reaction: str, elasticity: Column, margin: Column, out: str = "equipment_class"):
     """First match of: slow reaction, high elasticity, near-zero margin; else a distribution unit."""
     with_el = df.withColumn("_el", elasticity)
-    r75 = F.lit(exact_quantiles(with_el.select(reaction), reaction, {"q": 0.75}).first()["q"])
-    e75 = F.lit(exact_quantiles(with_el.select("_el"), "_el", {"q": 0.75}).first()["q"])
+    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(c).cast("double").alias("v")) for n, c in (("r", reaction), ("e", "_el"))])
+    found = exact_quantiles(with_el.select(F.inline(both)), "v", {"q": 0.75}, ["which"]).collect()  # both in one pass
+    bounds = {r["which"]: r["q"] for r in found}
+    r75, e75 = F.lit(bounds.get("r")).cast("double"), F.lit(bounds.get("e")).cast("double")
     rule = (
         F.when(F.col(reaction) >= r75, "transformer")
         .when(F.col("_el") >= e75, "smart_meter_bank")

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .aggregates import latest
 from .rules import health_score, stability_label
 
@@ -59,6 +60,32 @@ def fit_regressor(
     return Pipeline(stages=[*_stages(features, "reg"), model]).fit(rows)
 
 
+def fit_models(
+    train: DataFrame, features: Sequence[str], label: str, target: str, classifier_depth: int = 6,
+    regressor_depth: int = 5, trees: int = 200, rate: float = 0.1, row_share: float = 0.8, column_share: float = 0.8,
+    seed: int = 42,
+) -> tuple[PipelineModel, PipelineModel]:
+    """Classifier and regressor over one assembled, scaled and stored frame."""
+    rows = train.fillna(0.0, subset=list(features))
+    rows = rows.select(*features, F.col(label).cast("double").alias("_label"), F.col(target).cast("double").alias("_target"))
+    assembler, scaler = _stages(features, "fit")
+    raw = assembler.transform(rows)
+    scale = scaler.fit(raw)
+    frame = materialize(scale.transform(raw).select("_fit_x", "_label", "_target"), "training")
+    common = {"featuresCol": "_fit_x", "maxIter": trees, "stepSize": rate, "seed": seed, "cacheNodeIds": True}
+    cls = GBTClassifier(labelCol="_label", predictionCol="_cls_pred", maxDepth=classifier_depth, subsamplingRate=row_share,
+                        featureSubsetStrategy=str(column_share), **common)
+    cls.setProbabilityCol("_cls_prob").setRawPredictionCol("_cls_margin")
+    reg = GBTRegressor(labelCol="_target", predictionCol="_reg_pred", maxDepth=regressor_depth, **common)
+
+    def pipeline(model, prefix: str) -> PipelineModel:
+        first, _ = _stages(features, prefix)
+        scaled = scale.copy().setInputCol(f"_{prefix}_raw").setOutputCol(f"_{prefix}_x")
+        return PipelineModel(stages=[first, scaled, model.setFeaturesCol(f"_{prefix}_x")])
+
+    return pipeline(cls.fit(frame), "cls"), pipeline(reg.fit(frame), "reg")
+
+
 def predict_batch(df: DataFrame, classifier: PipelineModel, regressor: PipelineModel | None,
                   features: Sequence[str]) -> DataFrame:
     """Add probability, label, margin and health; works on batch and streaming rows."""

@@ -120,8 +120,10 @@ def _grid_seeds(grid: DataFrame, key: str, quotas: dict[str, int]) -> DataFrame:
 def _meter_seeds(meters: DataFrame, key: str, quotas: dict[str, int]) -> DataFrame:
     """High demand from the top 15 %, dropouts from both tails of the consumption."""
     known = clean.drop_null(meters, ["power_consumption", "voltage", "current"])
-    high = clean.filter_quantile(known, "power_consumption", hi=0.85)
-    odd = clean.filter_quantile(known, "power_consumption", lo=0.02, hi=0.97)
+    power = F.col("power_consumption")
+    q = agg.exact_quantiles(known.select(power), "power_consumption", {"low": 0.02, "high": 0.85, "top": 0.97}).first()
+    low, bar, top = (F.lit(q[n] if q else None).cast("double") for n in ("low", "high", "top"))
+    high, odd = known.filter(power >= bar), known.filter((power <= low) | (power >= top))
     parts = [
         sampling.sample_n(rows, key, quotas[event]).withColumn("outage_event", F.lit(event))
         for event, rows in zip(METER_EVENTS, (high, odd))

@@ -91,15 +91,18 @@ def report_sink(df: DataFrame, case_col: str, entry_cols: Sequence[str], path: s
 
 def build_collection(
     df: DataFrame, path: str, id_col: str, text_col: str, meta_cols: Sequence[str], partition_col: str,
-    force: bool = False,
+    force: bool = False, vec_col: str | None = None,
 ) -> DataFrame:
-    """Document collection `(id, text, meta, <partition>)`, laid out by a filter dimension.
+    """Document collection `(id, text, vec, meta, <partition>)`, laid out by a filter dimension.
 
-    Building twice is harmless: without `force` an existing collection is kept.
+    With `vec_col` the vectors are stored beside the texts, so a search reads them
+    instead of embedding the corpus again. Building twice is harmless: without
+    `force` an existing collection is kept.
     """
     out = df.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
+        *([F.col(vec_col).alias("vec")] if vec_col else []),
         F.struct(*meta_cols).alias("meta"),
         F.col(partition_col).alias(f"by_{partition_col}"),
     )
