@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import prepare
+from ..session import prepare, work_path
 
 #: Groups with more than 1/HOT_SHARE of all rows are joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
@@ -104,6 +104,28 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return out.select(*rows.columns, *(group[v].alias(v) for v in values))
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder and deletes when it is done with them."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` and read it back; a table of that name that is there already is deleted."""
+        path = work_path(df.sparkSession, name)
+        df.write.parquet(path)
+        self.drop(df.sparkSession, name)
+        self.paths[name] = path
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self, spark: SparkSession, *names: str) -> None:
+        """Delete these tables, or all."""
+        for name in names or list(self.paths):
+            if path := self.paths.pop(name, None):
+                old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 class SharedFolder:
     """Files below one URI of the shared folder, from the driver or from a task.
 

@@ -5,7 +5,8 @@ of the shingles they share one among the first (1 - t) n + 1 of each. Order one
 puts rare shingles first, so its prefixes meet in few pairs; the orders two and
 three are independent random ones. A candidate must share prefix shingles under
 all three, have a possible length, and in its first order a position from which
-enough shingles can still be shared. What remains is verified on the whole sets.
+enough shingles can still be shared. Bitmaps of 64 bytes bound how far two sets
+must differ at least. What remains is verified on the whole sets.
 
 Equal sets are one class from the start. Then the links are found in two steps:
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import LOWER, join_groups, mix64, table, utf8
+from .common import LOWER, Scratch, join_groups, mix64, table, utf8
 from .components import components
 
 #: Random orders whose first shingles bring classes together in step one.
@@ -46,6 +47,8 @@ LIST_ROWS = 2000
 #: A list of ids with at most so many rows is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 500_000
+#: Bits of a set's bitmap.
+BITS = 512
 
 _MULTIPLIERS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -75,6 +78,15 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of shingles falls on it.
+
+    Every bit in which two bitmaps differ has a shingle that only one of the sets has.
+    """
+    odd = np.bincount((mix64(shingles, 20) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Shingles of a set of `n` of which a similar set must share one, under any order."""
     return n - -(-percent * n // 100) + 1
@@ -123,17 +135,18 @@ def _prefix_task(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
         for batch in batches:
-            sizes, digests, prefixes, firsts = [], [], [], []
+            sizes, digests, prefixes, firsts, bits = [], [], [], [], []
             for text in utf8(batch.column(1)):
                 s = shingle_set(text, k)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 order = np.lexsort((mix64(s, 1), _rarity(s, frequent, counts)))
                 prefixes.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
+                bits.append(parity_bits(s))
                 firsts.append([int(mix64(s, 10 + j).min().view(np.int64)) for j in range(FIRST_ORDERS)] if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_digest", "prefix", "firsts"],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "set_digest", "prefix", "firsts", "bits"],
             )
 
     return run
@@ -176,10 +189,11 @@ def _verify_task(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The links among stored candidate pairs of classes, on their whole sets."""
+    spark = docs.sparkSession
     asked = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-    asked = materialize(classes.select("vid", "doc_id", "set_digest").join(asked, "vid", "left_semi"), "asked")
+    asked = scratch.keep(classes.select("vid", "doc_id", "set_digest").join(asked, "vid", "left_semi"), "asked")
     ids = asked.select(F.col("doc_id").alias("asked_id")).distinct()
     if asked.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -187,40 +201,47 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     sets = texts.mapInArrow(_set_task(k), "set_digest string, shingles binary")
     # Rows that share an id, and equal sets, give a digest more than once.
     sets = sets.join(asked.select("vid", "set_digest"), "set_digest").groupBy("vid").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets, "sets")
+    sets = scratch.keep(sets, "sets")
     one = sets.select(F.col("vid").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("vid").alias("b"), F.col("shingles").alias("sb"))
     full = pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb")
-    return materialize(full.mapInArrow(_verify_task(percent), "a long, b long"), "links")
+    links = scratch.keep(full.mapInArrow(_verify_task(percent), "a long, b long"), name)
+    scratch.drop(spark, "asked", "sets")
+    return links
 
 
 def _pairs_task(percent: int):
-    """Pairs from sorted rows of (shingle, first part, second part, part, n, place, vid, comp)."""
+    """Pairs from sorted rows of (shingle, first part, second part, part, n, place, vid, comp, bits)."""
     shape = ["a", "b"]
 
     def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, vid, comp, place, part = rows["n"], rows["vid"], rows["comp"], rows["place"], rows["part"]
+        n, vid, comp, place, part, bits = (rows[c] for c in ("n", "vid", "comp", "place", "part", "bits"))
         cross = rows["lo"][0] != rows["hi"][0]
         last = np.searchsorted(n, n * 100 // percent, side="right")
         width = last - np.arange(len(n)) - 1
         begin = 0
         while begin < len(n):
-            end = int(np.searchsorted(np.cumsum(width[begin:]), 1_000_000, side="left")) + begin + 1
+            end = int(np.searchsorted(np.cumsum(width[begin:]), 200_000, side="left")) + begin + 1
             i = np.repeat(np.arange(begin, min(end, len(n))), width[begin:end])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[begin:end]) - width[begin:end], width[begin:end])
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
             keep = (comp[i] != comp[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
             if cross:
                 keep &= part[i] != part[j]
-            x, y = vid[i[keep]], vid[j[keep]]
+            i, j, need = i[keep], j[keep], need[keep]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            near = differ <= n[i] + n[j] - 2 * need
+            x, y = vid[i[near]], vid[j[near]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], shape)
             begin = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shingle", "lo", "hi", "n", "place", "vid", "comp", "part"]
-        rest = {c: np.zeros(0, np.int64) for c in names}
+        numbers = ["shingle", "lo", "hi", "n", "place", "vid", "comp", "part"]
+        names = [*numbers, "bits"]
+        rest = {c: np.zeros(0, np.int64) for c in numbers} | {"bits": np.zeros((0, BITS // 64), np.uint64)}
         for batch in batches:
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in numbers}
+            new["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             rows = {c: np.concatenate([rest[c], new[c]]) for c in names}
             size = len(rows["n"])
             edge = np.flatnonzero((np.diff(rows["shingle"]) != 0) | (np.diff(rows["lo"]) != 0) | (np.diff(rows["hi"]) != 0)) + 1
@@ -235,36 +256,36 @@ def _pairs_task(percent: int):
     return run
 
 
-def _first_pairs(classes: DataFrame, percent: int) -> DataFrame:
+def _first_pairs(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Step one: each class with the smallest class that has the same first shingle under some order."""
     rows = classes.select("vid", "n", F.posexplode("firsts").alias("nr", "first"))
     rows = rows.select("vid", "n", F.concat_ws(" ", "nr", "first").alias("key"))
     groups = rows.groupBy("key").agg(F.min(F.struct("vid", "n")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
     groups = groups.select("key", F.col("pivot.vid").alias("a"), F.col("pivot.n").alias("an"), "members")
-    groups = materialize(groups, "pivots")
+    groups = scratch.keep(groups, "pivots")
     joined = join_groups(rows, groups, "key", "members", FIRST_ORDERS * classes.count())
     fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("a") != F.col("vid"))
     return joined.filter(fits).select("a", F.col("vid").alias("b")).distinct()
 
 
-def _other_pairs(classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _other_pairs(classes: DataFrame, comps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Step two: pairs of classes of different components that share a prefix shingle of order one."""
     labelled = classes.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-    rows = labelled.select("vid", "comp", "n", F.posexplode("prefix").alias("place", "shingle"))
+    rows = labelled.select("vid", "comp", "n", "bits", F.posexplode("prefix").alias("place", "shingle"))
     lists = rows.groupBy("shingle").agg(F.count("*").alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    lists = materialize(lists.filter("members > 1 AND least <> most").select("shingle", "members"), "lists")
+    lists = scratch.keep(lists.filter("members > 1 AND least <> most").select("shingle", "members"), "lists")
     few = lists.count() <= BROADCAST_IDS
     rows = rows.join(F.broadcast(lists) if few else lists, "shingle")
     # A long list is cut into parts by a hash of the class, and every two parts meet.
     parts = F.ceil(F.col("members") / LIST_ROWS).cast("long")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "n", "place", "vid", "comp", "part")
+    rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "n", "place", "vid", "comp", "part", "bits")
     dealt = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "n", "vid")
     return dealt.mapInArrow(_pairs_task(percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, set_digest and component_id.
 
     Two rows link when 100 * intersection >= percent * union of their sets of
@@ -272,30 +293,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str
     links. Null and wordless texts have no shingles, no digest and link with
     nothing. Repeated rows have equal sets, hence one component; a null id is
     no candidate for the smallest. No rows give no rows; other columns are not
-    read.
+    read. The result reads tables of `scratch`, so drop them after it is stored.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, scratch or Scratch()
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(rows, "text", shingle_words))  # at most FREQUENT numbers
-    found = materialize(rows.mapInArrow(_prefix_task(shingle_words, percent, shared), "doc_id long, n int, set_digest string, prefix array<long>, firsts array<long>"), "prefixes")
+    shape = "doc_id long, n int, set_digest string, prefix array<long>, firsts array<long>, bits binary"
+    found = scratch.keep(rows.mapInArrow(_prefix_task(shingle_words, percent, shared), shape), "prefixes")
     shared.unpersist()
     classes = found.filter("n > 0").groupBy("set_digest").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")
     )
-    classes = materialize(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
-
-    first = materialize(_first_pairs(classes, percent), "first-pairs")
-    links = verify(first, classes, rows, "doc_id", "text", shingle_words, percent)
-    comps = components(links)
-    other = materialize(_other_pairs(classes, comps, percent), "other-pairs")
-    more = verify(other, classes, rows, "doc_id", "text", shingle_words, percent)
+    classes = scratch.keep(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
+    found = scratch.keep(found.select("doc_id", "n", "set_digest"), "digests")
+    scratch.drop(spark, "prefixes")
+
+    first = scratch.keep(_first_pairs(classes, percent, scratch), "first-pairs")
+    links = verify(first, classes, rows, "doc_id", "text", shingle_words, percent, scratch, "first-links")
+    comps = components(links, scratch)
+    other = scratch.keep(_other_pairs(classes, comps, percent, scratch), "other-pairs")
+    more = verify(other, classes, rows, "doc_id", "text", shingle_words, percent, scratch, "other-links")
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
+        comps = components(links.unionByName(more), scratch)
 
     labelled = classes.select("vid", "doc_id", "set_digest", "copies").join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     groups = labelled.join(least, "comp").select("set_digest", "component_id", "copies")
-    out = join_groups(found.select("doc_id", "n", "set_digest"), materialize(groups, "groups"), "set_digest", "copies", found.count())
+    groups = scratch.keep(groups, "groups")
+    scratch.drop(spark, "classes", "pivots", "lists", "first-pairs", "other-pairs", "first-links", "other-links", "labels")
+    out = join_groups(found, groups, "set_digest", "copies", found.count())
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_digest", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -305,8 +331,10 @@ def one_of_each_group(docs: DataFrame, shingle_words: int, percent: int, key: st
     Of rows that share that id, one stays. Documents without shingles, or without
     an id, are in no group and stay.
     """
-    found = near_duplicates(docs, shingle_words, percent, key, text).select(F.col("doc_id").alias("_id"), "n_shingles", "component_id")
+    scratch = Scratch()
+    found = near_duplicates(docs, shingle_words, percent, key, text, scratch).select(F.col("doc_id").alias("_id"), "n_shingles", "component_id")
     found = materialize(found, "near-duplicates")
+    scratch.drop(docs.sparkSession)
     gone = found.filter("_id <> component_id").select("_id").distinct()
     again = found.filter("n_shingles > 0 AND _id = component_id").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id")
     again = materialize(again, "repeated-ids")
