@@ -58,15 +58,16 @@ class Features:
     """Term weights of texts, before the inverse document frequencies."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}  # number of a word's shape, and below it 32 bits of the word itself
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = zlib.crc32(shape(w).encode()) % SHAPES, zlib.crc32(w.lower().encode())
-        return np.array([known[w] for w in words], np.int64).reshape(-1, 2)
+        for w in [w for w in set(words) if w not in known]:
+            known[w] = zlib.crc32(shape(w).encode()) % SHAPES << 32 | zlib.crc32(w.lower().encode())
+        both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return both >> 32, both & 0xFFFFFFFF
 
     def weights(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), TERMS), np.float32)
@@ -77,7 +78,7 @@ class Features:
             row[_SIZE + min(n.bit_length(), 23)] = 0.2
             if not n:
                 continue
-            shapes, ids = self._numbers(words).T
+            shapes, ids = self._numbers(words)
             row[:SHAPES] = np.sqrt(np.bincount(shapes, minlength=SHAPES) / n)
             if n > 1:
                 pairs = (shapes[:-1] * 31 + shapes[1:]) % PAIRS
