@@ -4,15 +4,16 @@ If two sets have a Jaccard similarity of at least t, then under any global order
 of the shingles they share one among the first (1 - t) n + 1 of each. Order one
 puts rare shingles first, so its prefixes meet in few pairs; the orders two and
 three are independent random ones. A candidate must share prefix shingles under
-all three, have a possible length, and in its first order a position from which
-enough shingles can still be shared. Bitmaps of 64 bytes bound how far two sets
-must differ at least. What remains is verified on the whole sets.
+all three, have a possible length, share under the first order as many prefix
+shingles as the rest of the sets leaves to share, and one of them at a place from
+which enough can still follow. Bitmaps of 64 bytes bound how far two sets must
+differ at least. What remains is verified on the whole sets.
 
 Equal sets are one class from the start. Then the links are found in two steps:
 
-1. Every class meets one other for each of a few random orders: the smallest
-   class with the same first shingle. The links found there join large groups of
-   near copies, at a cost that is linear in their size.
+1. Every class meets one other for each of a few random orders: one of the
+   classes with the same first shingle, another for each order. The links found
+   there join large groups of near copies, at a cost that is linear in their size.
 2. All prefixes of order one are joined, but only pairs of classes that are not
    yet connected are candidates. A link inside a component would change nothing,
    every other link is found.
@@ -33,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import LOWER, Scratch, join_groups, mix64, table, utf8
+from .common import LOWER, Scratch, join_groups, mix64, table, take_over, utf8
 from .components import components
 
 #: Random orders whose first shingles bring classes together in step one.
-FIRST_ORDERS = 4
+FIRST_ORDERS = 8
 #: The order by rarity knows at most so many frequent shingles; all others are rare. Any such list gives a valid order.
 FREQUENT = 1 << 18
 #: Shingles counted at a time, and how often one must occur there to be reported.
@@ -46,7 +47,7 @@ COUNTED, REPORTED = 4_000_000, 3
 LIST_ROWS = 2000
 #: A list of ids with at most so many rows is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 2_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Bits of a set's bitmap.
 BITS = 512
 
@@ -78,13 +79,13 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def parity_bits(shingles: np.ndarray) -> bytes:
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
     """For each bit, whether an odd number of shingles falls on it.
 
     Every bit in which two bitmaps differ has a shingle that only one of the sets has.
     """
     odd = np.bincount((mix64(shingles, 20) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -94,6 +95,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _report_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("ngram_jaccard", _HASHES.clear)
         held, n = [], 0
 
         def drain():
@@ -133,6 +135,7 @@ def _rarity(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
 
 def _prefix_task(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("ngram_jaccard", _HASHES.clear)
         frequent, counts = shared.value
         for batch in batches:
             sizes, digests, prefixes, firsts, bits = [], [], [], [], []
@@ -145,7 +148,7 @@ def _prefix_task(k: int, percent: int, shared):
                 bits.append(parity_bits(s))
                 firsts.append([int(mix64(s, 10 + j).min().view(np.int64)) for j in range(FIRST_ORDERS)] if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 ["doc_id", "n", "set_digest", "prefix", "firsts", "bits"],
             )
 
@@ -154,6 +157,7 @@ def _prefix_task(k: int, percent: int, shared):
 
 def _set_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("ngram_jaccard", _HASHES.clear)
         for batch in batches:
             sets = [shingle_set(t, k).tobytes() for t in utf8(batch.column(0))]
             digests = [hashlib.blake2b(s, digest_size=16).hexdigest() for s in sets]
@@ -211,12 +215,17 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
 
 
 def _pairs_task(percent: int):
-    """Pairs from sorted rows of (shingle, first part, second part, part, n, place, vid, comp, bits)."""
-    shape = ["a", "b"]
+    """A row for each prefix shingle that a pair shares, from sorted rows of (shingle, parts, n, place, vid, comp, bits).
+
+    With it come the shingles that the two prefixes must share at least, and
+    whether enough shingles can follow if this one is the first that they share.
+    """
+    shape = ["a", "b", "least", "fits"]
 
     def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n, vid, comp, place, part, bits = (rows[c] for c in ("n", "vid", "comp", "place", "part", "bits"))
         cross = rows["lo"][0] != rows["hi"][0]
+        rest_of = -(-percent * n // 100) - 1  # shingles behind the prefix
         last = np.searchsorted(n, n * 100 // percent, side="right")
         width = last - np.arange(len(n)) - 1
         begin = 0
@@ -225,14 +234,19 @@ def _pairs_task(percent: int):
             i = np.repeat(np.arange(begin, min(end, len(n))), width[begin:end])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[begin:end]) - width[begin:end], width[begin:end])
             need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            keep = (comp[i] != comp[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+            keep = comp[i] != comp[j]
             if cross:
                 keep &= part[i] != part[j]
             i, j, need = i[keep], j[keep], need[keep]
             differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             near = differ <= n[i] + n[j] - 2 * need
-            x, y = vid[i[near]], vid[j[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], shape)
+            i, j, need = i[near], j[near], need[near]
+            fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
+            # What is shared beyond the prefix that ends first lies in the rest of that set.
+            least = need - np.maximum(rest_of[i], rest_of[j])
+            x, y = vid[i], vid[j]
+            arrays = [np.minimum(x, y), np.maximum(x, y), least, fits]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], shape)
             begin = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +255,7 @@ def _pairs_task(percent: int):
         rest = {c: np.zeros(0, np.int64) for c in numbers} | {"bits": np.zeros((0, BITS // 64), np.uint64)}
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in numbers}
-            new["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            new["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
             rows = {c: np.concatenate([rest[c], new[c]]) for c in names}
             size = len(rows["n"])
             edge = np.flatnonzero((np.diff(rows["shingle"]) != 0) | (np.diff(rows["lo"]) != 0) | (np.diff(rows["hi"]) != 0)) + 1
@@ -257,15 +271,18 @@ def _pairs_task(percent: int):
 
 
 def _first_pairs(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Step one: each class with the smallest class that has the same first shingle under some order."""
-    rows = classes.select("vid", "n", F.posexplode("firsts").alias("nr", "first"))
-    rows = rows.select("vid", "n", F.concat_ws(" ", "nr", "first").alias("key"))
-    groups = rows.groupBy("key").agg(F.min(F.struct("vid", "n")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    groups = groups.select("key", F.col("pivot.vid").alias("a"), F.col("pivot.n").alias("an"), "members")
+    """Step one: each class with one class that has the same first shingle under some order, if their bitmaps allow it."""
+    rows = classes.select("vid", "n", "bits", F.posexplode("firsts").alias("nr", "first"))
+    rows = rows.select("vid", "n", "bits", F.concat_ws(" ", "nr", "first").alias("key"), F.xxhash64("vid", "nr").alias("turn"))
+    groups = rows.groupBy("key").agg(F.min(F.struct("turn", "vid", "n", "bits")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    groups = groups.select("key", F.col("pivot.vid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.bits").alias("ab"), "members")
     groups = scratch.keep(groups, "pivots")
     joined = join_groups(rows, groups, "key", "members", FIRST_ORDERS * classes.count())
     fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("a") != F.col("vid"))
-    return joined.filter(fits).select("a", F.col("vid").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("ab")[k])) for k in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("ab")[0])))
+    both = F.col("n") + F.col("an")
+    fits = fits & (differ <= both - 2 * F.ceil(both * percent / (100 + percent)))
+    return joined.filter(fits).select(F.least("a", "vid").alias("a"), F.greatest("a", "vid").alias("b")).distinct()
 
 
 def _other_pairs(classes: DataFrame, comps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -282,7 +299,9 @@ def _other_pairs(classes: DataFrame, comps: DataFrame, percent: int, scratch: Sc
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("shingle", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "n", "place", "vid", "comp", "part", "bits")
     dealt = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "n", "vid")
-    return dealt.mapInArrow(_pairs_task(percent), "a long, b long").distinct()
+    shared = dealt.mapInArrow(_pairs_task(percent), "a long, b long, least long, fits boolean")
+    counted = shared.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("least").alias("least"), F.bool_or("fits").alias("fits"))
+    return counted.filter("n >= least AND fits").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -298,7 +317,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str
     spark, scratch = docs.sparkSession, scratch or Scratch()
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(rows, "text", shingle_words))  # at most FREQUENT numbers
-    shape = "doc_id long, n int, set_digest string, prefix array<long>, firsts array<long>, bits binary"
+    shape = "doc_id long, n int, set_digest string, prefix array<long>, firsts array<long>, bits array<long>"
     found = scratch.keep(rows.mapInArrow(_prefix_task(shingle_words, percent, shared), shape), "prefixes")
     shared.unpersist()
     classes = found.filter("n > 0").groupBy("set_digest").agg(
@@ -350,5 +369,18 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT r, array_to_string(w[k:k + 3], ' ') AS x
+           FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+     n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+     met AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+     link AS (SELECT a, b FROM met JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+     reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach ON reach.a = d.r JOIN d e ON e.r = reach.b GROUP BY d.r, d.doc_id
+"""
+
 QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
-SQL: dict[str, str] = {}
+SQL = {"op5_ngram_jaccard": OP5_SQL}
