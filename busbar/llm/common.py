@@ -84,6 +84,20 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
     return run
 
 
+_HELD: list = []
+
+
+def take_over(name: str, clear: Callable[[], None]) -> None:
+    """Tell that a task of operator `name` keeps something in its worker, and how that is given up.
+
+    Workers serve one operator after another; what the one before has kept is
+    given up as soon as another begins.
+    """
+    if _HELD and _HELD[0] != name:
+        _HELD[1]()
+    _HELD[:] = [name, clear]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of many rows with one row per group, in one pass, whatever the largest group is.
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, held_out, table
+from .common import annotate, held_out, table, take_over
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -283,6 +283,7 @@ _SCORERS: dict[str, Scorer] = {}
 
 def _score(path: str, langs: list[str], model, key: str, text: str):
     def make():
+        take_over("language_id", _SCORERS.clear)
         if key not in _SCORERS:  # one model at a time, kept for the worker's next tasks
             _SCORERS.clear()
             _SCORERS[key] = Scorer(path, model.value)

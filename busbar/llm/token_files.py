@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_path
-from .common import SharedFolder, spread_files, table
+from .common import SharedFolder, spread_files, table, take_over
 
 MAGIC = b"TOKIDS01"
 BLOCK_IDS = 4096
@@ -199,12 +199,13 @@ class PieceEncoder:
         if len(self.unsafe) > CACHE_PIECES:
             self.unsafe.clear()
         split = [t.split(" ") for t in texts]
-        fresh = set().union(*split) - self.parts.keys() - self.unsafe
+        # Not a difference with the table's keys: that would walk through the whole table.
+        fresh = {p for p in set().union(*split) if p not in self.parts and p not in self.unsafe}
         self.unsafe |= (odd := {p for p in fresh if not self._cut_before(p)})
         self._learn(self.parts, fresh - odd, " ")
         joined = [[p[0], p[1:]] if self.unsafe.isdisjoint(p[1:]) else self._rejoin(p) for p in split]
         heads = {head for j in joined for head in ([j[0]] if len(j) == 2 else j[0])}
-        self._learn(self.heads, heads - self.heads.keys(), "")
+        self._learn(self.heads, [p for p in heads if p not in self.heads], "")
         return [
             self.heads[j[0]] + b"".join(map(self.parts.__getitem__, j[1])) if len(j) == 2 else b"".join(map(self.heads.__getitem__, j[0]))
             for j in joined
@@ -229,6 +230,7 @@ def _encoder(path: str) -> PieceEncoder:
 
 def _encode_task(uri: str, path: str, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("token_files", _encoder.cache_clear)
         encoder, folder, part = _encoder(path), SharedFolder(uri), TaskContext.get().partitionId()
         bits, end = id_bits(encoder.vocabulary), np.array([end_id], "<u4").tobytes()
         seq, doc_ids, sizes, held = 0, [], [], []
