@@ -45,6 +45,8 @@ FREQUENT = 1 << 18
 COUNTED, REPORTED = 4_000_000, 3
 #: Rows of one shingle that are compared in one piece.
 LIST_ROWS = 2000
+#: Lists of up to so many rows are compared all together.
+SHORT_LIST = 64
 #: A list of ids with at most so many rows is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 250_000
@@ -220,52 +222,70 @@ def _pairs_task(percent: int):
     With it come the shingles that the two prefixes must share at least, and
     whether enough shingles can follow if this one is the first that they share.
     """
-    shape = ["a", "b", "least", "fits"]
-
-    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, vid, comp, place, part, bits = (rows[c] for c in ("n", "vid", "comp", "place", "part", "bits"))
-        cross = rows["lo"][0] != rows["hi"][0]
-        rest_of = -(-percent * n // 100) - 1  # shingles behind the prefix
-        last = np.searchsorted(n, n * 100 // percent, side="right")
-        width = last - np.arange(len(n)) - 1
+    numbers = ["shingle", "lo", "hi", "n", "place", "vid", "comp", "part"]
+
+    def emit(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        n, vid, place, bits = (rows[c] for c in ("n", "vid", "place", "bits"))
+        # Rows of one part meet in that part's own list, those of two parts in the list of both.
+        keep = (rows["comp"][i] != rows["comp"][j]) & ((rows["lo"][i] == rows["hi"][i]) | (rows["part"][i] != rows["part"][j]))
+        i, j = i[keep], j[keep]
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        near = differ <= n[i] + n[j] - 2 * need
+        i, j, need = i[near], j[near], need[near]
+        fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
+        # What is shared beyond the prefix that ends first lies in the rest of that set.
+        rest = -(-percent * np.maximum(n[i], n[j]) // 100) - 1
+        arrays = [np.minimum(vid[i], vid[j]), np.maximum(vid[i], vid[j]), need - rest, fits]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], ["a", "b", "least", "fits"])
+
+    def short_lists(rows: dict[str, np.ndarray], i: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of all short lists together: each row with the next of its list, then with the one after it, and on."""
+        n, step = rows["n"], 0
+        while len(i):
+            step += 1
+            on = i + step < ends
+            i, ends = i[on], ends[on]
+            on = n[i + step] * percent <= n[i] * 100  # a list is sorted by size
+            i, ends = i[on], ends[on]
+            for lo in range(0, len(i), 200_000):
+                yield emit(rows, i[lo : lo + 200_000], i[lo : lo + 200_000] + step)
+
+    def long_list(rows: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        n = rows["n"][lo:hi]
+        width = np.searchsorted(n, n * 100 // percent, side="right") - np.arange(len(n)) - 1
         begin = 0
         while begin < len(n):
-            end = int(np.searchsorted(np.cumsum(width[begin:]), 200_000, side="left")) + begin + 1
-            i = np.repeat(np.arange(begin, min(end, len(n))), width[begin:end])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[begin:end]) - width[begin:end], width[begin:end])
-            need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            keep = comp[i] != comp[j]
-            if cross:
-                keep &= part[i] != part[j]
-            i, j, need = i[keep], j[keep], need[keep]
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            near = differ <= n[i] + n[j] - 2 * need
-            i, j, need = i[near], j[near], need[near]
-            fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
-            # What is shared beyond the prefix that ends first lies in the rest of that set.
-            least = need - np.maximum(rest_of[i], rest_of[j])
-            x, y = vid[i], vid[j]
-            arrays = [np.minimum(x, y), np.maximum(x, y), least, fits]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], shape)
+            end = min(int(np.searchsorted(np.cumsum(width[begin:]), 200_000, side="left")) + begin + 1, len(n))
+            own = width[begin:end]
+            i = np.repeat(np.arange(begin, end), own)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+            yield emit(rows, lo + i, lo + j)
             begin = end
 
+    def lists(rows: dict[str, np.ndarray], begins: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        short = ends - begins <= SHORT_LIST
+        sizes = (ends - begins)[short]
+        i = np.repeat(begins[short], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield from short_lists(rows, i, np.repeat(ends[short], sizes))
+        for lo, hi in zip(begins[~short].tolist(), ends[~short].tolist()):
+            yield from long_list(rows, lo, hi)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = ["shingle", "lo", "hi", "n", "place", "vid", "comp", "part"]
         names = [*numbers, "bits"]
-        rest = {c: np.zeros(0, np.int64) for c in numbers} | {"bits": np.zeros((0, BITS // 64), np.uint64)}
+        held = {c: np.zeros(0, np.int64) for c in numbers} | {"bits": np.zeros((0, BITS // 64), np.uint64)}
         for batch in batches:
             new = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in numbers}
             new["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
-            rows = {c: np.concatenate([rest[c], new[c]]) for c in names}
-            size = len(rows["n"])
+            rows = {c: np.concatenate([held[c], new[c]]) for c in names}
+            if not len(rows["n"]):
+                continue
             edge = np.flatnonzero((np.diff(rows["shingle"]) != 0) | (np.diff(rows["lo"]) != 0) | (np.diff(rows["hi"]) != 0)) + 1
             begins = np.r_[0, edge]
-            for lo, hi in zip(begins[:-1], begins[1:]):
-                if hi - lo > 1:
-                    yield from pairs_of({c: rows[c][lo:hi] for c in names})
-            rest = {c: rows[c][begins[-1] : size] for c in names}
-        if len(rest["n"]) > 1:
-            yield from pairs_of(rest)
+            yield from lists(rows, begins[:-1], begins[1:])
+            held = {c: rows[c][begins[-1] :] for c in names}  # the last list may go on in the next batch
+        if len(held["n"]) > 1:
+            yield from lists(held, np.array([0]), np.array([len(held["n"])]))
 
     return run
 
