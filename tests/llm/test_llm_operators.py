@@ -226,6 +226,36 @@ def test_licences(spark):
     assert licenses.scan_licenses(tables.empty(spark)).count() == 0
 
 
+def test_whole_and_inner_licence_texts(spark):
+    import textwrap
+    from importlib import resources
+
+    file = lambda spdx: (resources.files("busbar.llm") / f"license_texts/{spdx}.txt").read_text()
+    wrap = lambda t, w: "\n\n".join(textwrap.fill(" ".join(x.split()), w) for x in t.split("\n\n"))
+    header, mit = licenses.TEXTS["Apache-2.0"], licenses.TEXTS["MIT"]
+    bsd = wrap(licenses.TEXTS["BSD-3-Clause"], 72)
+    texts = {
+        **{s: (licenses.TEXTS[s], s, "", 0) for s in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0")},
+        **{s: (file(s), s, "", 0) for s in licenses.FILES if s != "Unlicense"},
+        "cut": (file("Apache-2.0").split("END OF TERMS")[0], "Apache-2.0", "", 0),
+        "mit 80": (wrap(mit, 80), "MIT", "", 0),
+        "mit 60": ("Copyright 2020 X\n\n" + wrap(mit, 60), "MIT", "", 0),
+        "code": ("#!/bin/sh\n#\n" + "".join(f"# {x}\n" for x in header.split("\n")) + "\nrm x\n", None, "Apache-2.0", 1),
+        "two": (f"prose\n\n{wrap(mit, 79)}\n\nother prose\n\n{bsd}\n\nend", None, "BSD-3-Clause,MIT", 2),
+        "nested": ("begin\n" + file("Apache-2.0") + "\nend", None, "Apache-2.0", 1),
+        "long": ("begin\n" + file("GPL-3.0") + "\nend", None, "GPL-3.0", 1),
+        "wrapped": ("prose\n * This software is released\n * under the MIT License.\nmore", None, "MIT", 1),
+        "after": ("Copyright 2020 X\nReleased under\nthe Apache License,\nVersion 2.0.\n\nmore", None, "Apache-2.0", 1),
+        "line": ("This work is\nlicensed under the MIT License.\n\nCopyright 2020 X\n", "MIT", "MIT", 1),
+        "changed": ("x\n" + mit.replace("free of charge", "for a charge"), None, "", 0),
+    }
+    frame = spark.createDataFrame([(k, t[0]) for k, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.line_licenses, r.n_license_lines) for r in licenses.scan_licenses(frame).collect()}
+    for k, (name, want) in enumerate(texts.items()):
+        assert got[k][0] == want[1] and (want[1] in licenses.FILES or got[k][1:] == want[2:]), (name, got[k])
+    assert len({spdx for spdx in licenses.NAMES} - set(licenses.TEXTS) - set(licenses.FILES)) == 4  # named in the README
+
+
 def test_licence_digests_equal_the_plain_form(spark, docs, pairs):
     got = Counter((r.doc_id, r.text_sha256) for r in licenses.scan_licenses(docs).collect())
     assert got == Counter((d, licenses.digest(licenses.canonical(t or ""))) for d, t in pairs)
