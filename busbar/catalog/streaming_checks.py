@@ -63,9 +63,8 @@ def bounded_buffer(spark, d):
 )
 def minute_windows(spark, d):
     path = work_path(spark, "windows")
-    result = live.minute_windows(readings(spark, d), "ts", "prob", "freq")
-    live.delta_log(result, path)
-    return live.read_delta_log(spark, path, result.schema, ["window_id"])
+    live.minute_log(readings(spark, d), path, "ts", "prob", "freq")
+    return live.read_minutes(spark, path)
 
 
 @query(

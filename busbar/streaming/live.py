@@ -36,6 +36,9 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+_MINUTES = "window_id long, n long, unstable long, total double, known long, newest timestamp"
+
+
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str, per_trigger: int = 64) -> DataFrame:
     """File stream with a given schema; `pattern` picks the files of one table."""
     return (
@@ -153,7 +156,7 @@ def read_delta_log(spark: SparkSession, path: str, schema: T.StructType, keys: S
 
 
 def minute_windows(stream: DataFrame, ts: str, prob: str, freq: str, late: str = "10 minutes") -> DataFrame:
-    """Tumbling one-minute indicators. The watermark bounds the state."""
+    """Tumbling one-minute indicators. The watermark bounds the state; readings behind it are lost here, `minute_log` keeps them."""
     timed = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
     return (
         timed.groupBy(F.window("_t", "1 minute"))
@@ -166,6 +169,48 @@ def minute_windows(stream: DataFrame, ts: str, prob: str, freq: str, late: str =
     )
 
 
+def minute_log(stream: DataFrame, path: str, ts: str, prob: str, freq: str, late: str = "10 minutes") -> None:
+    """One-minute indicators that lose no reading: what is behind the watermark goes to a side table.
+
+    The watermark of a batch is the newest time of the batches before it, less `late`,
+    as in Spark. A reading whose minute has ended by then, or that has no time,
+    is written to `late`; all others are added to the windows.
+    """
+
+    def split(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        older = [b for b in _batches(spark, f"{path}/marks") if b < number]
+        seen = spark.read.schema("seen timestamp").parquet(f"{path}/marks/v{older[-1]}").first()["seen"] if older else None
+        seen = F.lit(seen).cast("timestamp")
+        timed = batch.withColumn("_t", F.col(ts).cast("timestamp"))
+        minute = F.floor(F.unix_seconds("_t") / 60)
+        ended = F.timestamp_seconds((minute + 1) * 60) <= seen - F.expr(f"INTERVAL '{late}'")
+        behind = F.col("_t").isNull() | F.coalesce(ended, F.lit(False))
+        timed.filter(behind).drop("_t").write.mode("overwrite").parquet(f"{path}/late/v{number}")
+        timed.filter(~behind).groupBy(minute.alias("window_id")).agg(
+            F.count("*").alias("n"), F.count_if(F.col(prob) >= 0.5).alias("unstable"), F.sum(freq).alias("total"),
+            F.count(freq).alias("known"), F.max("_t").alias("newest"),
+        ).write.mode("overwrite").parquet(f"{path}/windows/v{number}")
+        newest = spark.read.schema(_MINUTES).parquet(f"{path}/windows/v{number}").agg(F.max("newest").alias("newest"))
+        newest.select(F.greatest("newest", seen).alias("seen")).write.mode("overwrite").parquet(f"{path}/marks/v{number}")
+
+    run_available(stream.writeStream.foreachBatch(split), f"{path}-checkpoint")
+
+
+def read_minutes(spark: SparkSession, path: str) -> DataFrame:
+    """The windows of a minute log; no rows before the first batch."""
+    versions = [f"{path}/windows/v{b}" for b in _batches(spark, f"{path}/windows")]
+    rows = spark.read.schema(_MINUTES).parquet(*versions) if versions else spark.createDataFrame([], _MINUTES)
+    mean = F.round(F.sum("total") / F.nullif(F.sum("known"), F.lit(0)), 6)
+    return rows.groupBy("window_id").agg(F.sum("n").alias("n"), F.sum("unstable").alias("unstable"), mean.alias("mean_freq"))
+
+
+def read_late(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The readings of a minute log that came too late for their window, or without a time."""
+    versions = [f"{path}/late/v{b}" for b in _batches(spark, f"{path}/late")]
+    return spark.read.schema(schema).parquet(*versions) if versions else spark.createDataFrame([], schema)
+
+
 def last_known(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, cols: Sequence[str]) -> DataFrame:
     """Newest reading per key; the state is one row per key."""
     newest = F.max_by(F.struct(ts, tie, *cols), F.struct(ts, tie)).alias("_r")

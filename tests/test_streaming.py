@@ -63,6 +63,27 @@ def test_windows_over_many_batches_equal_batch(spark, sf, folder):
     assert tuple(got) == tuple(want)
 
 
+def test_late_readings_go_to_a_side_table(spark):
+    folder, path = tempfile.mkdtemp(prefix="run-", dir="/tmp"), tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/minutes"
+    schema = "id long, ts timestamp_ntz, prob double, freq double"
+    files = [
+        [(1, "00:00:10", 0.1, 50.0), (2, "00:30:00", 0.9, 51.0)],
+        [(3, "00:09:59", 0.9, 52.0), (4, "00:20:30", 0.9, None), (5, None, 0.1, 50.0), (6, "00:19:59", 0.1, 50.0)],
+        [(7, "00:00:20", 0.1, 50.0), (8, "00:30:40", 0.1, 52.0), (9, "00:20:10", 0.2, 50.0)],
+    ]
+    for rows in files:  # one batch each, in this order
+        frame = spark.createDataFrame([(k, t and f"2024-01-01 {t}", p, f) for k, t, p, f in rows], "id long, ts string, prob double, freq double")
+        frame.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):  # the second run finds its checkpoint and no new files
+        rows = live.read_files(spark, folder, spark.createDataFrame([], schema).schema, "*.parquet", per_trigger=1)
+        live.minute_log(rows, path, "ts", "prob", "freq")
+    # The watermark after the first batch is 00:20:00.
+    assert sorted(r["id"] for r in live.read_late(spark, path, rows.schema).collect()) == [3, 5, 6, 7]
+    got = sorted((r["window_id"] % 60, r["n"], r["unstable"], r["mean_freq"]) for r in live.read_minutes(spark, path).collect())
+    assert got == [(0, 1, 0, 50.0), (20, 2, 1, 50.0), (30, 2, 1, 51.5)]
+    assert live.read_minutes(spark, path + "-none").count() == 0
+
+
 def test_last_known_over_many_batches(spark, sf, folder):
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/state"
     rows = stream(spark, folder).withColumn("zone", F.expr("concat('Zone_', char(65 + user_id % 4))"))
