@@ -92,12 +92,11 @@ class Features:
 
     @staticmethod
     def _unique(ids: np.ndarray) -> float:
-        """Share of words that are new within their stretch."""
+        """Share of words that are new within their stretch; the last stretch may be shorter."""
         whole = len(ids) // STRETCH * STRETCH
-        if not whole:
-            return len(np.unique(ids)) / len(ids)
         rows = np.sort(ids[:whole].reshape(-1, STRETCH), axis=1)
-        return float((1 + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)).mean() / STRETCH)
+        new = len(rows) + (rows[:, 1:] != rows[:, :-1]).sum() + len(np.unique(ids[whole:]))
+        return float(new / len(ids))
 
 
 _FEATURES = Features()

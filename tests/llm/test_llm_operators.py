@@ -396,6 +396,13 @@ def test_quality_of_awkward_rows(spark, docs):
     assert quality.classify(tables.empty(spark), model).count() == 0
 
 
+def test_uniqueness_takes_in_the_last_stretch():
+    unique = lambda *ids: quality.Features._unique(np.array(ids))
+    assert unique(*range(64), *[7] * 36) == 65 / 100
+    assert unique(*range(64), *range(64), 1, 1) == 129 / 130
+    assert (unique(1, 1, 2), unique(*range(64)), unique(*[3] * 128)) == (2 / 3, 1, 2 / 128)
+
+
 # --- 8 language model ---------------------------------------------------------------------------
 
 
