@@ -372,10 +372,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         rows = rows.withColumn("key", F.col("key").cast("string"))
     found = scratch.keep(rows.mapInArrow(_store_task(folder, key_type, length), "core long, file long, times int"), "cores")
     files = found.filter("core IS NULL").select("file")
+    tasks = max(files.count(), 1)  # a task for a file: its shuffled rows are few, its text is not
     cores = found.filter("core IS NOT NULL")
     twice = cores.groupBy("core").agg(F.sum("times").alias("n")).filter("n > 1").select("core")
     repeated = cores.select("core", "file").join(twice, "core", "left_semi")
-    contexts = scratch.keep(repeated.groupBy("file").applyInArrow(_contexts_task(folder, length), _CONTEXT), "contexts")
+    contexts = scratch.keep(repeated.repartition(tasks, "file").groupBy("file").applyInArrow(_contexts_task(folder, length), _CONTEXT), "contexts")
 
     run, size, spans = length - core_bytes(length) + 1, core_bytes(length), []
     for width in (*(c for c in CUTS if c < run), None):
@@ -399,6 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     kind = "long" if key_type == pa.int64() else "string"
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+    files, all_spans = files.repartition(tasks, "file"), all_spans.repartition(tasks, "file")
     out = files.groupBy("file").cogroup(all_spans.groupBy("file")).applyInArrow(_removal_task(folder, key_type, names, with_kept), schema)
     return out.withColumn(key, F.col(key).cast(key_field.dataType))
 
