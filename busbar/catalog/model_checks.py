@@ -55,14 +55,14 @@ def scale_features(spark, d):
 @query("l02_fit_classifier")
 def fit_classifier(spark, d):
     _, cls, _ = models(spark, d)
-    weights = cls.stages[-1].featureImportances.toArray().tolist()
+    weights = cls.importances().tolist()
     return spark.createDataFrame(list(zip(FEATURES, weights)), "feature string, importance double")
 
 
 @query("l03_fit_regressor")
 def fit_regressor(spark, d):
     _, _, reg = models(spark, d)
-    weights = reg.stages[-1].featureImportances.toArray().tolist()
+    weights = reg.importances().tolist()
     return spark.createDataFrame(list(zip(FEATURES, weights)), "feature string, importance double")
 
 
@@ -119,9 +119,9 @@ def explain_top_k(spark, d):
 def save_load_model(spark, d):
     _, cls, _ = models(spark, d)
     path = work_path(spark, "model")
-    stability.save_model(cls, f"{path}/classifier")
+    stability.save_model(cls, spark, f"{path}/classifier")
     forest.save_forest(fitted_forest(spark, d), f"{path}/forest")
-    again = stability.load_model(f"{path}/classifier")
+    again = stability.load_model(spark, f"{path}/classifier")
     rows = labelled(spark, d)
     scored = forest.score_forest(rows, forest.load_forest(spark, f"{path}/forest"), "row_id")
     predicted = stability.predict_batch(rows.select("row_id", *FEATURES), again, None, FEATURES)

@@ -20,7 +20,7 @@ _LINES = "lines AS (SELECT l_linestatus, l_shipdate, l_discount - l_tax AS margi
 
 
 def _importance(spark, model):
-    weights = model.stages[-1].featureImportances.toArray()
+    weights = model.importances()
     return spark.createDataFrame([(len(weights), bool(abs(weights.sum() - 1) < 1e-6))], "n_features int, sums_to_one boolean")
 
 
@@ -113,7 +113,7 @@ def models_after_reload(spark, d):
     """A saved and loaded model predicts what it did."""
     _, cls, _ = models(spark, d)
     path = work_path(spark, "reloaded")
-    stability.save_model(cls, f"{path}/classifier")
+    stability.save_model(cls, spark, f"{path}/classifier")
     forest.save_forest(fitted_forest(spark, d), f"{path}/forest")
     rows = labelled(spark, d).select("row_id", *FEATURES)
 
@@ -121,7 +121,7 @@ def models_after_reload(spark, d):
         out = stability.predict_batch(rows, classifier, None, FEATURES)
         return forest.score_forest(out, iso, "row_id", ["pred_prob_unstable"])
 
-    again = both(stability.load_model(f"{path}/classifier"), forest.load_forest(spark, f"{path}/forest"))
+    again = both(stability.load_model(spark, f"{path}/classifier"), forest.load_forest(spark, f"{path}/forest"))
     again = again.select("row_id", F.col("pred_prob_unstable").alias("p"), F.col("anomaly_score").alias("s"))
     return both(cls, fitted_forest(spark, d)).join(again, "row_id").select(
         "row_id", (F.col("p") == F.col("pred_prob_unstable")).alias("same_probability"), (F.col("s") == F.col("anomaly_score")).alias("same_score"))

@@ -15,33 +15,12 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import work_path
-
-
-def read_trees(spark: SparkSession, model) -> list[tuple[float, dict[int, dict]]]:
-    """`(weight, nodes by id)` per tree, from the saved form of a boosted model."""
-    path = work_path(spark, "trees")
-    model.write().overwrite().save(path)
-    rows = (
-        spark.read.parquet(f"{path}/data")
-        .selectExpr(
-            "treeID", "nodeData.id AS id", "nodeData.prediction AS value", "nodeData.rawCount AS cover",
-            "nodeData.leftChild AS lo", "nodeData.rightChild AS hi", "nodeData.split.featureIndex AS feature",
-            "get(nodeData.split.leftCategoriesOrThreshold, 0) AS threshold",
-        )
-        .collect()
-    )
-    trees: dict[int, dict[int, dict]] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r.asDict()
-    return [(w, trees[i]) for i, w in enumerate(model.treeWeights)]
+from .boosting import BoostedTrees
 
 
 def _leaf(value: float, path: list[tuple[int, float, bool, float]]):
@@ -97,35 +76,61 @@ def leaf_tables(trees: list[tuple[float, dict[int, dict]]]):
     return leaves, base
 
 
+class LeafGrid:
+    """The leaves of a model over the intervals between its thresholds.
+
+    A value is turned into the number of its interval once for the whole model;
+    a leaf's bounds are then a range of small numbers.
+    """
+
+    def __init__(self, leaves, dim: int):
+        ends = [set() for _ in range(dim)]
+        for feats, lower, upper, _ in leaves:
+            for f, lo, hi in zip(feats, lower, upper):
+                ends[f] |= {v for v in (lo, hi) if np.isfinite(v)}
+        self.ends = [np.array(sorted(e)) for e in ends]
+        size = max((len(e) for e in self.ends), default=0)
+        self.kind = np.uint8 if size < 255 else np.uint16 if size < 65_535 else np.uint32
+        self.leaves = []
+        for feats, lower, upper, table in leaves:
+            ranges = []
+            for bit, (f, lo, hi) in enumerate(zip(feats, lower, upper)):
+                first = int(np.searchsorted(self.ends[f], lo, "left")) + 1 if np.isfinite(lo) else 0
+                last = int(np.searchsorted(self.ends[f], hi, "left")) if np.isfinite(hi) else len(self.ends[f])
+                ranges.append((f, self.kind(first), self.kind(max(last - first, 0)), 1 << bit))
+            code = np.uint8 if len(feats) <= 8 else np.uint32
+            self.leaves.append((ranges, np.ascontiguousarray(table.T), feats, code))
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Contribution of every feature for every row of `x`."""
+        place = [np.searchsorted(e, x[:, f], "left").astype(self.kind) for f, e in enumerate(self.ends)]
+        out = np.zeros((x.shape[1], len(x)))
+        for ranges, columns, feats, kind in self.leaves:
+            code = np.zeros(len(x), kind)
+            for f, first, width, bit in ranges:
+                # below `first` the difference wraps around to a large number
+                code |= ((place[f] - first) <= width).view(np.uint8).astype(kind) * kind(bit)
+            for f, column in zip(feats, columns):
+                out[f] += column.take(code)
+        return out.T
+
+
 def contributions(x: np.ndarray, leaves) -> np.ndarray:
-    """Contribution of every feature for every row of `x`."""
-    out = np.zeros_like(x)
-    for feats, lower, upper, table in leaves:
-        code = np.zeros(len(x), dtype=np.int64)
-        for bit, (f, lo, hi) in enumerate(zip(feats, lower, upper)):
-            code += ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << bit
-        out[:, feats] += table[code]
-    return out
+    return LeafGrid(leaves, x.shape[1]).contributions(x)
 
 
-def explain_top_k(df: DataFrame, key: str, classifier: PipelineModel, features: Sequence[str], k: int = 5) -> DataFrame:
+def explain_top_k(df: DataFrame, key: str, classifier: BoostedTrees, features: Sequence[str], k: int = 5) -> DataFrame:
     """`key`, base margin, row margin and the `k` strongest contributions.
 
     The contributions of all features plus the base add up to the margin; that
     sum is returned as `explained`.
     """
     spark = df.sparkSession
-    model = classifier.stages[-1]
-    leaves, base = leaf_tables(read_trees(spark, model))
-    shared = spark.sparkContext.broadcast(leaves)
-    filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in features})
-    scored = classifier.transform(filled)
-    rows = scored.select(
-        F.col(key),
-        vector_to_array(model.getFeaturesCol()).alias("x"),
-        F.array(*[F.col(c).cast("double") for c in features]).alias("raw"),
-        vector_to_array(model.getRawPredictionCol())[1].alias("margin"),
-    )
+    leaves, base = leaf_tables(classifier.trees())
+    base += classifier.base
+    shared = spark.sparkContext.broadcast((LeafGrid(leaves, len(classifier.features)), classifier.bare()))
+    raw = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in classifier.features]
+    rows = df.select(F.col(key), F.array(*raw).alias("raw"))
     names, dim = list(features), len(features)
     entry = T.StructType(
         [T.StructField("feature", T.StringType()), T.StructField("value", T.DoubleType()),
@@ -145,17 +150,17 @@ def explain_top_k(df: DataFrame, key: str, classifier: PipelineModel, features:
             if n == 0:
                 continue
             x = np.asarray(batch.column(1).flatten()).reshape(n, dim)
-            raw = np.asarray(batch.column(2).flatten()).reshape(n, dim)
-            phi = contributions(x, shared.value)
+            grid, model = shared.value
+            phi = grid.contributions(x)
             order = np.argsort(-np.abs(phi), axis=1, kind="stable")[:, :top]
             at = np.arange(n)[:, None]
             entries = pa.StructArray.from_arrays(
-                [pa.array(label[order].ravel()), pa.array(raw[at, order].ravel()), pa.array(phi[at, order].ravel())],
+                [pa.array(label[order].ravel()), pa.array(x[at, order].ravel()), pa.array(phi[at, order].ravel())],
                 fields=list(arrow.field("top").type.value_type),
             )
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * top + 1, top), type=pa.int32()), entries)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array(base + phi.sum(axis=1)), lists.cast(arrow.field("top").type)],
+                [batch.column(0), pa.array(model.margins(x)), pa.array(base + phi.sum(axis=1)), lists.cast(arrow.field("top").type)],
                 schema=arrow,
             )
 

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .aggregates import latest
+from .boosting import BoostedTrees, Spec, fit_boosted
 from .rules import health_score, stability_label
 
 
@@ -26,77 +21,41 @@ def scale_features(df: DataFrame, cols: Sequence[str], population: bool = True)
     )
 
 
-def _stages(features: Sequence[str], prefix: str) -> list:
-    raw, scaled = f"_{prefix}_raw", f"_{prefix}_x"
-    return [
-        VectorAssembler(inputCols=list(features), outputCol=raw, handleInvalid="keep"),
-        StandardScaler(inputCol=raw, outputCol=scaled, withMean=True, withStd=True),
-    ]
-
-
 def fit_classifier(
     train: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 6, rate: float = 0.1,
     row_share: float = 0.8, column_share: float = 0.8, seed: int = 42,
-) -> PipelineModel:
-    """Boosted classifier of the boolean or 0/1 `label`. The scaler sees the training part only."""
-    model = GBTClassifier(
-        featuresCol="_cls_x", labelCol="_label", predictionCol="_cls_pred", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=row_share,
-        featureSubsetStrategy=str(column_share), seed=seed,
-    )
-    model.setProbabilityCol("_cls_prob").setRawPredictionCol("_cls_margin")
-    rows = train.fillna(0.0, subset=list(features)).withColumn("_label", F.col(label).cast("double"))
-    return Pipeline(stages=[*_stages(features, "cls"), model]).fit(rows)
+) -> BoostedTrees:
+    """Boosted classifier of the boolean or 0/1 `label`. Trees split a scaled feature where they split the feature, so nothing is scaled."""
+    return fit_boosted(train, features, [Spec(label, "logistic", depth, trees, rate, row_share, column_share, seed=seed)])[0]
 
 
 def fit_regressor(
     train: DataFrame, features: Sequence[str], target: str, trees: int = 200, depth: int = 5, rate: float = 0.1,
     seed: int = 42,
-) -> PipelineModel:
-    model = GBTRegressor(
-        featuresCol="_reg_x", labelCol="_target", predictionCol="_reg_pred", maxIter=trees, maxDepth=depth,
-        stepSize=rate, seed=seed,
-    )
-    rows = train.fillna(0.0, subset=list(features)).withColumn("_target", F.col(target).cast("double"))
-    return Pipeline(stages=[*_stages(features, "reg"), model]).fit(rows)
+) -> BoostedTrees:
+    return fit_boosted(train, features, [Spec(target, "squared", depth, trees, rate, seed=seed)])[0]
 
 
 def fit_models(
     train: DataFrame, features: Sequence[str], label: str, target: str, classifier_depth: int = 6,
     regressor_depth: int = 5, trees: int = 200, rate: float = 0.1, row_share: float = 0.8, column_share: float = 0.8,
     seed: int = 42,
-) -> tuple[PipelineModel, PipelineModel]:
-    """Classifier and regressor over one assembled, scaled and stored frame."""
-    rows = train.fillna(0.0, subset=list(features))
-    rows = rows.select(*features, F.col(label).cast("double").alias("_label"), F.col(target).cast("double").alias("_target"))
-    assembler, scaler = _stages(features, "fit")
-    raw = assembler.transform(rows)
-    scale = scaler.fit(raw)
-    frame = materialize(scale.transform(raw).select("_fit_x", "_label", "_target"), "training")
-    common = {"featuresCol": "_fit_x", "maxIter": trees, "stepSize": rate, "seed": seed, "cacheNodeIds": True}
-    cls = GBTClassifier(labelCol="_label", predictionCol="_cls_pred", maxDepth=classifier_depth, subsamplingRate=row_share,
-                        featureSubsetStrategy=str(column_share), **common)
-    cls.setProbabilityCol("_cls_prob").setRawPredictionCol("_cls_margin")
-    reg = GBTRegressor(labelCol="_target", predictionCol="_reg_pred", maxDepth=regressor_depth, **common)
-
-    def pipeline(model, prefix: str) -> PipelineModel:
-        first, _ = _stages(features, prefix)
-        scaled = scale.copy().setInputCol(f"_{prefix}_raw").setOutputCol(f"_{prefix}_x")
-        return PipelineModel(stages=[first, scaled, model.setFeaturesCol(f"_{prefix}_x")])
-
-    return pipeline(cls.fit(frame), "cls"), pipeline(reg.fit(frame), "reg")
-
-
-def predict_batch(df: DataFrame, classifier: PipelineModel, regressor: PipelineModel | None,
+) -> tuple[BoostedTrees, BoostedTrees]:
+    """Classifier and regressor over the same binned rows and in the same jobs."""
+    specs = [Spec(label, "logistic", classifier_depth, trees, rate, row_share, column_share, seed=seed),
+             Spec(target, "squared", regressor_depth, trees, rate, seed=seed)]
+    classifier, regressor = fit_boosted(train, features, specs)
+    return classifier, regressor
+
+
+def predict_batch(df: DataFrame, classifier: BoostedTrees, regressor: BoostedTrees | None,
                   features: Sequence[str]) -> DataFrame:
-    """Add probability, label, margin and health; works on batch and streaming rows."""
-    filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in features})
-    out = classifier.transform(filled)
-    prob = vector_to_array("_cls_prob")[1]
-    out = out.withColumn("pred_prob_unstable", prob)
-    if regressor is not None:
-        out = regressor.transform(out).withColumn("pred_stab_score", F.col("_reg_pred"))
-    else:
-        out = out.withColumn("pred_stab_score", F.lit(None).cast("double"))
+    """Add probability, label, margin and health; works on batch and streaming rows. `features` are those of the models."""
+    spark = df.sparkSession
+    if list(features) != classifier.features:
+        raise ValueError(f"the model was fitted on {classifier.features}")
+    margin = F.lit(None).cast("double") if regressor is None else regressor.margin_column(spark)
+    out = df.select("*", (1 / (1 + F.exp(-classifier.margin_column(spark)))).alias("pred_prob_unstable"), margin.alias("pred_stab_score"))
     p = F.col("pred_prob_unstable")
     out = out.withColumns({"pred_label": stability_label(p), "pred_health_score": health_score(p)})
     return out.select(*df.columns, "pred_prob_unstable", "pred_label", "pred_stab_score", "pred_health_score")
@@ -109,16 +68,16 @@ def evaluate(pred: DataFrame, label: str, target: str) -> DataFrame:
                     F.avg(F.abs(F.col("pred_stab_score") - F.col(target))).alias("mae"))
 
 
-def score_latest(df: DataFrame, keys: Sequence[str], ts: str, tie: str, classifier: PipelineModel,
-                 regressor: PipelineModel | None, features: Sequence[str]) -> DataFrame:
+def score_latest(df: DataFrame, keys: Sequence[str], ts: str, tie: str, classifier: BoostedTrees,
+                 regressor: BoostedTrees | None, features: Sequence[str]) -> DataFrame:
     """Score the newest row per key; only those rows reach the model."""
     newest = latest(df, keys, ts, tie, list(features))
     return predict_batch(newest, classifier, regressor, features)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: BoostedTrees, spark: SparkSession, path: str) -> None:
+    model.save(spark, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> BoostedTrees:
+    return BoostedTrees.load(spark, path)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..functions.hashing import gaussian, hash_key, uniform, weighted_choice
 from ..functions.text import fixed, render_by_class
 from ..operators import aggregates as agg
 from ..operators import attribution, clean, forest, joins, rules, sampling, stability, windows
+from ..operators.boosting import BoostedTrees
 from ..session import materialize
 from ..sources.files import write_once
 
@@ -176,7 +176,7 @@ def derive_incidents(
 
 def assess_stability(
     telemetry: DataFrame, keys: Sequence[str], ts: str, tie: str, freq: str, features: Sequence[str],
-    classifier: PipelineModel, regressor: PipelineModel | None, iso: forest.IsolationForest, rows: int = 500,
+    classifier: BoostedTrees, regressor: BoostedTrees | None, iso: forest.IsolationForest, rows: int = 500,
     flags: int = 10,
 ) -> DataFrame:
     """Per zone: newest reading scored, its drivers, anomalies in the last rows, frequency state."""

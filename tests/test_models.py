@@ -33,7 +33,7 @@ def expectation(nodes, i, x, known):
 
 def test_contributions_are_shapley_values(spark, sf):
     _, cls, _ = mc.models(spark, sf)
-    trees = attribution.read_trees(spark, cls.stages[-1])
+    trees = cls.trees()
     leaves, base = attribution.leaf_tables(trees)
     x = np.random.default_rng(0).normal(size=(5, 4))
     got = attribution.contributions(x, leaves)
