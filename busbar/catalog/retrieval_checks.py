@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
 from ..operators.guard import answer_rubric, evidence_score, passes_gate
 from ..operators.joins import join_measured
 from ..operators.spread import top_per_group
 from ..session import materialize, work_path
-from ..sources import files
+from ..sources import files, merging
 from ..sources.bindings import corpus, fb, pairs, qset, vec
 from . import query
 from .aggregate_checks import TOKENS_SQL
@@ -117,6 +117,27 @@ def vector_search(spark, d):
     return hits.select("query_id", "doc_id", "score", "rank")
 
 
+def vector_file(spark, d):
+    return _once("cells", spark, d, lambda: vector_index.build_vector_index(vec(spark, d), "vec_id", "embedding", keep=["label"]))
+
+
+@query("r04_index_every_cell", f"SELECT query_id, doc_id, score, rank FROM ({VEC_SQL} QUALIFY rank <= 10)", ctes=CENTROIDS_SQL)
+def index_every_cell(spark, d):
+    """The inverted file with every cell probed: the exact result over all rows."""
+    index, asks = vector_file(spark, d), retrieval.centroids(vec(spark, d), "label", "embedding")
+    return vector_index.indexed_search(index, asks, "query_id", "qv", 10, probes=len(index.centres))
+
+
+@query("r04_index_recall", "SELECT count(*) AS n_queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def index_recall(spark, d):
+    """Every twentieth row asked for its ten nearest among all rows: the share that the probed cells hold."""
+    rows = vec(spark, d)
+    asks = rows.filter("vec_id % 20 = 0")
+    found = vector_index.indexed_search(vector_file(spark, d), asks, "vec_id", "embedding", 10)
+    true = retrieval.vector_search(rows, "vec_id", "embedding", asks, "vec_id", "embedding", 10)
+    return vector_index.measured_recall(found, true).select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query(
     "r05_rrf_fuse",
     """SELECT query_id, doc_id, s AS rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS INT)
@@ -194,19 +215,31 @@ def cache_lookup(spark, d):
     return retrieval.cache_lookup(vectors, "vec_id", "embedding", cache, "query_id", "qv", threshold=0.7)
 
 
-@query(
-    "r10_cache_upsert",
-    f"""SELECT md5(question) AS cache_id, question, answer, version FROM
-        (SELECT *, conv_id * 1000 + turn AS version FROM w WHERE {EVIDENCE_SQL} >= 0.5 AND {RUBRIC_SQL} >= 3)
-        QUALIFY row_number() OVER (PARTITION BY question ORDER BY version DESC) = 1""",
-    views="pairs",
-    ctes=WORDS_SQL,
-)
-def cache_upsert(spark, d):
+CACHE_SQL = f"""SELECT md5(question) AS cache_id, question, answer, version FROM
+    (SELECT *, conv_id * 1000 + turn AS version FROM w WHERE {EVIDENCE_SQL} >= 0.5 AND {RUBRIC_SQL} >= 3)
+    QUALIFY row_number() OVER (PARTITION BY question ORDER BY version DESC) = 1"""
+
+
+def answers_to_keep(spark, d):
     rows = pairs(spark, d)
     q, a = F.col("question"), F.col("answer")
     keep = passes_gate(evidence_score(a, F.lit(1)), answer_rubric(q, a))
-    answers = retrieval.cache_rows(rows, q, a, F.col("conv_id") * 1000 + F.col("turn"), keep)
+    return retrieval.cache_rows(rows, q, a, F.col("conv_id") * 1000 + F.col("turn"), keep)
+
+
+@query("r10_stored_cache", CACHE_SQL, views="pairs", ctes=WORDS_SQL)
+def stored_cache(spark, d):
+    """The answer cache as a stored table: answers come in batches, and a batch that comes again changes nothing."""
+    answers = answers_to_keep(spark, d)
+    cache = merging.create_table(answers.filter("version % 3 = 0"), work_path(spark, "cache"), ["cache_id"], "version", buckets=16)
+    for batch, part in ((1, 1), (2, 2), (1, 1)):
+        cache.upsert(answers.filter(F.col("version") % 3 == part), batch)
+    return cache.read()
+
+
+@query("r10_cache_upsert", CACHE_SQL, views="pairs", ctes=WORDS_SQL)
+def cache_upsert(spark, d):
+    answers = answers_to_keep(spark, d)
     return retrieval.cache_upsert(answers.filter("version % 2 = 0"), answers.filter("version % 2 <> 0"))
 
 

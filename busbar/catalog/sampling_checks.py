@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import gaussian, uniform
 from ..operators import sampling
+from ..session import work_path
+from ..sources import merging
 from ..sources.bindings import feat, met, table, tel
 from . import query
 from .join_checks import RANKINGS_SQL, rankings
@@ -148,12 +150,25 @@ def dedupe_first(spark, d):
     return sampling.dedupe_first(both, ["query_id", "doc_id"], ["src", "rank"])
 
 
-@query(
-    "u03_upsert",
-    """SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal,
-       CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS version FROM customer""",
-)
+UPSERT_SQL = """SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal,
+    CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS version FROM customer"""
+
+
+@query("u03_upsert", UPSERT_SQL)
 def upsert(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.lit(0).alias("version"))
     changes = base.filter("c_acctbal < 0").withColumns({"c_acctbal": F.lit(0.0), "version": F.lit(1)})
     return sampling.upsert(base, changes, ["c_custkey"], "version")
+
+
+@query("u03_stored_upsert", UPSERT_SQL)
+def stored_upsert(spark, d):
+    """The same changes taken in by a stored table in two batches, the second one twice, with a compaction in between."""
+    base = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.lit(0).alias("version"))
+    changes = base.filter("c_acctbal < 0").withColumns({"c_acctbal": F.lit(0.0), "version": F.lit(1)})
+    stored = merging.create_table(base, work_path(spark, "customers"), ["c_custkey"], "version")
+    stored.upsert(changes.filter("c_custkey % 2 = 0"), 1)
+    stored.compact()
+    for _ in range(2):
+        stored.upsert(changes.filter("c_custkey % 2 <> 0"), 2)
+    return stored.read()

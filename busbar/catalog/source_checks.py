@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import hash_key
 from ..session import work_path
-from ..sources import files
+from ..sources import files, merging
 from ..sources.bindings import corpus, evalm, fb, met, table, tel
 from . import query
 
@@ -125,3 +125,17 @@ def build_collection(spark, d):
     for _ in range(2):  # the second call finds the collection and keeps it
         out = files.build_collection(docs, path, "doc_id", "text", ["region", "equipment", "severity"], "severity")
     return out.select("id", hash_key(F.col("text")).alias("text_md5"), "meta.*")
+
+
+@query(
+    "s12_add_documents",
+    """SELECT doc_id AS id, md5(text) AS text_md5, region, equipment, severity FROM corpus""",
+    views="corpus",
+)
+def add_documents(spark, d):
+    """A stored collection of every third document takes in all of them; those it has are replaced by themselves."""
+    docs = corpus(spark, d).select("doc_id", "text", "region", "equipment", "severity", F.lit(0).alias("version"))
+    stored = merging.create_table(docs.filter(F.col("doc_id") % 3 == 0), work_path(spark, "documents"), ["doc_id"], "version")
+    stored.upsert(docs, 1)
+    stored.compact()
+    return stored.read().select(F.col("doc_id").alias("id"), hash_key(F.col("text")).alias("text_md5"), "region", "equipment", "severity")
