@@ -11,15 +11,19 @@ differ at least. What remains is verified on the whole sets.
 
 Equal sets are one class from the start. Then the links are found in two steps:
 
-1. Every class meets one other for each of a few random orders: one of the
-   classes with the same first shingle, another for each order. The links found
-   there join large groups of near copies, at a cost that is linear in their size.
+1. Classes with the same first shingle under a random order are a group. Every
+   class meets one other of its groups; the links found join most of each group
+   of near copies. Then, as long as that finds links, those that are not yet in
+   a group's largest component meet some members of it. The cost is linear in
+   the groups' sizes.
 2. All prefixes of order one are joined, but only pairs of classes that are not
    yet connected are candidates. A link inside a component would change nothing,
    every other link is found.
 
-Only ids, prefixes and links are shuffled; whole sets are made again from the
-texts of those documents that are in a candidate pair.
+Candidates of either step are joined with the prefixes of orders two and three,
+and only those that also meet there are verified. Only ids, prefixes and links
+are shuffled; whole sets are made again from the texts of those documents that
+are in such a pair.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import LOWER, Scratch, join_groups, mix64, table, take_over, utf8
+from .common import LOWER, Scratch, annotate, join_groups, mix64, table, take_over, utf8
 from .components import components
 
 #: Random orders whose first shingles bring classes together in step one.
@@ -42,14 +46,18 @@ FIRST_ORDERS = 8
 #: The order by rarity knows at most so many frequent shingles; all others are rare. Any such list gives a valid order.
 FREQUENT = 1 << 18
 #: Shingles counted at a time, and how often one must occur there to be reported.
-COUNTED, REPORTED = 4_000_000, 3
+COUNTED, REPORTED = 1_000_000, 3
+#: Texts that a task works on at a time.
+SLICE = 200
+#: Members of a group's largest component that the others meet in each further round of step one; it ends when fewer of the pairs than this are links.
+PARTNERS, WORTHWHILE = 16, 0.02
 #: Rows of one shingle that are compared in one piece.
 LIST_ROWS = 2000
 #: Lists of up to so many rows are compared all together.
 SHORT_LIST = 64
 #: A list of ids with at most so many rows is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 2_000_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Bits of a set's bitmap.
 BITS = 512
 
@@ -95,6 +103,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays of numbers as one Arrow column, without Python numbers in between."""
+    bounds = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.astype(kind.to_pandas_dtype(), copy=False), kind))
+
+
 def _report_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("ngram_jaccard", _HASHES.clear)
@@ -106,13 +121,14 @@ def _report_task(k: int):
             return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
 
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                s = shingle_set(text, k)
-                held.append(s)
-                n += len(s)
-                if n > COUNTED:
-                    yield drain()
-                    held, n = [], 0
+            for lo in range(0, batch.num_rows, SLICE):
+                for text in utf8(batch.column(0).slice(lo, SLICE)):
+                    s = shingle_set(text, k)
+                    held.append(s)
+                    n += len(s)
+                    if n > COUNTED:
+                        yield drain()
+                        held, n = [], 0
         if held:
             yield drain()
 
@@ -135,66 +151,83 @@ def _rarity(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     return np.where(frequent[at] == shingles, counts[at], 0)
 
 
+def _low_bits(shingles: np.ndarray, order: int, size: int) -> np.ndarray:
+    """The first `size` shingles under a random order, as 32-bit numbers: equal shingles have equal ones."""
+    if not size:
+        return np.zeros(0, np.int32)
+    places = mix64(shingles, order)
+    return (np.partition(places, size - 1)[:size] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
 def _prefix_task(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("ngram_jaccard", _HASHES.clear)
         frequent, counts = shared.value
         for batch in batches:
-            sizes, digests, prefixes, firsts, bits = [], [], [], [], []
-            for text in utf8(batch.column(1)):
-                s = shingle_set(text, k)
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-                order = np.lexsort((mix64(s, 1), _rarity(s, frequent, counts)))
-                prefixes.append(s[order[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-                bits.append(parity_bits(s))
-                firsts.append([int(mix64(s, 10 + j).min().view(np.int64)) for j in range(FIRST_ORDERS)] if len(s) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.string()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_digest", "prefix", "firsts", "bits"],
-            )
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                sets = [shingle_set(t, k) for t in utf8(part.column(1))]
+                digests, prefixes, seconds, thirds, firsts, bits, common = [], [], [], [], [], [], []
+                for s in sets:
+                    size = prefix_length(len(s), percent) if len(s) else 0
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
+                    rarity = _rarity(s, frequent, counts)
+                    order = np.lexsort((mix64(s, 1), rarity))[:size]
+                    prefixes.append(s[order].view(np.int64))
+                    seconds.append(_low_bits(s, 2, size))
+                    thirds.append(_low_bits(s, 3, size))
+                    bits.append(parity_bits(s))
+                    firsts.append(np.array([mix64(s, 10 + j).min() for j in range(FIRST_ORDERS if len(s) else 0)], np.uint64).view(np.int64))
+                    common.append(int(rarity[order].sum()) // max(size, 1))
+                long, whole = pa.int64(), pa.int32()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], whole), pa.array(digests, pa.string()), _lists(prefixes, long), _lists(seconds, whole), _lists(thirds, whole), _lists(firsts, long), _lists(bits, long), pa.array(common, long)],
+                    ["doc_id", "n", "set_digest", "prefix", "second", "third", "firsts", "bits", "common"],
+                )
 
     return run
 
 
+_PREFIXES = "doc_id long, n int, set_digest string, prefix array<long>, second array<int>, third array<int>, firsts array<long>, bits array<long>, common long"
+
+
 def _set_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("ngram_jaccard", _HASHES.clear)
         for batch in batches:
-            sets = [shingle_set(t, k).tobytes() for t in utf8(batch.column(0))]
-            digests = [hashlib.blake2b(s, digest_size=16).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sets, pa.binary())], ["set_digest", "shingles"])
+            for lo in range(0, batch.num_rows, SLICE):
+                sets = [shingle_set(t, k).tobytes() for t in utf8(batch.column(0).slice(lo, SLICE))]
+                digests = [hashlib.blake2b(s, digest_size=16).hexdigest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sets, pa.binary())], ["set_digest", "shingles"])
 
     return run
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sets share prefix shingles under orders two and three, and then whether they are similar."""
-    px, py = prefix_length(len(x), percent), prefix_length(len(y), percent)
-    # The sets are sorted by hash, which is order two.
-    if not np.isin(x[:px], y[:py], assume_unique=True).any():
-        return False
-    mx, my = np.partition(mix64(x, 3), px - 1)[:px], np.partition(mix64(y, 3), py - 1)[:py]
-    if not np.isin(mx, my, assume_unique=True).any():
-        return False
-    shared = len(x) + len(y) - len(np.union1d(x, y))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _verify_task(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb = (batch.column(c) for c in range(4))
-            keep = [
-                _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(sa.to_pylist(), sb.to_pylist())
-            ]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            for lo in range(0, batch.num_rows, SLICE):
+                a, b, sa, sb = (batch.column(c).slice(lo, SLICE) for c in range(4))
+                keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(sa, sb)]
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     return run
 
 
+def meeting_in_all_orders(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs of classes that also share prefix shingles under orders two and three."""
+    one = classes.select(F.col("vid").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
+    two = classes.select(F.col("vid").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
+    both = pairs.join(two, "b").join(one, "a")
+    return both.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The links among stored candidate pairs of classes, on their whole sets."""
     spark = docs.sparkSession
@@ -290,19 +323,66 @@ def _pairs_task(percent: int):
     return run
 
 
+def _possible(n: str, other_n: str, bits: str, other_bits: str, percent: int):
+    """Whether lengths and bitmaps allow two sets to be similar."""
+    differ = F.lit(0)
+    for k in range(BITS // 64):
+        differ = differ + F.bit_count(F.col(bits)[k].bitwiseXOR(F.col(other_bits)[k]))
+    both = F.col(n) + F.col(other_n)
+    fits = F.least(n, other_n) * 100 >= F.greatest(n, other_n) * percent
+    return fits & (differ <= both - 2 * F.ceil(both * percent / (100 + percent)))
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """A row for each class and group, the classes with the same first shingle under one of the random orders."""
+    rows = classes.select("vid", "n", "bits", "copies", "common", F.posexplode("firsts").alias("nr", "first"))
+    return rows.withColumn("key", F.concat_ws(" ", "nr", "first")).withColumn("turn", F.xxhash64("vid", "nr"))
+
+
+def _pairs_with(rows: DataFrame, groups: DataFrame, total: int, percent: int) -> DataFrame:
+    """Members of groups with the class `a` of their group, if the two can be similar."""
+    joined = join_groups(rows, groups, "key", "members", total)
+    fits = _possible("n", "an", "bits", "ab", percent) & (F.col("a") != F.col("vid"))
+    return joined.filter(fits).select(F.least("a", "vid").alias("a"), F.greatest("a", "vid").alias("b")).distinct()
+
+
 def _first_pairs(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Step one: each class with one class that has the same first shingle under some order, if their bitmaps allow it."""
-    rows = classes.select("vid", "n", "bits", F.posexplode("firsts").alias("nr", "first"))
-    rows = rows.select("vid", "n", "bits", F.concat_ws(" ", "nr", "first").alias("key"), F.xxhash64("vid", "nr").alias("turn"))
-    groups = rows.groupBy("key").agg(F.min(F.struct("turn", "vid", "n", "bits")).alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    """Step one: each class with one class of each of its groups.
+
+    In every second group that is the one with most copies and commonest
+    shingles, which tends to be what the others were copied from; in the others
+    it is any.
+    """
+    rows = _members(classes)
+    best = F.when(F.col("nr") % 2 == 0, F.struct((-F.col("copies")).alias("x"), (-F.col("common")).alias("y"))).otherwise(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
+    pivot = F.min(F.struct(best.alias("best"), "turn", "vid", "n", "bits")).alias("pivot")
+    groups = rows.groupBy("key").agg(pivot, F.count("*").alias("members")).filter("members > 1")
     groups = groups.select("key", F.col("pivot.vid").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.bits").alias("ab"), "members")
     groups = scratch.keep(groups, "pivots")
-    joined = join_groups(rows, groups, "key", "members", FIRST_ORDERS * classes.count())
-    fits = (F.least("n", "an") * 100 >= F.greatest("n", "an") * percent) & (F.col("a") != F.col("vid"))
-    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("ab")[k])) for k in range(1, BITS // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("ab")[0])))
-    both = F.col("n") + F.col("an")
-    fits = fits & (differ <= both - 2 * F.ceil(both * percent / (100 + percent)))
-    return joined.filter(fits).select(F.least("a", "vid").alias("a"), F.greatest("a", "vid").alias("b")).distinct()
+    return _pairs_with(rows.select("key", "vid", "n", "bits"), groups, FIRST_ORDERS * classes.count(), percent)
+
+
+def _round_pairs(classes: DataFrame, comps: DataFrame, percent: int, number: int, scratch: Scratch) -> DataFrame:
+    """A further round: in each group, classes outside its largest component with some members of that component."""
+    rows = _members(classes).join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+    rows = scratch.keep(rows.select("key", "nr", "vid", "n", "bits", "comp"), "members")
+    # one order in turn, so that a class meets PARTNERS others in each round
+    own = rows.filter(F.col("nr") == number % FIRST_ORDERS)
+    sizes = own.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("members"), F.count("*").alias("parts"))
+    largest = scratch.keep(largest.filter("parts > 1").select("key", F.col("top.comp").alias("top"), "members"), "largest")
+    # every member of the largest component draws a place, and the first to draw a place holds it
+    total = classes.count()
+    placed = join_groups(own, largest, "key", "members", total).filter("top IS NOT NULL")
+    inside = placed.filter("comp = top").withColumn("place", F.pmod(F.xxhash64("vid", F.lit(number)), F.lit(PARTNERS)))
+    partner = F.min(F.struct(F.xxhash64("vid", F.lit(-number)).alias("turn"), "vid", "n", "bits")).alias("p")
+    chosen = inside.groupBy("key").pivot("place", list(range(PARTNERS))).agg(partner)
+    partners = F.filter(F.array(*[F.col(str(k)) for k in range(PARTNERS)]), lambda x: x.isNotNull())
+    chosen = chosen.select("key", partners.alias("partners")).join(largest.select("key", "members"), "key")
+    outside = placed.filter("comp <> top").select("key", "vid", "n", "bits")
+    met = join_groups(outside, chosen, "key", "members", total)
+    met = met.select("vid", "n", "bits", F.explode("partners").alias("p")).select("vid", "n", "bits", F.col("p.vid").alias("a"), F.col("p.n").alias("an"), F.col("p.bits").alias("ab"))
+    return met.filter(_possible("n", "an", "bits", "ab", percent)).select(F.least("a", "vid").alias("a"), F.greatest("a", "vid").alias("b")).distinct()
 
 
 def _other_pairs(classes: DataFrame, comps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -325,7 +405,7 @@ def _other_pairs(classes: DataFrame, comps: DataFrame, percent: int, scratch: Sc
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_digest and component_id.
+    """Per row: doc_id, n_shingles, set_digest, component_id and component (a number of its own, also where ids are missing or repeated).
 
     Two rows link when 100 * intersection >= percent * union of their sets of
     lower-cased (A-Z) shingles; component_id is the smallest id reachable by
@@ -337,52 +417,89 @@ def near_duplicates(docs: DataFrame, shingle_words: int, percent: int, key: str
     spark, scratch = docs.sparkSession, scratch or Scratch()
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_shingles(rows, "text", shingle_words))  # at most FREQUENT numbers
-    shape = "doc_id long, n int, set_digest string, prefix array<long>, firsts array<long>, bits array<long>"
-    found = scratch.keep(rows.mapInArrow(_prefix_task(shingle_words, percent, shared), shape), "prefixes")
+    found = scratch.keep(rows.mapInArrow(_prefix_task(shingle_words, percent, shared), _PREFIXES), "prefixes")
     shared.unpersist()
-    classes = found.filter("n > 0").groupBy("set_digest").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")
-    )
+    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "second", "third", "firsts", "bits", "common")]
+    classes = found.filter("n > 0").groupBy("set_digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *firsts)
     classes = scratch.keep(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
     found = scratch.keep(found.select("doc_id", "n", "set_digest"), "digests")
     scratch.drop(spark, "prefixes")
 
-    first = scratch.keep(_first_pairs(classes, percent, scratch), "first-pairs")
-    links = verify(first, classes, rows, "doc_id", "text", shingle_words, percent, scratch, "first-links")
+    def links_of(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        met = scratch.keep(meeting_in_all_orders(pairs, classes), f"{name}-pairs")
+        return verify(met, classes, rows, "doc_id", "text", shingle_words, percent, scratch, f"{name}-links"), met.count()
+
+    links, _ = links_of(_first_pairs(classes, percent, scratch), "first")
     comps = components(links, scratch)
-    other = scratch.keep(_other_pairs(classes, comps, percent, scratch), "other-pairs")
-    more = verify(other, classes, rows, "doc_id", "text", shingle_words, percent, scratch, "other-links")
+    for number in range(FIRST_ORDERS):
+        more, tried = links_of(_round_pairs(classes, comps, percent, number, scratch), f"round-{number}")
+        if not tried:
+            continue
+        n = more.count()
+        if n:
+            links = links.unionByName(more)
+            comps = components(links, scratch)
+        if n < WORTHWHILE * tried:
+            break
+    more, _ = links_of(_other_pairs(classes, comps, percent, scratch), "other")
     if not more.isEmpty():
         comps = components(links.unionByName(more), scratch)
 
     labelled = classes.select("vid", "doc_id", "set_digest", "copies").join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    groups = labelled.join(least, "comp").select("set_digest", "component_id", "copies")
-    groups = scratch.keep(groups, "groups")
-    scratch.drop(spark, "classes", "pivots", "lists", "first-pairs", "other-pairs", "first-links", "other-links", "labels")
+    groups = scratch.keep(labelled.join(least, "comp").select("set_digest", "comp", "component_id", "copies"), "groups")
+    scratch.drop(spark, *(name for name in scratch.paths if name not in ("digests", "groups")))
     out = join_groups(found, groups, "set_digest", "copies", found.count())
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_digest", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_digest", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("comp").alias("component"))
+
+
+def _digest_task(k: int, text: str):
+    def make():
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
+            digests = []
+            for lo in range(0, batch.num_rows, SLICE):
+                sets = [shingle_set(t, k) for t in utf8(batch.column(text).slice(lo, SLICE))]
+                digests += [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+            return [pa.array(digests, pa.string())]
+
+        return step
+
+    return make
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without all but one document of each component: the one with the smallest id stays.
+    """`docs` with one row of each component: of those with the smallest id (a null id comes last) one, the others go.
 
-    Of rows that share that id, one stays. Documents without shingles, or without
-    an id, are in no group and stay.
+    Rows are judged by their own text: another text under the same id belongs
+    to its own component. Rows without shingles are in no component and stay.
+    Any columns may be there besides `key` and `text`.
     """
     scratch = Scratch()
-    found = near_duplicates(docs, shingle_words, percent, key, text, scratch).select(F.col("doc_id").alias("_id"), "n_shingles", "component_id")
-    found = materialize(found, "near-duplicates")
+    found = near_duplicates(docs, shingle_words, percent, key, text, scratch)
+    found = materialize(found.select("doc_id", "set_digest", "component"), "near-duplicates")
     scratch.drop(docs.sparkSession)
-    gone = found.filter("_id <> component_id").select("_id").distinct()
-    again = found.filter("n_shingles > 0 AND _id = component_id").groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id")
-    again = materialize(again, "repeated-ids")
-    same = docs[key].cast("long") == F.col("_id")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, same, "left_anti")
-    return once.unionByName(kept.join(again, same, "left_semi").dropDuplicates([key]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_digest")).alias("first")
+    kept = found.filter("component IS NOT NULL").groupBy("component").agg(first)
+    kept = materialize(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.set_digest").alias("kept_digest")), "kept")
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    repeated = materialize(repeated, "repeated-ids")
+    # ids that stand for one row: the id decides
+    single = found.filter("component IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id"))
+    gone = single.join(kept.select("kept_id"), F.col("gone_id") == F.col("kept_id"), "left_anti").join(repeated, F.col("gone_id") == F.col("repeated_id"), "left_anti")
+    gone, own = materialize(gone, "gone"), docs[key].cast("long")
+    few = gone.count() <= BROADCAST_IDS
+    plain = docs.filter(docs[key].isNotNull())
+    plain = plain.join(repeated, own == repeated["repeated_id"], "left_anti").join(F.broadcast(gone) if few else gone, own == gone["gone_id"], "left_anti")
+    # the others: the row's own text decides
+    rest = docs.join(repeated, own == repeated["repeated_id"], "left_semi").unionByName(docs.filter(docs[key].isNull()))
+    helper = "digest"
+    while helper in docs.columns:
+        helper += "_"
+    rest = materialize(annotate(rest, _digest_task(shingle_words, text), f"`{helper}` string"), "rows-without-own-id")
+    wordless = rest.filter(rest[helper].isNull())
+    chosen = rest.filter(rest[helper].isNotNull()).dropDuplicates([key, helper])
+    chosen = chosen.join(kept, chosen[key].cast("long").eqNullSafe(kept["kept_id"]) & (chosen[helper] == kept["kept_digest"]), "left_semi")
+    return plain.unionByName(wordless.drop(helper)).unionByName(chosen.drop(helper))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set()
 
 
-def components(docs, k, percent):
-    """[(doc_id, set size, component)] of (doc_id, text) rows by comparing all pairs."""
+def groups(docs, k, percent):
+    """The shingle sets of (doc_id, text) rows, and for each row the number of its component, by comparing all pairs."""
     sets = [shingles(t, k) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -38,11 +38,27 @@ def components(docs, k, percent):
             both = len(x & sets[j])
             if both and 100 * both >= percent * (len(x) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
+    return sets, [root(i) for i in range(len(docs))]
+
+
+def components(docs, k, percent):
+    """[(doc_id, set size, component)] of (doc_id, text) rows."""
+    sets, roots = groups(docs, k, percent)
     least = {}
     for i, (doc_id, _) in enumerate(docs):
         if sets[i] and doc_id is not None:
-            least[root(i)] = min(least.get(root(i), doc_id), doc_id)
-    return [(d, len(s), least.get(root(i), d) if s else d) for i, ((d, _), s) in enumerate(zip(docs, sets))]
+            least[roots[i]] = min(least.get(roots[i], doc_id), doc_id)
+    return [(d, len(s), least.get(roots[i], d) if s else d) for i, ((d, _), s) in enumerate(zip(docs, sets))]
+
+
+def one_of_each(docs, k, percent):
+    """The rows that stay: of each component the one with the smallest id, no id last; all without shingles."""
+    sets, roots = groups(docs, k, percent)
+    best = {}
+    for i, (d, _) in enumerate(docs):
+        if sets[i]:
+            best[roots[i]] = min(best.get(roots[i], (True, float("inf"), i)), (d is None, d if d is not None else 0, i))
+    return [i for i in range(len(docs)) if not sets[i] or best[roots[i]][2] == i]
 
 
 def contamination(text, items, size=13):

@@ -337,13 +337,38 @@ def test_near_duplicates_beyond_all_bounds(spark, monkeypatch):
 def test_one_of_each_group(spark, docs, pairs):
     got = ngram_jaccard.one_of_each_group(docs, 5, 80)
     assert got.columns == docs.columns
-    ids = Counter(r.doc_id for r in got.collect())
-    want = {c for d, n, c in plain.components(pairs, 5, 80) if n and d is not None}
-    assert {d for d in ids if d is not None} >= want
-    assert all(ids[d] == 1 for d in want) and ids[None] == 2
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(pairs[i] for i in plain.one_of_each(pairs, 5, 80))
     assert ngram_jaccard.one_of_each_group(tables.empty(spark), 5, 80).count() == 0
 
 
+def test_one_of_each_group_under_clashing_ids(spark):
+    """A unique text stays although its id also stands on a copy; helper columns may have any name."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, f"{b} more"), (None, "alone " * 9), (4, ""), (4, None), (1, "quite another text of some words")]
+    names = "doc_id long, text string, _id long, digest string, kept_id long, gone_id long, component string"
+    frame = spark.createDataFrame([(*r, 1, "x", 2, 3, "y") for r in rows], names).repartition(3)
+    got = ngram_jaccard.one_of_each_group(frame, 5, 80)
+    assert got.columns == frame.columns
+    want = [(1, a), (2, b), (3, c), (None, "alone " * 9), (4, ""), (4, None), (1, "quite another text of some words")]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
+def test_large_group_around_the_threshold(spark, monkeypatch):
+    """One group of many near copies, of which any two are links or just not: few pairs are left for the lists."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"v{k}" for k in range(100)], []
+    for k in range(300):
+        words = list(base)
+        for at in rng.integers(0, 100, rng.integers(0, 6)):
+            words[at] = f"n{rng.integers(0, 1000)}"
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    left, other = [], ngram_jaccard._other_pairs
+    monkeypatch.setattr(ngram_jaccard, "_other_pairs", lambda *x: left.append(other(*x)) or left[0])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(frame, 2, 85).collect())
+    assert got == Counter(plain.components(rows, 2, 85))
+
+
 # --- 6 decontamination --------------------------------------------------------------------------
 
 ITEMS = [
