@@ -32,6 +32,8 @@ CHECKPOINT_TREES = 50
 #: Up to so many partitions send their sums to the driver; more add them up among themselves first.
 DIRECT_PARTITIONS = 32
 _QUANTILE_ACCURACY = 10_000
+#: Rows of a task: no fewer, as each tree needs a job for each of its levels, and no more.
+LEAST_ROWS, MOST_ROWS = 50_000, 1_000_000
 
 
 @dataclass
@@ -196,11 +198,31 @@ class Growing:
         self.feature, self.cut, self.left, self.right = [-1], [0], [-1], [-1]
         self.value, self.cover, self.gain = [0.0], [0.0], [0.0]
         self.open = [0]
+        self.place = [0]  # where the node lies when the levels of a full tree stand behind one another
         self.level = 0
 
+    def splits(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Feature and cut by place, and the number of levels; a node that is not split hands all its rows to the left."""
+        levels = min(self.level, self.spec.depth)
+        feature, cut = np.zeros((1 << levels) - 1, np.int64), np.full((1 << levels) - 1, BINS - 1, np.uint8)
+        for f, c, place in zip(self.feature, self.cut, self.place):
+            if f >= 0:
+                feature[place], cut[place] = f, c
+        return feature, cut, levels
+
     def shape(self) -> tuple:
-        """What a task needs: splits so far, and the open nodes."""
-        return np.array(self.feature), np.array(self.cut), np.array(self.left), np.array(self.right), self.open
+        """What a task needs to sum up the open nodes: splits so far, and the place of each open node in its level."""
+        return *self.splits(), [self.place[k] - (1 << self.level) + 1 for k in self.open]
+
+    def values(self) -> tuple:
+        """What a task needs to add the finished tree: its splits, and a value for each place in the level below them."""
+        feature, cut, levels = self.splits()
+        out = np.zeros(1 << levels)
+        for f, v, place in zip(self.feature, self.value, self.place):
+            if f < 0:
+                depth = (place + 1).bit_length() - 1
+                out[((place + 1 - (1 << depth)) << (levels - depth))] = v
+        return feature, cut, levels, out
 
     def add_level(self, sums: np.ndarray) -> None:
         """`sums` of shape (2, open nodes, features, bins): split the open nodes."""
@@ -222,6 +244,7 @@ class Growing:
                 (self.left if side == 0 else self.right)[node] = child
                 for column, v in ((self.feature, -1), (self.cut, 0), (self.left, -1), (self.right, -1), (self.gain, 0.0)):
                     column.append(v)
+                self.place.append(2 * self.place[node] + 1 + side)
                 self.cover.append(float(hs))
                 self.value.append(float(-spec.rate * gs / (hs + spec.smoothing)))
                 fresh.append(child)
@@ -229,33 +252,26 @@ class Growing:
         self.open = fresh if self.level < spec.depth else []
 
 
-def node_of(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The node that each row (columns of `bins`) has come to."""
-    node = np.zeros(bins.shape[1], np.int32)
-    rows = np.arange(bins.shape[1])
-    while True:
-        f = feature[node]
-        moving = f >= 0
-        if not moving.any():
-            return node
-        goes_left = bins[np.maximum(f, 0), rows] <= cut[node]
-        node = np.where(moving, np.where(goes_left, left[node], right[node]), node).astype(np.int32)
-
-
-def level_sums(bins: np.ndarray, grad: np.ndarray, curve: np.ndarray, node: np.ndarray, open_nodes: Sequence[int], n_nodes: int) -> np.ndarray:
-    """Sums of shape (2, open nodes, features, BINS)."""
-    place = np.full(n_nodes, -1, np.int64)
-    place[list(open_nodes)] = np.arange(len(open_nodes))
-    own = place[node]
-    inside = own >= 0
-    if not inside.all():
-        bins, grad, curve, own = bins[:, inside], grad[inside], curve[inside], own[inside]
-    out = np.zeros((2, len(open_nodes), len(bins), BINS))
-    at = own * BINS
+def place_of(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The place in the level below the splits that each row (columns of `bins`) comes to."""
+    n = bins.shape[1]
+    flat, rows, at = bins.ravel(), np.arange(n), np.zeros(n, np.int64)
+    for level in range(levels):
+        first = (1 << level) - 1
+        own_feature, own_cut = feature[first : 2 * first + 1] * n, cut[first : 2 * first + 1]
+        right = flat.take(own_feature.take(at) + rows) > own_cut.take(at)
+        at = 2 * at + right
+    return at
+
+
+def level_sums(bins: np.ndarray, grad: np.ndarray, curve: np.ndarray, at: np.ndarray, open_places: Sequence[int], width: int) -> np.ndarray:
+    """Sums of shape (2, open nodes, features, BINS); `width` places are in the level."""
+    out = np.zeros((2, len(open_places), len(bins), BINS))
+    cell = at * BINS
     for f in range(len(bins)):
-        cell = at + bins[f]
+        own = cell + bins[f]
         for k, w in enumerate((grad, curve)):
-            out[k, :, f] = np.bincount(cell, w, len(open_nodes) * BINS).reshape(-1, BINS)
+            out[k, :, f] = np.bincount(own, w, width * BINS).reshape(width, BINS)[open_places]
     return out
 
 
@@ -300,12 +316,12 @@ def _load(n_features: int, n_targets: int, bases: Sequence[float]):
     return run
 
 
-def _advance(shapes: list):
+def _advance(trees: list):
     """Adds the values of finished trees to the margins."""
 
     def step(block):
         draw, x, y, margins = block
-        moved = [m if s is None else m + s[1][node_of(x, *s[0])] for m, s in zip(margins, shapes)]
+        moved = [m if t is None else m + t[3].take(place_of(x, *t[:3])) for m, t in zip(margins, trees)]
         return draw, x, y, moved
 
     return step
@@ -319,14 +335,13 @@ def _sum_level(specs: list[Spec], numbers: list[int], shapes: list):
             if shape is None:
                 out.append(None)
                 continue
-            *splits, open_nodes = shape
+            *splits, open_places = shape
             grad, curve = gradients(spec.loss, margin, target)
-            drawn = sampled(spec, number, draw)
-            node = node_of(x, *splits)
-            if drawn is None:
-                out.append(level_sums(x, grad, curve, node, open_nodes, len(splits[0])))
-            else:
-                out.append(level_sums(x[:, drawn], grad[drawn], curve[drawn], node[drawn], open_nodes, len(splits[0])))
+            drawn, own = sampled(spec, number, draw), x
+            if drawn is not None:
+                rows = np.flatnonzero(drawn)
+                own, grad, curve = x.take(rows, axis=1), grad.take(rows), curve.take(rows)
+            out.append(level_sums(own, grad, curve, place_of(own, *splits), open_places, 1 << splits[2]))
         return out
 
     return step
@@ -355,13 +370,17 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
     ).na.drop()
     rows = rows.withColumn("draw", F.xxhash64(*rows.columns))
     xs, ys = [f"x{k}" for k in range(len(features))], [f"y{k}" for k in range(len(targets))]
-    rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism) if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else rows, "boost-rows")
-    means = rows.agg(*[F.avg(y) for y in ys]).first()
+    rows = materialize(rows, "boost-rows")
+    means = rows.agg(*[F.avg(y) for y in ys], F.count("*")).first()
+    n = means[-1]
+    tasks = max(-(-n // MOST_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
     bases = [0.0 if m is None else _log_odds(m) if s.loss == "logistic" else float(m) for m, s in zip(means, specs)]
     if means[0] is None:
         return [_assemble([], features, s, b, edges or []) for s, b in zip(specs, bases)]
     edges = edges or bin_edges(rows, xs)
-    packed = materialize(rows.mapInArrow(_pack(xs, ys, edges), "n long, bins binary, targets binary, draws binary"), "boost-bins")
+    packed = materialize(rows.repartition(tasks).mapInArrow(_pack(xs, ys, edges), "n long, bins binary, targets binary, draws binary"), "boost-bins")
+    if (parts := packed.rdd.getNumPartitions()) != tasks:
+        packed = packed.repartition(tasks) if parts < tasks else packed.coalesce(tasks)
     state = packed.rdd.mapPartitions(_load(len(features), len(targets), bases)).persist(StorageLevel.MEMORY_AND_DISK)
     parts = state.getNumPartitions()
     if not spark.sparkContext.getCheckpointDir():
@@ -382,12 +401,10 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
             for g, s in zip(growing, total):
                 if s is not None:
                     g.add_level(s)
-        shapes = []
         for trees, g in zip(done, growing):
             if g is not None:
                 trees.append(g)
-            shapes.append(None if g is None else (g.shape()[:4], np.array(g.value)))
-        following = state.map(_advance(shapes)).persist(StorageLevel.MEMORY_AND_DISK)
+        following = state.map(_advance([None if g is None else g.values() for g in growing])).persist(StorageLevel.MEMORY_AND_DISK)
         if number % CHECKPOINT_TREES == CHECKPOINT_TREES - 1:
             following.checkpoint()
             following.count()
