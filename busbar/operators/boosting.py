@@ -33,7 +33,7 @@ CHECKPOINT_TREES = 50
 DIRECT_PARTITIONS = 32
 _QUANTILE_ACCURACY = 10_000
 #: Rows of a task: no fewer, as each tree needs a job for each of its levels, and no more.
-LEAST_ROWS, MOST_ROWS = 50_000, 1_000_000
+LEAST_ROWS, MOST_ROWS = 100_000, 1_000_000
 
 
 @dataclass
