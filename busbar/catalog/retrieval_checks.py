@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, vector_index
+from ..operators import retrieval, segments, vector_index
 from ..operators.guard import answer_rubric, evidence_score, passes_gate
 from ..operators.joins import join_measured
 from ..operators.spread import top_per_group
@@ -76,6 +76,31 @@ def bm25_search(spark, d):
     return hits.select("query_id", "doc_id", "score", "rank")
 
 
+def segmented(spark, d):
+    """The corpus in segments: half of it comes first, then the rest, and some of it goes and comes again."""
+
+    def build():
+        docs = corpus(spark, d).select("doc_id", *TEXT_COLS)
+        out = segments.create_index(docs.filter("doc_id % 2 = 0"), work_path(spark, "segments"), "doc_id", TEXT_COLS)
+        out.add(docs.filter("doc_id % 2 <> 0"))
+        out.replace(docs.filter("doc_id % 11 = 0"))
+        return out
+
+    return _once("segments", spark, d, build)
+
+
+@query("r01_segment_statistics", "SELECT term, count(*) AS df FROM post GROUP BY term", views="corpus",
+       ctes=f"{TOKENS_SQL}, post AS (SELECT DISTINCT doc_id, term FROM tok)")
+def segment_statistics(spark, d):
+    return segmented(spark, d).document_frequency()
+
+
+@query("r02_segment_search", "SELECT query_id, doc_id, score, rank FROM bm", views="corpus qset", ctes=BM25_SQL)
+def segment_search(spark, d):
+    """The exact top 20 without looking at every posting."""
+    return segmented(spark, d).search(qset(spark, d), "query_id", "text", 20).select("query_id", "doc_id", "score", "rank")
+
+
 @query(
     "r02_bm25_search_padded",
     """SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id
