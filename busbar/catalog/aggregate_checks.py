@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import retrieval
+from ..operators import retrieval, rollups
 from ..operators.spread import exact_quantiles
 from ..sources.bindings import FEATURES, corpus, evalm, fb, feat, met, table, tel
 from . import query
@@ -250,3 +250,35 @@ def corpus_statistics(spark, d):
     stats = index.statistics()
     return terms.withColumns({
         "n_docs": stats.select("n_docs").scalar(), "avg_len": F.round(stats.select("avg_len").scalar(), 4)})
+
+
+def hourly(spark, d):
+    return rollups.roll_up(met(spark, d), ["meter_id"], "ts", "1 hour", ["power"], ["k", "reading_id"])
+
+
+@query(
+    "a07_rolled_statistics",
+    """SELECT meter_id, count(*) AS n_rows, count(power) AS n, round(avg(power), 3) AS mean_kw, min(power) AS min_kw, max(power) AS max_kw,
+       round(stddev_samp(power), 3) AS std_kw, count(DISTINCT k) AS n_k FROM met GROUP BY meter_id""",
+    views="met",
+)
+def rolled_statistics(spark, d):
+    """Meter statistics from hourly partials: equal to those of all readings."""
+    out = rollups.statistics(hourly(spark, d), ["meter_id"], ["power"], distinct=["k"])
+    out = out.select("meter_id", "n_rows", F.col("power_n").alias("n"), F.col("power_mean").alias("mean_kw"), F.col("power_min").alias("min_kw"),
+                     F.col("power_max").alias("max_kw"), F.col("power_std").alias("std_kw"), F.col("k_distinct").alias("n_k"))
+    return _rounded(out, ["mean_kw", "std_kw"], 3)
+
+
+@query(
+    "a06_sketched_quantiles",
+    "SELECT p, TRUE AS within FROM (VALUES ('p50'), ('p85'), ('p95')) v(p)",
+)
+def sketched_quantiles(spark, d):
+    """Quantiles of all meters from hourly sketches: the share of readings up to each is its own, within the sketch's error."""
+    shares = {"p50": 0.5, "p85": 0.85, "p95": 0.95}
+    found = rollups.statistics(hourly(spark, d), [], ["power"], shares)
+    rows = met(spark, d).filter("power IS NOT NULL")
+    ranks = rows.agg(*[F.avg((F.col("power") <= found.select(f"power_{p}").scalar()).cast("double")).alias(p) for p in shares])
+    off = F.create_map(*[x for p, q in shares.items() for x in (F.lit(p), F.abs(F.col(p) - q) <= rollups.RANK_ERROR)])
+    return ranks.select(F.explode(off).alias("p", "within"))
