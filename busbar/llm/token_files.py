@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ BLOCK_IDS = 4096
 FILE_IDS = 4 << 20
 #: Pieces of text whose ids a worker remembers, for each of its two tables.
 CACHE_PIECES = 600_000
+#: Text that is taken apart at a time: the more, the more often a piece is met again.
+SLICE_BYTES = 8 << 20
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -151,34 +154,34 @@ class PieceEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.heads: dict[str, bytes] = {}  # a text's first piece, or several that stay together
         self.parts: dict[str, bytes] = {}  # a later piece, without its leading space
-        self.marks: dict[str, list[int]] = {"": []}
-        self.unsafe: set[str] = set()
+        self.marks: dict[str, bytes] = {}
+        self.four = [struct.pack("<I", k) for k in range(self.vocabulary)]
 
     @staticmethod
     def _cut_before(part: str) -> bool:
         return part != "" and (part[0].isalnum() or "!" <= part[0] <= "~")
 
-    def _merged(self, pretoken: str) -> list[int]:
+    def _merged(self, pretoken: str) -> bytes:
         if not pretoken.isascii():
             pretoken = pretoken.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return [t.id for t in self.merge(pretoken)]
+        four = self.four
+        return b"".join([four[t.id] for t in self.merge(pretoken)])
 
     def _learn(self, known: dict[str, bytes], pieces: Iterable[str], lead: str) -> None:
-        other, marks, merge = [], self.marks, self.merge
+        other, marks, merge, four = [], self.marks, self.merge, self.four
         space = lead and BYTE_LETTERS[32]
         for p in pieces:
             word = p.rstrip(MARKS)
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                tail = p[len(word) :]
-                if tail not in marks:
-                    if len(marks) > CACHE_PIECES:
-                        marks = self.marks = {"": []}
-                    marks[tail] = self._merged(tail)
-                if word.isascii():
-                    ids = [t.id for t in merge(space + word)]
-                else:
-                    ids = self._merged(lead + word)
-                known[p] = array("I", ids + marks[tail]).tobytes()
+            if word.isalpha() and ((plain := word.isascii()) or max(word) < "\u0250"):
+                ids = b"".join([four[t.id] for t in merge(space + word)]) if plain else self._merged(lead + word)
+                if len(word) < len(p):
+                    tail = p[len(word) :]
+                    if tail not in marks:
+                        if len(marks) > CACHE_PIECES:
+                            marks.clear()
+                        marks[tail] = self._merged(tail)
+                    ids += marks[tail]
+                known[p] = ids
             else:
                 other.append(p)
         for p, got in zip(other, self.tokenizer.encode_batch_fast([lead + p for p in other], add_special_tokens=False)):
@@ -192,26 +195,59 @@ class PieceEncoder:
             known.clear()
             known.update(short if len(short) < CACHE_PIECES // 2 else {})
 
+    def _safe(self, column: pa.Array, pieces: list[str]) -> np.ndarray:
+        """For each piece, whether a text may be cut before the space in front of it."""
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer((column.buffers()[2] or b"") if len(column) else b"", np.uint8)
+        some = np.flatnonzero(ends[1:] > ends[:-1])
+        out = np.zeros(len(pieces), bool)
+        first = data[ends[some]]
+        out[some] = (first >= ord("!")) & (first <= ord("~"))
+        for k in some[first >= 128].tolist():
+            out[k] = self._cut_before(pieces[k])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned 32-bit integers.
+
+        Arrow splits the texts and numbers their different pieces; Python looks
+        up each different piece once, and the ids are gathered by those numbers.
+        """
+        if not texts:
+            return []
         self._bound(self.heads)
         self._bound(self.parts)
-        if len(self.unsafe) > CACHE_PIECES:
-            self.unsafe.clear()
-        split = [t.split(" ") for t in texts]
-        # Not a difference with the table's keys: that would walk through the whole table.
-        fresh = {p for p in set().union(*split) if p not in self.parts and p not in self.unsafe}
-        self.unsafe |= (odd := {p for p in fresh if not self._cut_before(p)})
-        self._learn(self.parts, fresh - odd, " ")
-        joined = [[p[0], p[1:]] if self.unsafe.isdisjoint(p[1:]) else self._rejoin(p) for p in split]
-        heads = {head for j in joined for head in ([j[0]] if len(j) == 2 else j[0])}
-        self._learn(self.heads, [p for p in heads if p not in self.heads], "")
-        return [
-            self.heads[j[0]] + b"".join(map(self.parts.__getitem__, j[1])) if len(j) == 2 else b"".join(map(self.heads.__getitem__, j[0]))
-            for j in joined
-        ]
-
-    def _rejoin(self, parts: list[str]) -> list:
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        starts = bounds[:-1]
+        later = np.ones(len(codes), bool)
+        later[starts] = False
+        needed = np.zeros(len(pieces), bool)
+        needed[codes[later]] = True
+        safe = self._safe(coded.dictionary, pieces)
+        odd = needed & ~safe
+        whole = np.zeros(len(texts), bool)  # texts with a space that must not be cut at
+        if odd.any():
+            whole[np.searchsorted(bounds, np.flatnonzero(later & odd[codes]), "right") - 1] = True
+        parts = self.parts
+        self._learn(parts, [p for p, want in zip(pieces, (needed & safe).tolist()) if want and p not in parts], " ")
+        rejoined = {t: self._rejoin(texts[t].split(" ")) for t in np.flatnonzero(whole).tolist()}
+        heads = [pieces[c] for c in codes[starts].tolist()]
+        firsts = {h for t, h in enumerate(heads) if not whole[t]} | {h for j in rejoined.values() for h in j}
+        self._learn(self.heads, [h for h in firsts if h not in self.heads], "")
+
+        known = [parts.get(p, b"") for p in pieces] + [b"" if whole[t] else self.heads[h] for t, h in enumerate(heads)]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, places = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        codes[starts] = len(pieces) + np.arange(len(texts))
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(places[codes] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        cuts = np.append(0, 4 * ends[bounds[1:] - 1]).tolist()
+        return [b"".join(map(self.heads.__getitem__, rejoined[t])) if t in rejoined else flat[a:b] for t, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def _rejoin(self, parts: list[str]) -> list[str]:
         """Pieces of a text with spaces that must not be cut at."""
         out = [[parts[0]]]
         for p in parts[1:]:
@@ -219,7 +255,7 @@ class PieceEncoder:
                 out.append(["", p])
             else:
                 out[-1].append(p)
-        return [list(" ".join(o) for o in out)]
+        return [" ".join(o) for o in out]
 
 
 @lru_cache(1)
@@ -228,6 +264,17 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE_BYTES of text, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, "right")), lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _encode_task(uri: str, path: str, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("token_files", _encoder.cache_clear)
@@ -247,8 +294,7 @@ def _encode_task(uri: str, path: str, end_id: int, file_ids: int):
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                cut = batch.slice(lo, 200)
+            for cut in _slices(batch):
                 for doc_id, ids in zip(cut.column(0).to_pylist(), encoder.encode([t or "" for t in cut.column(1).to_pylist()])):
                     doc_ids.append(doc_id)
                     held.append(ids + end)
