@@ -3,9 +3,10 @@
 Path-dependent Shapley values, computed leaf by leaf. A leaf with m distinct
 features is a product game: feature j either keeps the row on the path (0 or 1)
 or, when unknown, lets the share of training rows through that the path keeps.
-Every leaf therefore has only 2^m outcomes, and their Shapley values are tabled
-once on the driver (the tables are bounded by the model, not by the data); a
-task turns each row into one outcome number per leaf and adds table rows.
+Its Shapley values are sums over polynomials with m factors. A leaf of few
+features has few outcomes, whose values are tabled once on the driver; a task
+turns each row into one outcome number and adds table rows. For leaves of many
+features the polynomials are worked out for all rows of a batch at once.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .boosting import BoostedTrees
 
 
 def _leaf(value: float, path: list[tuple[int, float, bool, float]]):
-    """Bounds and outcome table of one leaf: `(features, lower, upper, table, expectation)`."""
+    """Bounds of one leaf, and for each of its features the share of training rows that the path lets through: `(features, lower, upper, shares, value)`."""
     feats: list[int] = []
     lower: dict[int, float] = {}
     upper: dict[int, float] = {}
@@ -38,22 +39,29 @@ def _leaf(value: float, path: list[tuple[int, float, bool, float]]):
         else:
             lower[f] = max(lower[f], threshold)
         share[f] *= kept
-    m = len(feats)
-    r = np.array([share[f] for f in feats])
-    on = (np.arange(2**m)[:, None] >> np.arange(m)[None, :]) & 1
-    table = np.zeros((2**m, m))
+    return feats, [lower[f] for f in feats], [upper[f] for f in feats], np.array([share[f] for f in feats]), value
+
+
+def shapley(on: np.ndarray, shares: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values of one leaf's features, (features, rows), from whether each keeps a row on the path.
+
+    Coefficient s of the product over j != i of (on_j z + share_j) sums up all
+    coalitions of s features without i, so the work is a power of the number of
+    features, not their number of subsets.
+    """
+    m, n = on.shape
+    weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    out = np.empty((m, n))
     for i in range(m):
-        # Coefficient s of the product over j != i of (on_j z + r_j) sums all coalitions of size s.
-        coef = np.ones((2**m, 1))
+        coef = np.zeros((m, n))
+        coef[0] = 1
         for j in range(m):
             if j != i:
-                grown = np.zeros((2**m, coef.shape[1] + 1))
-                grown[:, :-1] += coef * r[j]
-                grown[:, 1:] += coef * on[:, j : j + 1]
+                grown = coef * shares[j]
+                grown[1:] += coef[:-1] * on[j]
                 coef = grown
-        weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-        table[:, i] = value * (on[:, i] - r[i]) * (coef @ weight)
-    return feats, [lower[f] for f in feats], [upper[f] for f in feats], table, value * float(np.prod(r))
+        out[i] = value * (on[i] - shares[i]) * (weight @ coef)
+    return out
 
 
 def leaf_tables(trees: list[tuple[float, dict[int, dict]]]):
@@ -66,9 +74,9 @@ def leaf_tables(trees: list[tuple[float, dict[int, dict]]]):
             n = nodes[i]
             if n["lo"] < 0:
                 leaf = _leaf(weight * n["value"], path)
-                base += leaf[4]
+                base += leaf[4] * float(np.prod(leaf[3]))
                 if leaf[0]:
-                    leaves.append(leaf[:4])
+                    leaves.append(leaf)
                 continue
             for child, left in ((n["lo"], True), (n["hi"], False)):
                 kept = nodes[child]["cover"] / n["cover"]
@@ -76,6 +84,10 @@ def leaf_tables(trees: list[tuple[float, dict[int, dict]]]):
     return leaves, base
 
 
+#: Leaves with at most so many features (bits of a byte) have their outcomes tabled; others are worked out row by row.
+TABLE_FEATURES = 8
+
+
 class LeafGrid:
     """The leaves of a model over the intervals between its thresholds.
 
@@ -85,23 +97,45 @@ class LeafGrid:
 
     def __init__(self, leaves, dim: int):
         ends = [set() for _ in range(dim)]
-        for feats, lower, upper, _ in leaves:
+        for feats, lower, upper, _, _ in leaves:
             for f, lo, hi in zip(feats, lower, upper):
                 ends[f] |= {v for v in (lo, hi) if np.isfinite(v)}
         self.ends = [np.array(sorted(e)) for e in ends]
         size = max((len(e) for e in self.ends), default=0)
         self.kind = np.uint8 if size < 255 else np.uint16 if size < 65_535 else np.uint32
         self.leaves = []
-        for feats, lower, upper, table in leaves:
+        for feats, lower, upper, shares, value in leaves:
             ranges = []
-            for bit, (f, lo, hi) in enumerate(zip(feats, lower, upper)):
+            for f, lo, hi in zip(feats, lower, upper):
                 first = int(np.searchsorted(self.ends[f], lo, "left")) + 1 if np.isfinite(lo) else 0
                 last = int(np.searchsorted(self.ends[f], hi, "left")) if np.isfinite(hi) else len(self.ends[f])
-                ranges.append((f, self.kind(first), self.kind(max(last - first, 0)), 1 << bit))
-            code = np.uint8 if len(feats) <= 8 else np.uint32
-            self.leaves.append((ranges, np.ascontiguousarray(table.T), feats, code))
+                ranges.append((f, self.kind(first), self.kind(max(last - first, 0))))
+            table = None
+            if len(feats) <= TABLE_FEATURES:
+                every = (np.arange(1 << len(feats))[None, :] >> np.arange(len(feats))[:, None]) & 1
+                table = shapley(every, shares, value)
+            self.leaves.append((ranges, table, shares, value))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Contribution of every feature for every row of `x`."""
+        place = [np.searchsorted(e, x[:, f], "left").astype(self.kind) for f, e in enumerate(self.ends)]
+        out = np.zeros((x.shape[1], len(x)))
+        for ranges, table, shares, value in self.leaves:
+            # below `first` the difference wraps around to a large number
+            on = [((place[f] - first) <= width).view(np.uint8) for f, first, width in ranges]
+            if table is None:
+                for (f, _, _), column in zip(ranges, shapley(np.stack(on), shares, value)):
+                    out[f] += column
+                continue
+            code = on[0]
+            for bit, own in enumerate(on[1:], 1):
+                code = code | (own << np.uint8(bit))
+            for (f, _, _), column in zip(ranges, table):
+                out[f] += column.take(code)
+        return out.T
+
+
+def contributions(self, x: np.ndarray) -> np.ndarray:
         """Contribution of every feature for every row of `x`."""
         place = [np.searchsorted(e, x[:, f], "left").astype(self.kind) for f, e in enumerate(self.ends)]
         out = np.zeros((x.shape[1], len(x)))

@@ -129,3 +129,18 @@ def test_contributions_of_a_wide_model(spark):
     assert len(got) == 800
     for r in got[:100]:
         assert r["explained"] == pytest.approx(r["margin"], abs=1e-9) and len(r["top"]) == 5
+
+
+def test_leaves_of_many_features(spark, monkeypatch):
+    """Without tables the values are the same, and deep trees over many features are no matter of subsets."""
+    x, target, label = rows(400, 5, dim=14)
+    names = [f"f{k}" for k in range(14)]
+    spec = boosting.Spec("target", "squared", 12, trees=3, least_weight=0.5, smoothing=0.1)
+    model = boosting.fit_boosted(frame(spark, x, target, label), names, [spec])[0]
+    leaves, base = attribution.leaf_tables(model.trees())
+    assert max(len(leaf[0]) for leaf in leaves) >= 7
+    tabled = attribution.contributions(x, leaves)
+    monkeypatch.setattr(attribution, "TABLE_FEATURES", 0)
+    worked = attribution.contributions(x, leaves)
+    assert np.allclose(tabled, worked, atol=1e-12)
+    assert np.allclose(base + model.base + worked.sum(axis=1), model.margins(x), atol=1e-9)
