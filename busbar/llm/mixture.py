@@ -6,7 +6,8 @@ the source in whose stretch of the cumulative weights the fraction of k times th
 golden ratio falls, so each stretch of the schedule has the sources in their
 shares up to a few slots. The slots of a source are ranked; rank r asks block r
 of its layout, beginning anew after the last. Slots join blocks by source and
-block, and a source's last slot takes only the words still missing.
+block, and a source's last slot takes only the words still missing. The slots
+decide the order of the mix: a document stands where its first words are asked.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2
 BLOCK_WORDS = 512
 #: Rows of a source that are ordered in one task, on average; slots in one task.
-BUCKET_ROWS, CHUNK_SLOTS = 20_000, 1 << 16
+BUCKET_ROWS, CHUNK_SLOTS = 2_000, 1 << 16
 
 #: 2**64 divided by the golden ratio, odd: multiples of it, modulo 2**64, are the golden-ratio points exactly.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -65,10 +66,10 @@ def _source_of(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.searchsorted(ends, points, side="right")
 
 
-def slot_sources(first: int, n: int, slots: np.ndarray) -> np.ndarray:
-    """Sources asked by slots `first` to `first + n - 1`, given the slots each source needs."""
+def slot_sources(first: int, n: int, slots: np.ndarray, step: int = GOLDEN) -> np.ndarray:
+    """Sources asked by slots `first` to `first + n - 1`, given the slots each source needs; slot k has the point k + 1 times `step`."""
     with np.errstate(over="ignore"):
-        points = (np.arange(first, first + n, dtype=np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
+        points = (np.arange(first, first + n, dtype=np.uint64) + np.uint64(1)) * np.uint64(step)
     total, ends, upto = int(slots.sum()), [], 0
     for n_slots in slots.tolist():
         upto += n_slots
@@ -78,28 +79,28 @@ def slot_sources(first: int, n: int, slots: np.ndarray) -> np.ndarray:
     return np.minimum(found, np.flatnonzero(slots)[-1])
 
 
-def _count_slots(slots: np.ndarray):
+def _count_slots(slots: np.ndarray, step: int):
     total = int(slots.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in batch.column(0).to_pylist():
                 first = chunk * CHUNK_SLOTS
-                n = np.bincount(slot_sources(first, min(CHUNK_SLOTS, total - first), slots))
+                n = np.bincount(slot_sources(first, min(CHUNK_SLOTS, total - first), slots, step))
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["chunk", "source_no", "n"])
 
     return run
 
 
-def _rank_slots(slots: np.ndarray):
+def _rank_slots(slots: np.ndarray, step: int):
     total = int(slots.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 first = row["chunk"] * CHUNK_SLOTS
-                source = slot_sources(first, min(CHUNK_SLOTS, total - first), slots)
+                source = slot_sources(first, min(CHUNK_SLOTS, total - first), slots, step)
                 base = np.zeros(len(slots), np.int64)
                 for b in row["bases"]:
                     base[b["source_no"]] = b["base"]
@@ -113,7 +114,7 @@ def _rank_slots(slots: np.ndarray):
     return run
 
 
-def schedule(spark: SparkSession, slots: np.ndarray) -> DataFrame:
+def schedule(spark: SparkSession, slots: np.ndarray, step: int = GOLDEN) -> DataFrame:
     """Slot, source and rank of the slot among its source's, as many per source as `slots` says.
 
     The slots asked too often of a source are passed over; the few that it lacks
@@ -124,11 +125,11 @@ def schedule(spark: SparkSession, slots: np.ndarray) -> DataFrame:
     if not total:
         return spark.createDataFrame([], shape)
     chunks = spark.range(-(-total // CHUNK_SLOTS)).withColumnRenamed("id", "chunk")
-    counts = chunks.mapInArrow(_count_slots(slots), "chunk long, source_no long, n long")
+    counts = chunks.mapInArrow(_count_slots(slots, step), "chunk long, source_no long, n long")
     upto = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     per_chunk = bases.groupBy("chunk").agg(F.collect_list(F.struct("source_no", "base")).alias("bases"))
-    ranked = per_chunk.mapInArrow(_rank_slots(slots), shape)
+    ranked = per_chunk.mapInArrow(_rank_slots(slots, step), shape)
     got = counts.groupBy("source_no").agg(F.sum("n").alias("n"))
     needs = spark.createDataFrame(pa.table({"source_no": np.arange(len(slots)), "slots": slots}))
     short = needs.join(got, "source_no", "left").fillna(0, ["n"]).filter("n < slots")
@@ -138,7 +139,7 @@ def schedule(spark: SparkSession, slots: np.ndarray) -> DataFrame:
 
 def mix(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS,
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS, step: int = GOLDEN,
 ) -> DataFrame:
     """Every row of `docs` with its words, its source's words and target, and the words that the mix takes of it.
 
@@ -146,7 +147,9 @@ def mix(
     of it. A null source is a source, the last one. Rows are shuffled by a hash
     of their key, so a rerun gives the same mix; rows that share a key are
     ordered by their size. Each source gives its target to the word (rounded
-    down), hence no row more than `cap` times its size.
+    down), hence no row more than `cap` times its size. `first_slot` and
+    `last_slot` are the slots of the schedule that take a row's first and last
+    words; null if none does.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -180,30 +183,41 @@ def mix(
     own = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("lo") / block_words), F.floor((F.col("lo") + F.col("size") - 1) / block_words)))
     pieces = placed.withColumn("block", F.explode(F.coalesce(own, F.array(-F.col("nr").cast("long")))))
 
-    plan = schedule(spark, slots).join(goal.select("source_no", "blocks", "passes", "rest"), "source_no")
-    plan = plan.select("source_no", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("turn"), "passes", "rest")
-    plan = plan.select("source_no", "block", F.when(F.col("turn") < F.col("passes"), (F.col("block") + 1) * block_words).otherwise(F.col("rest")).alias("upto"))
+    plan = schedule(spark, slots, step).join(goal.select("source_no", "blocks", "passes", "rest"), "source_no")
+    plan = plan.select("slot", "source_no", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("turn"), "passes", "rest")
+    plan = plan.select("slot", "source_no", "block", F.when(F.col("turn") < F.col("passes"), (F.col("block") + 1) * block_words).otherwise(F.col("rest")).alias("upto"))
     start = F.greatest("lo", F.col("block") * block_words)
     end = F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * block_words, "upto")
     joined = pieces.join(plan, ["source_no", "block"], "left").withColumn("take", F.greatest(F.coalesce(end - start, F.lit(0)), F.lit(0)) * F.when(F.col("upto").isNull(), 0).otherwise(1))
-    out = joined.groupBy("source_no", "bucket", "nr", "doc_id", "source", "size", "source_size", "target").agg(F.sum("take").alias("taken"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    asked = F.when(F.col("take") > 0, F.col("slot"))
+    out = joined.groupBy("source_no", "bucket", "nr", "doc_id", "source", "size", "source_size", "target").agg(
+        F.sum("take").alias("taken"), F.min(asked).alias("first_slot"), F.max(asked).alias("last_slot"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The mix as whole documents: each row of `docs` as often as the mix goes through it.
-
-    A row of which the mix takes a part, at the end of its source's target, is
-    in if that is at least half of it, so a source misses its target by at most
-    half a document. Rows without words are in no block and go. Of rows that
-    share key, source and size each comes as often as the one most taken.
+    """The mix as whole documents in the order of the schedule: each row of `docs` as often as the mix goes through it.
+
+    The first copy stands at the slot that asks for the row's first words, the
+    last one at the slot that takes its last, others evenly in between. A row
+    of which the mix takes a part, at the end of its source's target, is in if
+    that is at least half of it, so a source misses its target by at most half
+    a document. Rows without words are in no block and go. Of rows that share
+    key, source and size each comes as often as the one most taken. `docs` may
+    have any other columns.
     """
     takes = mix(docs, key, source, text, **how).filter("size > 0")
-    takes = takes.withColumn("_copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
-    takes = takes.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("_copies").alias("_copies")).filter("_copies > 0")
+    takes = takes.withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")).filter("copies > 0")
+    takes = takes.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"), F.min("first_slot").alias("lo"), F.max("last_slot").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / F.greatest(F.col("copies") - 1, F.lit(1))
+    takes = takes.withColumn("slots", F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.floor(F.col("lo") + k * step)))
+    slot = "slot"
+    while slot in docs.columns:
+        slot += "_"
     size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0))
-    same = docs[key].eqNullSafe(F.col("_id")) & docs[source].eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    return docs.join(takes, same).withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    same = docs[key].eqNullSafe(takes["doc_id"]) & docs[source].eqNullSafe(takes["source"]) & (size == takes["size"])
+    mixed = docs.join(takes, same).select(*[docs[c] for c in docs.columns], F.explode(takes["slots"]).alias(slot))
+    return mixed.repartitionByRange(slot, F.xxhash64(key)).sortWithinPartitions(slot).drop(slot)
 
 
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,39 @@ def test_mixed_documents_keep_their_columns(spark, docs):
         assert abs(words[s] - target) <= longest.get(s, 0) + 1
 
 
+def test_the_schedule_decides_the_order(spark):
+    """Documents stand where the schedule asks for them: every stretch has the sources in their shares, and another schedule gives another order."""
+    rows = [(k, " ".join(["w"] * 60), "abc"[k % 3], k, k) for k in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, slot long, _copies long").repartition(3)
+    how = {"block_words": 64}
+    goals = {r.source: r.target for r in mixture.mix(frame, **how).select("source", "target").distinct().collect()}
+    order = mixture.mixed_documents(frame, **how)
+    assert order.columns == frame.columns
+    got = [(r.doc_id, r.source) for r in order.collect()]
+    total = sum(goals.values())
+    for n in (100, 300, 700, len(got)):
+        seen = Counter(s for _, s in got[:n])
+        assert all(abs(seen[s] - n * g / total) <= 8 for s, g in goals.items())
+    again = [(r.doc_id, r.source) for r in mixture.mixed_documents(frame.repartition(5), **how).collect()]
+    assert again == got
+    # points that hardly move: source after source
+    other = [(r.doc_id, r.source) for r in mixture.mixed_documents(frame, **how, step=1).collect()]
+    assert Counter(other) == Counter(got) and other != got
+    worst = Counter(s for _, s in other[:300])
+    assert any(abs(worst[s] - 300 * g / total) > 50 for s, g in goals.items())
+    slots = mixture.mix(frame, **how).filter("taken > 0")
+    assert slots.filter("first_slot IS NULL OR last_slot < first_slot").count() == 0
+
+
+@pytest.mark.parametrize("helper", ["_id", "_share", "_size", "_copies", "_source", "lo", "hi", "slots", "share", "part"])
+def test_helper_columns_do_not_clash(spark, helper):
+    rows = [(k, tables.PROSE["en" if k % 2 else "de"], "en" if k % 2 else "de", "ab"[k % 2], 7) for k in range(12)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, `{helper}` long")
+    assert mixture.mixed_documents(frame).columns == frame.columns
+    told = language_id.identify(frame, language_id.public_vocabulary(), F.lit(True))
+    assert {r.lang_pred for r in told.collect()} == {"en", "de"}
+
+
 # --- 3 licences ---------------------------------------------------------------------------------
 
 
