@@ -223,8 +223,9 @@ def learn(docs: DataFrame, path: str, train: Column, key: str = "doc_id", text:
     """
     known = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     part = F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 30)) / (1 << 30)
-    shares = known.groupBy(lang).agg((SAMPLE_ROWS / F.count("*")).alias("_share"))
-    rows = known.join(F.broadcast(shares), lang).filter(part <= F.col("_share")).select(F.col(lang), F.col(text))  # a row for each language
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), part.alias("part"))  # whatever else there is stays behind
+    shares = known.groupBy("lang").agg((SAMPLE_ROWS / F.count("*")).alias("share"))
+    rows = known.join(F.broadcast(shares), "lang").filter("part <= share").select("lang", "text")  # a row for each language
     sums = rows.mapInArrow(_count_task(path), "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
     got = sums.toPandas()
     langs = sorted(got["lang"].unique())
