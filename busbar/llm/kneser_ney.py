@@ -37,15 +37,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_path
-from .common import LOWER, SharedFolder, annotate, held_out, mix64, table, utf8
+from .common import LOWER, SharedFolder, annotate, held_out, mix64, table, take_over, utf8
 
 #: Tokens that a task counts at a time.
 COUNTED = 4_000_000
+#: Texts that are taken apart together.
+SLICE = 400
 #: Words in a shard and ids in a block of statistics are about 2 to this power; bigrams in a shard about so many tokens'.
 WORD_BITS, SHARD_TOKENS = 18, 4_000_000
 #: Contexts with more than 1/HOT_SHARE of all tokens are spread.
 HOT_SHARE = 1000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: The end of a text is a token of its own; no word is empty.
 END = b""
 
@@ -68,23 +70,35 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in some arrays and how often each occurs; the arrays are given up on the way."""
+    flat = np.concatenate(held)
+    held.clear()
+    flat.sort()
+    edges = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    return flat[edges], np.diff(np.append(edges, len(flat)))
+
+
 def _word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    take_over("kneser_ney", _HASHES.clear)
     held, n = [], 0
 
     def drain() -> pa.RecordBatch:
-        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        words, counts = _counted(held)
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
     for batch in batches:
-        for text in utf8(batch.column(0)):
-            tokens = tokens_of(text)
-            held.append(np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens)))
-            n += len(tokens)
-            if n > COUNTED:
-                yield drain()
-                held, n = [], 0
+        for lo in range(0, batch.num_rows, SLICE):
+            for text in utf8(batch.column(0).slice(lo, SLICE)):
+                tokens = tokens_of(text)
+                held.append(np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens)))
+                n += len(tokens)
+                if n > COUNTED:
+                    yield drain()
+                    n = 0
     if held:
         yield drain()
+    _HASHES.clear()  # the next stages have no use for it
 
 
 def _columns_file(folder: SharedFolder, name: str, arrays: list[np.ndarray]) -> None:
@@ -94,7 +108,7 @@ def _columns_file(folder: SharedFolder, name: str, arrays: list[np.ndarray]) ->
             out.write(np.ascontiguousarray(a).data)
 
 
-@lru_cache(100_000)
+@lru_cache(4096)
 def _mapped(uri: str, name: str) -> np.ndarray:
     """The bytes of a shared file, as a memory map; a file of a remote store is first copied next to the task."""
     folder = SharedFolder(uri)
@@ -228,19 +242,18 @@ def _bigram_task(words: Words, hot: np.ndarray, bits: int):
         held, n = [], 0
 
         def drain() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = _counted(held)
             shards = _shard(words, hot, bits, keys >> 32, keys & 0xFFFFFFFF)
             return pa.RecordBatch.from_arrays([pa.array(shards), pa.array(keys), pa.array(counts.astype(np.int64))], ["shard", "bigram", "n"])
 
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for lo in range(0, len(texts), 500):
-                before, flat = bigrams_of(words, [tokens_of(t) for t in texts[lo : lo + 500]])
+            for lo in range(0, batch.num_rows, SLICE):
+                before, flat = bigrams_of(words, [tokens_of(t) for t in utf8(batch.column(0).slice(lo, SLICE))])
                 held.append(before << 32 | flat)
                 n += len(flat)
                 if n > COUNTED:
                     yield drain()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield drain()
 
@@ -390,13 +403,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def make():
         model = shared.value
         words = model.words
+        take_over("kneser_ney", words.known.clear)
         floor = np.log10(words.tokens + words.size + 1)
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            texts = utf8(batch.column(text))
-            for lo in range(0, len(texts), 500):
-                docs = [tokens_of(t) for t in texts[lo : lo + 500]]
+            for lo in range(0, batch.num_rows, SLICE):
+                docs = [tokens_of(t) for t in utf8(batch.column(text).slice(lo, SLICE))]
                 one, two = bigrams_of(words, docs)
                 starts = np.cumsum([0, *(len(d) for d in docs[:-1])])
                 base = np.log10(words.counts(two) + 1) - floor
