@@ -38,7 +38,7 @@ FILE_IDS = 4 << 20
 #: Pieces of text whose ids a worker remembers, for each of its two tables.
 CACHE_PIECES = 600_000
 #: Text that is taken apart at a time: the more, the more often a piece is met again.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 
