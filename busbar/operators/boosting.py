@@ -1,15 +1,18 @@
 """Second-order gradient boosting over binned features.
 
-Features are binned once at their quantiles, one byte each, and stored. A tree is
-grown level by level: every task sums gradients and curvatures of its rows by
-(node, feature, bin), the sums of all tasks are added, and the driver, which
-sees nothing but those sums, takes the split with the largest regularised gain
-in each node. Their size depends on features, bins and depth, not on the rows.
-Several models over the same rows are grown in the same jobs.
-
-The rows' margins are the only state. They are kept with the binned rows from
-tree to tree, and written to the shared folder every CHECKPOINT_TREES trees, so
-that a lost executor costs a few trees at most.
+Features are binned once at their quantiles, one byte each, and stored. Rows
+with the same bins come to the same leaf of every tree, so they are sorted into
+cells, and a cell is kept as its bins, number of rows, mean targets and margin.
+A tree is grown level by level: every task sums gradients and curvatures of its
+cells by (node, feature, bin), the sums of all tasks are added, and the driver,
+which sees nothing but those sums, takes the split with the largest regularised
+gain in each node. Their size depends on features, bins and depth, not on the
+rows. Several models over the same rows are grown in the same jobs. Where a tree
+sees a sample of the rows, each row is drawn and its cell counted once a tree.
+
+The cells are the only state. They are kept from tree to tree, and written to
+the shared folder every CHECKPOINT_TREES trees, so that a lost executor costs a
+few trees at most.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ from pyspark.sql import types as T
 from ..session import materialize, work_path
 
 BINS = 256
-CHECKPOINT_TREES = 50
+CHECKPOINT_TREES = 20
 #: Up to so many partitions send their sums to the driver; more add them up among themselves first.
-DIRECT_PARTITIONS = 32
+DIRECT_PARTITIONS = 64
 _QUANTILE_ACCURACY = 10_000
 #: Rows of a task: no fewer, as each tree needs a job for each of its levels, and no more.
-LEAST_ROWS, MOST_ROWS = 100_000, 1_000_000
+LEAST_ROWS, MOST_ROWS = 100_000, 3_000_000
+#: Rows drawn at a time, so that they stay in a core's cache.
+_DRAWN_AT_ONCE = 32_768
 
 
 @dataclass
@@ -285,63 +290,112 @@ def sampled(spec: Spec, number: int, draw: np.ndarray) -> np.ndarray | None:
     return (x ^ (x >> np.uint64(31))) < np.uint64(int(spec.row_share * 2**64))
 
 
-def _pack(features: Sequence[str], targets: Sequence[str], edges: list[np.ndarray]):
+def _bin(features: Sequence[str], targets: Sequence[str], edges: list[np.ndarray]):
+    """Rows as `(cell, targets, draw, salt)`; a cell is one byte for each feature."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([bin_values(np.asarray(batch.column(c)), e) for c, e in zip(features, edges)], axis=1)
+            cell = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())])
+            rest = [*targets, "draw", "salt"]
+            yield pa.RecordBatch.from_arrays([cell.cast(pa.binary()), *(batch.column(c) for c in rest)], ["cell", *rest])
+
+    return run
+
+
+def _pack(n_features: int, targets: Sequence[str]):
+    """The rows of a task as one block, sorted by cell: bins and number of rows of each cell, targets and draw of each row."""
+
     def run(batches):
+        cells, ys, draws, task = [], [[] for _ in targets], [], 0
         for batch in batches:
             if batch.num_rows:
-                x = [bin_values(np.asarray(batch.column(c)), e) for c, e in zip(features, edges)]
-                y = [np.asarray(batch.column(c)) for c in targets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.num_rows], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (np.stack(x), np.stack(y), np.asarray(batch.column("draw"))))],
-                    ["n", "bins", "targets", "draws"])
+                task = batch.column("task")[0].as_py()
+                cells.append(np.frombuffer(b"".join(batch.column("cell").to_pylist()), np.uint8).reshape(-1, n_features))
+                for y, c in zip(ys, targets):
+                    y.append(np.asarray(batch.column(c)))
+                draws.append(np.asarray(batch.column("draw")))
+        if not cells:
+            return
+        x, y, draw = np.concatenate(cells), np.stack([np.concatenate(v) for v in ys]), np.concatenate(draws).view(np.uint64)
+        order = np.lexsort((draw, *x.T[::-1]))  # sums come out alike in whatever order the rows arrive
+        x, y, draw = x[order], y[:, order], draw[order]
+        starts = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]))
+        block = np.ascontiguousarray(x[starts].T), starts, y, draw
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([v], pa.int64()) for v in (task, len(starts), len(draw))] + [pa.array([v.tobytes()], pa.binary()) for v in block],
+            ["task", "n_cells", "n", "bins", "starts", "targets", "draws"])
 
     return run
 
 
-def _load(n_features: int, n_targets: int, bases: Sequence[float]):
-    """A partition of stored blocks as one block: bins, targets, and margins to start with."""
+def _load(n_features: int, n_targets: int):
+    """A stored block as arrays: bins of the cells, the first row of each, targets and draws of the rows."""
 
-    def run(rows):
-        bins, targets, draws = [], [], []
-        for r in rows:
-            bins.append(np.frombuffer(r["bins"], np.uint8).reshape(n_features, r["n"]))
-            targets.append(np.frombuffer(r["targets"]).reshape(n_targets, r["n"]))
-            draws.append(np.frombuffer(r["draws"], np.uint64))
-        if bins:
-            draw = np.concatenate(draws)
-            order = np.argsort(draw, kind="stable")  # sums come out alike in whatever order the rows arrive
-            x, y = np.concatenate(bins, axis=1)[:, order], np.concatenate(targets, axis=1)[:, order]
-            yield draw[order], np.ascontiguousarray(x), y, [np.full(x.shape[1], b) for b in bases]
+    def run(pair):
+        r = pair[1]
+        return (np.frombuffer(r["bins"], np.uint8).reshape(n_features, r["n_cells"]), np.frombuffer(r["starts"], np.int64),
+                np.frombuffer(r["targets"]).reshape(n_targets, r["n"]), np.frombuffer(r["draws"], np.uint64))
 
     return run
 
 
+def _weights(spec: Spec, number: int, starts: np.ndarray, y: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each cell that the tree sees, and the mean of their target."""
+    sizes = np.diff(starts, append=len(draw))
+    first = y.take(starts)  # sums are of differences to it, so cells with one value have exactly that
+    apart = y - np.repeat(first, sizes)
+    if spec.row_share >= 1:
+        count = sizes.astype(float)
+    else:
+        drawn = np.concatenate([sampled(spec, number, draw[k : k + _DRAWN_AT_ONCE]) for k in range(0, len(draw), _DRAWN_AT_ONCE)])
+        count = np.add.reduceat(drawn, starts, dtype=np.int64).astype(float)
+        apart *= drawn
+    return count, first + np.add.reduceat(apart, starts) / np.maximum(count, 1)
+
+
+def _start(specs: list[Spec], bases: Sequence[float]):
+    """The cells before the first tree: bins, margins, and what that tree sees of each."""
+
+    def step(block):
+        x, starts, targets, draw = block
+        return x, [np.full(x.shape[1], b) for b in bases], [_weights(s, 0, starts, y, draw) for s, y in zip(specs, targets)]
+
+    return step
+
+
 def _advance(trees: list):
     """Adds the values of finished trees to the margins."""
 
-    def step(block):
-        draw, x, y, margins = block
-        moved = [m if t is None else m + t[3].take(place_of(x, *t[:3])) for m, t in zip(margins, trees)]
-        return draw, x, y, moved
+    def step(state):
+        x, margins, weights = state
+        return x, [m if t is None else m + t[3].take(place_of(x, *t[:3])) for m, t in zip(margins, trees)], weights
 
     return step
 
 
-def _sum_level(specs: list[Spec], numbers: list[int], shapes: list):
-    def step(block):
-        draw, x, y, margins = block
+def _draw_again(specs: list[Spec], number: int):
+    """What the next tree sees of each cell."""
+
+    def step(pair):
+        (x, margins, weights), (_, starts, targets, draw) = pair
+        fresh = [_weights(s, number, starts, y, draw) if s.row_share < 1 and number < s.trees else w for s, w, y in zip(specs, weights, targets)]
+        return x, margins, fresh
+
+    return step
+
+
+def _sum_level(specs: list[Spec], shapes: list):
+    def step(state):
+        x, margins, weights = state
         out = []
-        for spec, number, shape, margin, target in zip(specs, numbers, shapes, margins, y):
+        for spec, shape, margin, (count, target) in zip(specs, shapes, margins, weights):
             if shape is None:
                 out.append(None)
                 continue
             *splits, open_places = shape
             grad, curve = gradients(spec.loss, margin, target)
-            drawn, own = sampled(spec, number, draw), x
-            if drawn is not None:
-                rows = np.flatnonzero(drawn)
-                own, grad, curve = x.take(rows, axis=1), grad.take(rows), curve.take(rows)
-            out.append(level_sums(own, grad, curve, place_of(own, *splits), open_places, 1 << splits[2]))
+            out.append(level_sums(x, count * grad, count * curve, place_of(x, *splits), open_places, 1 << splits[2]))
         return out
 
     return step
@@ -378,11 +432,16 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
     if means[0] is None:
         return [_assemble([], features, s, b, edges or []) for s, b in zip(specs, bases)]
     edges = edges or bin_edges(rows, xs)
-    packed = materialize(rows.repartition(tasks).mapInArrow(_pack(xs, ys, edges), "n long, bins binary, targets binary, draws binary"), "boost-bins")
-    if (parts := packed.rdd.getNumPartitions()) != tasks:
-        packed = packed.repartition(tasks) if parts < tasks else packed.coalesce(tasks)
-    state = packed.rdd.mapPartitions(_load(len(features), len(targets), bases)).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = state.getNumPartitions()
+    columns = ", ".join(f"{y} double" for y in ys)
+    binned = rows.withColumn("salt", F.monotonically_increasing_id()).mapInArrow(_bin(xs, ys, edges), f"cell binary, {columns}, draw long, salt long")
+    # a cell lies in one task, or in neighbours; even equal rows, however many, are dealt out
+    dealt = binned.repartitionByRange(tasks, "cell", "draw", "salt").withColumn("task", F.spark_partition_id().cast("long"))
+    kinds = "task long, n_cells long, n long, bins binary, starts binary, targets binary, draws binary"
+    packed = materialize(dealt.mapInArrow(_pack(len(features), ys), kinds), "boost-bins")
+    blocks = packed.rdd.map(lambda r: (r["task"], r)).partitionBy(tasks, lambda task: task).map(_load(len(features), len(targets)))
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks.map(_start(specs, bases)).persist(StorageLevel.MEMORY_AND_DISK)
+    parts, drawing = state.getNumPartitions(), any(s.row_share < 1 for s in specs)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(work_path(spark, "boost-margins"))
 
@@ -391,7 +450,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
         growing = [Growing(s, len(features), number) if number < s.trees else None for s in specs]
         while any(g is not None and g.open for g in growing):
             shapes = [g.shape() if g is not None and g.open else None for g in growing]
-            sums = state.map(_sum_level(specs, [number] * len(specs), shapes))
+            sums = state.map(_sum_level(specs, shapes))
             total = None
             if parts <= DIRECT_PARTITIONS:
                 for s in sums.collect():  # a bounded number of sums, whose size does not depend on the rows
@@ -404,7 +463,10 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
         for trees, g in zip(done, growing):
             if g is not None:
                 trees.append(g)
-        following = state.map(_advance([None if g is None else g.values() for g in growing])).persist(StorageLevel.MEMORY_AND_DISK)
+        following = state.map(_advance([None if g is None else g.values() for g in growing]))
+        if drawing:
+            following = following.zip(blocks).map(_draw_again(specs, number + 1))
+        following = following.persist(StorageLevel.MEMORY_AND_DISK)
         if number % CHECKPOINT_TREES == CHECKPOINT_TREES - 1:
             following.checkpoint()
             following.count()
@@ -414,6 +476,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
         kept = old  # the next job still reads it
     state.unpersist()
     kept.unpersist()
+    blocks.unpersist()
     return [_assemble(trees, features, s, b, edges) for trees, s, b in zip(done, specs, bases)]
 
 

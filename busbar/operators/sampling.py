@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, weighted_choice
+from ..session import materialize
 from .spread import global_rank, group_rank, top_per_group
 
 # Incidents wanted per event class, and the zone weights of unstable rows.
@@ -86,10 +87,27 @@ def sample_n(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
 def stratified_split(
     df: DataFrame, stratum: str, key: str, train_share: float = 0.8, seed: str = "42", out: str = "part"
 ) -> DataFrame:
-    """Mark each row `train` or `test` so that every class is split at the same share, exactly."""
-    ranked = group_rank(df, [stratum], [hash_key(F.col(key), seed), F.col(key)], "_rn", total="_n")
-    part = F.when(F.col("_rn") <= F.floor(F.lit(train_share) * F.col("_n")), "train").otherwise("test")
-    return ranked.withColumn(out, part).drop("_rn", "_n")
+    """Mark each row `train` or `test` so that every class is split at the same share, exactly.
+
+    Rows are counted by class and by the first digits of their hash. The counts tell
+    on which side all rows with the same digits are, but for one set of digits in each
+    class, and only its rows are ranked. `df` is read for each of these steps.
+    """
+    digest = hash_key(F.col(key), seed)
+    rows = df.withColumn("_digits", F.coalesce(F.substring(digest, 1, 4), F.lit("")))  # a null key ranks first
+    ascending = Window.partitionBy("_class").orderBy("_digits")
+    counts = rows.groupBy(F.col(stratum).alias("_class"), "_digits").agg(F.count("*").alias("_k"))
+    counts = counts.withColumns({"_upto": F.sum("_k").over(ascending), "_n": F.sum("_k").over(Window.partitionBy("_class"))})
+    counts = counts.withColumn("_room", F.floor(F.lit(train_share) * F.col("_n")) - F.col("_upto") + F.col("_k"))
+    divided = (F.col("_room") > 0) & (F.col("_room") < F.col("_k"))
+    cuts = materialize(counts.groupBy("_class").agg(
+        F.max(F.when(F.col("_room") >= F.col("_k"), F.col("_digits"))).alias("_whole"),
+        F.max(F.when(divided, F.col("_digits"))).alias("_divided"), F.max(F.when(divided, F.col("_room"))).alias("_left")), "cuts")
+    rows = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_class")))
+    known = rows.filter(~F.col("_digits").eqNullSafe(F.col("_divided")))
+    known = known.select(*df.columns, F.when(F.col("_digits") <= F.col("_whole"), "train").otherwise("test").alias(out))
+    ranked = group_rank(rows.filter(F.col("_digits") == F.col("_divided")), [stratum], [digest, F.col(key)], "_rn")
+    return known.unionAll(ranked.select(*df.columns, F.when(F.col("_rn") <= F.col("_left"), "train").otherwise("test").alias(out)))
 
 
 def draw_zone(unstable: Column, u: Column) -> Column:

@@ -144,3 +144,33 @@ def test_leaves_of_many_features(spark, monkeypatch):
     worked = attribution.contributions(x, leaves)
     assert np.allclose(tabled, worked, atol=1e-12)
     assert np.allclose(base + model.base + worked.sum(axis=1), model.margins(x), atol=1e-9)
+
+
+def test_work_follows_cells(spark, monkeypatch):
+    """Rows with the same bins are summed up as one cell, however many; rows drawn for a tree are the same as before."""
+    x, target, label = rows(3000, 6)
+    x = np.round(x)
+    df = frame(spark, x, target, label).cache()
+    names = ["f0", "f1", "f2"]
+    specs = [boosting.Spec("label", "logistic", 3, trees=4, row_share=0.8), boosting.Spec("target", "squared", 3, trees=4)]
+    models = boosting.fit_boosted(df, names, specs)
+    edges = [np.array(sorted({r[f] for r in x.tolist()}))[:-1] for f in range(3)]
+    bins = np.stack([boosting.bin_values(x[:, f], e) for f, e in enumerate(edges)])
+    cells, of_row = np.unique(bins, axis=1, return_inverse=True)
+    order = np.argsort(of_row.ravel(), kind="stable")
+    starts = np.searchsorted(of_row.ravel()[order], np.arange(cells.shape[1]))
+    draw = np.array([r[0] for r in df.select("f0", "f1", "f2", df.label.alias("y0"), df.target.alias("y1")).selectExpr("xxhash64(*)").collect()]).view(np.uint64)
+    got = [r for r in df.collect()]
+    y = np.array([r["label"] for r in got])
+    own = np.stack([boosting.bin_values(np.array([r[f"f{f}"] for r in got]), e) for f, e in enumerate(edges)])
+    place = np.array([np.flatnonzero((cells == c[:, None]).all(axis=0))[0] for c in own.T])
+    order = np.argsort(place, kind="stable")
+    count, mean = boosting._weights(specs[0], 0, starts, y[order], draw[order])
+    drawn = boosting.sampled(specs[0], 0, draw)
+    assert np.array_equal(count, np.bincount(place[drawn], minlength=len(starts)))
+    assert np.allclose(count * mean, np.bincount(place[drawn], y[drawn], len(starts)))
+    # the first tree's root sees the drawn rows, each with the curvature of the base value
+    p = y.mean()
+    assert models[0].cover[0] == pytest.approx(drawn.sum() * p * (1 - p)) and models[1].cover[0] == pytest.approx(3000)
+    seen = boosting._start(specs, [0.0, 0.0])((cells, starts, np.stack([y[order]] * 2), draw[order]))
+    assert len(seen[1][0]) == len(starts) < 600

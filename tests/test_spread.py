@@ -116,3 +116,24 @@ def test_spread_ends_are_exact(spark):
     assert got[0] == "2020-01-01 00:00:00" and got[-1] == "2023-12-31 23:00:00"
     one = windows.spread_timestamps(rows.limit(1), ["id"]).first()
     assert str(one["timestamp"]) == "2020-01-01 00:00:00"
+
+
+def test_split_ranks_few_rows(spark, monkeypatch):
+    """Most rows are split by counts; those that are ranked, equal and null keys too, fill their class's share exactly."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from busbar.functions.hashing import hash_key
+    from busbar.operators import sampling
+
+    data = [("abc"[k % 3] if k % 50 else None, k if k % 40 else None) for k in range(4000)] + [("hot", 7)] * 1000
+    df = spark.createDataFrame(data, "g string, id long").repartition(5)
+    seen, rank = [], sampling.group_rank
+    monkeypatch.setattr(sampling, "group_rank", lambda rows, *a, **b: (seen.append(rows.count()), rank(rows, *a, **b))[1])
+    got = stratified_split(df, "g", "id")
+    order = Window.partitionBy("g").orderBy(hash_key(F.col("id"), "42"), "id")
+    all_ranked = df.withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("g"))})
+    want = all_ranked.select("g", "id", F.when(F.col("rn") <= F.floor(0.8 * F.col("n")), "train").otherwise("test").alias("part"))
+    assert got.columns == ["g", "id", "part"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert seen and seen[0] < 1100  # the equal keys, and next to nothing else
