@@ -73,15 +73,35 @@ class BoostedTrees:
     cover: np.ndarray  # curvature of the training rows in a node
     gain: np.ndarray
     _shared: object = field(default=None, repr=False, compare=False)
+    _masks: object = field(default=None, repr=False, compare=False)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """The margin of every row of `x` (rows, features)."""
+        if self._masks is None:
+            self._masks = leaf_masks(self)
+        if self._masks:
+            return self.base + self._masked(x)
         out = np.full(len(x), self.base)
         columns = [np.ascontiguousarray(x[:, k]) for k in range(x.shape[1])]
         for first, last in zip(self.roots, [*self.roots[1:], len(self.feature)]):
             out += self._walk(columns, int(first), int(last))
         return out
 
+    def _masked(self, x: np.ndarray) -> np.ndarray:
+        """All trees at once: of the leaves that no split has closed to a row, it is in the first."""
+        ends, masks, values = self._masks
+        places = [np.where(np.isnan(x[:, f]), 0, np.searchsorted(e, x[:, f], "left")) for f, e in ends]
+        out, first = np.empty(len(x)), np.arange(values.shape[0]) * 64
+        for k in range(0, len(x), 512):  # so that a core's cache holds them
+            leaves = masks[0].take(places[0][k : k + 512], axis=0)
+            for place, mask in zip(places[1:], masks[1:]):
+                leaves &= mask.take(place[k : k + 512], axis=0)
+            leaves &= np.negative(leaves)  # the lowest bit; a double's exponent tells which it is
+            at = (leaves.astype(float).view(np.int64) >> 52) - 1023
+            at += first
+            out[k : k + 512] = values.take(at).sum(axis=1)
+        return out
+
     def _walk(self, columns: list[np.ndarray], first: int, last: int) -> np.ndarray:
         """One tree, split by split: the rows of a node are handed on to its children."""
         values = np.empty(len(columns[0]))
@@ -115,7 +135,7 @@ class BoostedTrees:
         return F.arrow_udf(margin, T.DoubleType())(F.struct(*columns))
 
     def bare(self) -> BoostedTrees:
-        return BoostedTrees(**{k: v for k, v in self.__dict__.items() if k != "_shared"})
+        return BoostedTrees(**{k: v for k, v in self.__dict__.items() if k not in ("_shared", "_masks")})
 
     def importances(self) -> np.ndarray:
         """Share of each feature in the gain of all splits."""
@@ -153,6 +173,45 @@ class BoostedTrees:
         return BoostedTrees(about["features"], about["loss"], about["base"], np.array(about["roots"]), *cols)
 
 
+#: Bytes of a model's leaf masks at most; beyond, and with more than 64 leaves in a tree, rows are handed down split by split.
+MASK_BYTES = 64 << 20
+
+
+def leaf_masks(model: BoostedTrees) -> tuple:
+    """For each feature its thresholds, and for each place between them the leaves of every tree that stay open; the leaves' values.
+
+    After QuickScorer (Lucchese et al., 2015): a split that sends a row to the
+    right closes the leaves on its left, whatever the splits above it did. Empty
+    if the masks would not fit.
+    """
+    inner = model.feature >= 0
+    used = [(int(f), np.unique(model.threshold[inner & (model.feature == f)])) for f in np.unique(model.feature[inner])]
+    n_trees = len(model.roots)
+    if not used or 8 * n_trees * sum(len(e) + 1 for _, e in used) > MASK_BYTES:
+        return ()
+    row_of = {f: k for k, (f, _) in enumerate(used)}
+    masks = [np.full((len(e) + 1, n_trees), np.uint64(2**64 - 1)) for _, e in used]
+    values = np.zeros((n_trees, 64))
+    for t, root in enumerate(model.roots.tolist()):
+        n_leaves, closed, todo = 0, [], [(root, -1)]
+        while todo:  # leaves from left to right; a node comes again after its left side
+            node, before = todo.pop()
+            if before >= 0:
+                closed.append((node, ((1 << n_leaves) - 1) ^ ((1 << before) - 1)))
+            elif model.feature[node] < 0:
+                if n_leaves == 64:
+                    return ()
+                values[t, n_leaves] = model.value[node]
+                n_leaves += 1
+            else:
+                todo += [(int(model.right[node]), -1), (node, n_leaves), (int(model.left[node]), -1)]
+        for node, left in closed:
+            k = row_of[int(model.feature[node])]
+            place = int(np.searchsorted(used[k][1], model.threshold[node], "left")) + 1
+            masks[k][place, t] &= np.uint64(left ^ (2**64 - 1))
+    return used, [np.bitwise_and.accumulate(m, axis=0) for m in masks], values
+
+
 def bin_edges(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """Ascending upper ends of each feature's bins but the last: its quantiles over all rows."""
     shares = [k / bins for k in range(1, bins)]

@@ -174,3 +174,31 @@ def test_work_follows_cells(spark, monkeypatch):
     assert models[0].cover[0] == pytest.approx(drawn.sum() * p * (1 - p)) and models[1].cover[0] == pytest.approx(3000)
     seen = boosting._start(specs, [0.0, 0.0])((cells, starts, np.stack([y[order]] * 2), draw[order]))
     assert len(seen[1][0]) == len(starts) < 600
+
+
+def test_masks_lead_to_the_same_leaves():
+    """All trees at once give what the walk through each gives, on thresholds and on values beside them too."""
+    rng = np.random.default_rng(7)
+    parts, roots = [], []
+
+    def grow(depth):
+        k = len(parts)
+        parts.append(None)
+        if depth == 0 or rng.random() < 0.1:
+            parts[k] = (-1, 0.0, -1, -1, rng.normal())
+        else:
+            lo, hi = grow(depth - 1), grow(depth - 1)
+            parts[k] = (int(rng.integers(3)), np.inf if rng.random() < 0.02 else float(rng.integers(8)), lo, hi, 0.0)
+        return k
+
+    roots = [grow(6) for _ in range(40)]
+    columns = [np.array(c) for c in zip(*parts)]
+    model = boosting.BoostedTrees(["a", "b", "c"], "squared", 0.5, np.array(roots), *columns, np.ones(len(parts)), np.ones(len(parts)))
+    x = rng.integers(-1, 9, (1500, 3)).astype(float) + rng.choice([0, 0.5, -1e-9], (1500, 3))
+    x[0], x[1], x[2] = np.nan, np.inf, -np.inf
+    got = model.margins(x)
+    assert model._masks
+    model._masks = ()
+    assert np.allclose(got, model.margins(x), atol=1e-12)
+    empty = boosting.BoostedTrees(["a"], "squared", 0.5, np.array([0, 1]), *(np.array(v) for v in ([-1, -1], [0.0] * 2, [-1] * 2, [-1] * 2, [1.0, 2.0])), np.ones(2), np.ones(2))
+    assert empty.margins(np.zeros((2, 1))).tolist() == [3.5, 3.5]
