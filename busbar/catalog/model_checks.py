@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution, forest, stability
 from ..operators.sampling import stratified_split
-from ..session import materialize, work_path
+from ..session import work_path
 from ..sources.bindings import FEATURES, feat
 from . import query
 
@@ -29,7 +29,7 @@ def models(spark, d):
     """The split rows, the classifier and the regressor."""
 
     def build():
-        parts = materialize(stratified_split(labelled(spark, d), "unstable", "row_id"), "split")
+        parts = stratified_split(labelled(spark, d), "unstable", "row_id")  # its rows are stored
         train = parts.filter("part = 'train'")
         return parts, *stability.fit_models(train, FEATURES, "unstable", "margin")
 

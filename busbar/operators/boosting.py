@@ -10,20 +10,26 @@ gain in each node. Their size depends on features, bins and depth, not on the
 rows. Several models over the same rows are grown in the same jobs. Where a tree
 sees a sample of the rows, each row is drawn and its cell counted once a tree.
 
-The cells are the only state. They are kept from tree to tree, and written to
-the shared folder every CHECKPOINT_TREES trees, so that a lost executor costs a
-few trees at most.
+Where the shared folder is a mounted one, all trees grow in one barrier stage:
+its tasks run at the same time and keep their cells, each writes its sums for the
+others to read, and all take the same splits. Otherwise each level is a job, and
+the cells, the only state, are kept from tree to tree and written to the shared
+folder every CHECKPOINT_TREES trees.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import os
+import shutil
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +40,8 @@ BINS = 256
 CHECKPOINT_TREES = 20
 #: Up to so many partitions send their sums to the driver; more add them up among themselves first.
 DIRECT_PARTITIONS = 64
+#: Bytes of sums that a task of a barrier stage reads for one level at most, and seconds it waits for another's.
+SUMS_BYTES, SUMS_WAIT = 64 << 20, 900
 _QUANTILE_ACCURACY = 10_000
 #: Rows of a task: no fewer, as each tree needs a job for each of its levels, and no more.
 LEAST_ROWS, MOST_ROWS = 100_000, 3_000_000
@@ -469,6 +477,161 @@ def _log_odds(share: float) -> float:
     return float(np.log(share / (1 - share)))
 
 
+def _cores_at_once(spark: SparkSession) -> int:
+    """Tasks that surely run at the same time; 0 if executors may come and go."""
+    context = spark.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    scala = context._jsc.sc()
+    return scala.maxNumConcurrentTasks(scala.resourceProfileManager().defaultResourceProfile())
+
+
+def _mounted(path: str) -> str | None:
+    """The path as Python opens it, if it is one of a mounted folder."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return path if path.startswith("/") and "://" not in path else None
+
+
+def _level_bytes(specs: list[Spec], edges: list[np.ndarray]) -> int:
+    """Bytes of one task's sums of the widest level."""
+    return sum(1 << max(s.depth - 1, 0) for s in specs) * sum(len(e) + 1 for e in edges) * 2 * 8
+
+
+class _Sums:
+    """The sums of the tasks of a barrier stage, a folder for each level; those of two levels are kept."""
+
+    def __init__(self, folder: str, task: int, tasks: int, edges: list[np.ndarray]):
+        self.folder, self.task, self.tasks, self.level = folder, task, tasks, 0
+        self.widths = [len(e) + 1 for e in edges]  # a feature's further bins are empty
+
+    def added(self, own: list | None, shapes: list) -> list:
+        """This task's sums and those of all others, added up in the tasks' order."""
+        at = f"{self.folder}/{self.level}"
+        os.makedirs(at, exist_ok=True)
+        flat = [] if own is None else [s[:, :, f, :w].ravel() for s in own if s is not None for f, w in enumerate(self.widths)]
+        with open(f"{at}/{self.task}.part", "wb") as out:
+            out.write(np.concatenate(flat).tobytes() if flat else b"")
+        os.rename(f"{at}/{self.task}.part", f"{at}/{self.task}")
+        total = None
+        for task in range(self.tasks):
+            if len(data := self._read(f"{at}/{task}")):
+                sums = self._sums(data, shapes)
+                total = sums if total is None else _add(total, sums)
+        if self.task == 0 and self.level > 1:  # who has written a level has read the one before
+            shutil.rmtree(f"{self.folder}/{self.level - 2}", ignore_errors=True)
+        self.level += 1
+        return total
+
+    def _read(self, path: str) -> np.ndarray:
+        until, pause = time.monotonic() + SUMS_WAIT, 0.0005
+        while True:
+            try:
+                with open(path, "rb") as f:
+                    return np.frombuffer(f.read())
+            except FileNotFoundError:
+                if time.monotonic() > until:
+                    raise TimeoutError(f"no sums in {path}") from None
+            time.sleep(pause)
+            pause = min(2 * pause, 0.01)
+
+    def _sums(self, flat: np.ndarray, shapes: list) -> list:
+        out, at = [], 0
+        for shape in shapes:
+            if shape is None:
+                out.append(None)
+                continue
+            n = len(shape[-1])
+            sums = np.zeros((2, n, len(self.widths), BINS))
+            for f, w in enumerate(self.widths):
+                sums[:, :, f, :w] = flat[at : at + 2 * n * w].reshape(2, n, w)
+                at += 2 * n * w
+            out.append(sums)
+        return out
+
+
+def _grow(specs: list[Spec], n_features: int, sum_up: Callable, advance: Callable) -> list[list[Growing]]:
+    """The trees of all models. `sum_up` gives a level's sums over all cells, `advance` adds finished trees to the margins."""
+    done: list[list[Growing]] = [[] for _ in specs]
+    for number in range(max(s.trees for s in specs)):
+        growing = [Growing(s, n_features, number) if number < s.trees else None for s in specs]
+        while any(g is not None and g.open for g in growing):
+            shapes = [g.shape() if g is not None and g.open else None for g in growing]
+            for g, s in zip(growing, sum_up(shapes)):
+                if s is not None:
+                    g.add_level(s)
+        for trees, g in zip(done, growing):
+            if g is not None:
+                trees.append(g)
+        advance(number, [None if g is None else g.values() for g in growing])
+    return done
+
+
+def _grow_in_step(specs: list[Spec], bases: Sequence[float], edges: list[np.ndarray], folder: str):
+    """One task of the barrier stage: its blocks stay with it, and all tasks grow the same trees. The first hands them on."""
+
+    def run(pairs):
+        context, load = BarrierTaskContext.get(), _load(len(edges), len(specs))
+        blocks = [load(p) for p in pairs]
+        states = [_start(specs, bases)(b) for b in blocks]
+        drawing = any(s.row_share < 1 for s in specs)
+        names = context.allGather(uuid.uuid4().hex)  # a stage that is tried again takes another folder
+        shared = _Sums(f"{folder}/{names[0]}", context.partitionId(), len(names), edges)
+
+        def sum_up(shapes):
+            own = None
+            for state in states:
+                sums = _sum_level(specs, shapes)(state)
+                own = sums if own is None else _add(own, sums)
+            return shared.added(own, shapes)
+
+        def advance(number, trees):
+            states[:] = map(_advance(trees), states)
+            if drawing:
+                states[:] = map(_draw_again(specs, number + 1), zip(states, blocks))
+
+        done = _grow(specs, len(edges), sum_up, advance)
+        if context.partitionId() == 0:
+            yield done
+
+    return run
+
+
+def _grow_by_jobs(spark: SparkSession, blocks: RDD, specs: list[Spec], bases: Sequence[float], n_features: int) -> list[list[Growing]]:
+    """A job for every level, with as many tasks as there are blocks."""
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    states = [blocks.map(_start(specs, bases)).persist(StorageLevel.MEMORY_AND_DISK)]  # and the one before, which the next job still reads
+    parts, drawing = blocks.getNumPartitions(), any(s.row_share < 1 for s in specs)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(work_path(spark, "boost-margins"))
+
+    def sum_up(shapes):
+        sums = states[-1].map(_sum_level(specs, shapes))
+        if parts > DIRECT_PARTITIONS:
+            return sums.treeReduce(_add, depth=2)
+        total = None
+        for s in sums.collect():  # a bounded number of sums, whose size does not depend on the rows
+            total = s if total is None else _add(total, s)
+        return total
+
+    def advance(number, trees):
+        following = states[-1].map(_advance(trees))
+        if drawing:
+            following = following.zip(blocks).map(_draw_again(specs, number + 1))
+        following = following.persist(StorageLevel.MEMORY_AND_DISK)
+        if number % CHECKPOINT_TREES == CHECKPOINT_TREES - 1:
+            following.checkpoint()
+            following.count()
+        states.append(following)
+        if len(states) > 2:
+            states.pop(0).unpersist()
+
+    done = _grow(specs, n_features, sum_up, advance)
+    for rdd in (*states, blocks):
+        rdd.unpersist()
+    return done
+
+
 def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec], edges: list[np.ndarray] | None = None) -> list[BoostedTrees]:
     """Fit one model for each of `specs`, all in the same jobs.
 
@@ -497,45 +660,14 @@ def fit_boosted(train: DataFrame, features: Sequence[str], specs: Sequence[Spec]
     dealt = binned.repartitionByRange(tasks, "cell", "draw", "salt").withColumn("task", F.spark_partition_id().cast("long"))
     kinds = "task long, n_cells long, n long, bins binary, starts binary, targets binary, draws binary"
     packed = materialize(dealt.mapInArrow(_pack(len(features), ys), kinds), "boost-bins")
-    blocks = packed.rdd.map(lambda r: (r["task"], r)).partitionBy(tasks, lambda task: task).map(_load(len(features), len(targets)))
-    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
-    state = blocks.map(_start(specs, bases)).persist(StorageLevel.MEMORY_AND_DISK)
-    parts, drawing = state.getNumPartitions(), any(s.row_share < 1 for s in specs)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(work_path(spark, "boost-margins"))
-
-    done: list[list[Growing]] = [[] for _ in specs]
-    for number in range(max(s.trees for s in specs)):
-        growing = [Growing(s, len(features), number) if number < s.trees else None for s in specs]
-        while any(g is not None and g.open for g in growing):
-            shapes = [g.shape() if g is not None and g.open else None for g in growing]
-            sums = state.map(_sum_level(specs, shapes))
-            total = None
-            if parts <= DIRECT_PARTITIONS:
-                for s in sums.collect():  # a bounded number of sums, whose size does not depend on the rows
-                    total = s if total is None else _add(total, s)
-            else:
-                total = sums.treeReduce(_add, depth=2)
-            for g, s in zip(growing, total):
-                if s is not None:
-                    g.add_level(s)
-        for trees, g in zip(done, growing):
-            if g is not None:
-                trees.append(g)
-        following = state.map(_advance([None if g is None else g.values() for g in growing]))
-        if drawing:
-            following = following.zip(blocks).map(_draw_again(specs, number + 1))
-        following = following.persist(StorageLevel.MEMORY_AND_DISK)
-        if number % CHECKPOINT_TREES == CHECKPOINT_TREES - 1:
-            following.checkpoint()
-            following.count()
-        old, state = state, following
-        if number:
-            kept.unpersist()
-        kept = old  # the next job still reads it
-    state.unpersist()
-    kept.unpersist()
-    blocks.unpersist()
+    placed = packed.rdd.map(lambda r: (r["task"], r))
+    at_once, folder = min(tasks, _cores_at_once(spark)), _mounted(work_path(spark, "boost-sums"))
+    if folder and at_once and at_once * _level_bytes(specs, edges) <= SUMS_BYTES:
+        grown = placed.partitionBy(at_once, lambda task: task).barrier().mapPartitions(_grow_in_step(specs, bases, edges, folder))
+        done = grown.collect()[0]
+        shutil.rmtree(folder, ignore_errors=True)
+    else:
+        done = _grow_by_jobs(spark, placed.partitionBy(tasks, lambda task: task).map(_load(len(features), len(targets))), specs, bases, len(features))
     return [_assemble(trees, features, s, b, edges) for trees, s, b in zip(done, specs, bases)]
 
 

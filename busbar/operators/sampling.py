@@ -91,10 +91,10 @@ def stratified_split(
 
     Rows are counted by class and by the first digits of their hash. The counts tell
     on which side all rows with the same digits are, but for one set of digits in each
-    class, and only its rows are ranked. `df` is read for each of these steps.
+    class, and only its rows are ranked. `df` is read once and stored with the digits.
     """
     digest = hash_key(F.col(key), seed)
-    rows = df.withColumn("_digits", F.coalesce(F.substring(digest, 1, 4), F.lit("")))  # a null key ranks first
+    rows = materialize(df.withColumn("_digits", F.coalesce(F.substring(digest, 1, 4), F.lit(""))), "digits")  # a null key ranks first
     ascending = Window.partitionBy("_class").orderBy("_digits")
     counts = rows.groupBy(F.col(stratum).alias("_class"), "_digits").agg(F.count("*").alias("_k"))
     counts = counts.withColumns({"_upto": F.sum("_k").over(ascending), "_n": F.sum("_k").over(Window.partitionBy("_class"))})
@@ -106,7 +106,8 @@ def stratified_split(
     rows = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_class")))
     known = rows.filter(~F.col("_digits").eqNullSafe(F.col("_divided")))
     known = known.select(*df.columns, F.when(F.col("_digits") <= F.col("_whole"), "train").otherwise("test").alias(out))
-    ranked = group_rank(rows.filter(F.col("_digits") == F.col("_divided")), [stratum], [digest, F.col(key)], "_rn")
+    few = materialize(rows.filter(F.col("_digits") == F.col("_divided")).drop("_class"), "divided")
+    ranked = group_rank(few, [stratum], [digest, F.col(key)], "_rn")
     return known.unionAll(ranked.select(*df.columns, F.when(F.col("_rn") <= F.col("_left"), "train").otherwise("test").alias(out)))
 
 

@@ -202,3 +202,54 @@ def test_masks_lead_to_the_same_leaves():
     assert np.allclose(got, model.margins(x), atol=1e-12)
     empty = boosting.BoostedTrees(["a"], "squared", 0.5, np.array([0, 1]), *(np.array(v) for v in ([-1, -1], [0.0] * 2, [-1] * 2, [-1] * 2, [1.0, 2.0])), np.ones(2), np.ones(2))
     assert empty.margins(np.zeros((2, 1))).tolist() == [3.5, 3.5]
+
+
+def test_all_trees_grow_in_one_job(spark, monkeypatch):
+    """However many trees, the number of jobs is the same, and the trees are those of a job for every level."""
+    monkeypatch.setattr(boosting, "LEAST_ROWS", 200)
+    monkeypatch.setattr(boosting, "MOST_ROWS", 100)  # more blocks than cores: a task has several
+    x, target, label = rows(1500, 8)
+    df = frame(spark, x, target, label).cache()
+    names = ["f0", "f1", "f2"]
+    specs = [boosting.Spec("label", "logistic", 4, trees=25, row_share=0.8, column_share=0.8), boosting.Spec("target", "squared", 3, trees=22)]
+    spark.sparkContext.setJobGroup("fit-25", "")
+    try:
+        models = boosting.fit_boosted(df, names, specs)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit-25"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 25
+    monkeypatch.setattr(boosting, "_cores_at_once", lambda spark: 0)
+    for one, other in zip(models, boosting.fit_boosted(df, names, specs)):
+        assert len(one.roots) == len(other.roots) and np.array_equal(one.feature, other.feature)
+        assert np.allclose(one.margins(x), other.margins(x), atol=1e-9)
+
+
+def test_sums_of_tasks_are_exchanged(tmp_path):
+    """Each task gets the sums of all, in the same order; a task without rows has none, and old levels are cleared away."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    edges = [np.arange(5.0), np.arange(2.0)]
+    shapes = [None, (None, None, 1, [0, 1])]
+
+    def task(k):
+        shared, out = boosting._Sums(str(tmp_path / "run"), k, 3, edges), []
+        for level in range(4):
+            own = np.zeros((2, 2, 2, boosting.BINS))
+            own[:, :, 0, :6], own[:, :, 1, :3] = k + level, 10 * k
+            out.append(shared.added(None if k == 1 else [None, own], shapes))
+        return out
+
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(task, range(3)))
+    for level in range(4):
+        for own in found:
+            assert own[level][0] is None
+            sums = own[level][1]
+            assert (sums[:, :, 0, :6] == 2 + 2 * level).all() and (sums[:, :, 1, :3] == 20).all() and sums.sum() == 4 * (6 * (2 + 2 * level) + 60)
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["2", "3"]
+
+
+def test_only_mounted_folders_are_opened():
+    assert boosting._mounted("file:///a/b") == "/a/b" and boosting._mounted("file:/a") == "/a" and boosting._mounted("/a") == "/a"
+    assert boosting._mounted("hdfs://host/a") is None and boosting._mounted("s3a://b/a") is None
