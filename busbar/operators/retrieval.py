@@ -29,6 +29,7 @@ from .spread import top_per_group
 BROADCAST_ROWS = 500_000  # query terms: (id, term, weight), some 64 bytes each
 QUERY_BLOCK = 2_000  # query vectors held by one task
 ROW_BLOCK = 100_000  # collection rows held by one task when the query side is large
+SCORES_AT_ONCE = 2_000_000  # products of a row and a query that a task holds at a time
 
 # BM25 and fusion constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -271,14 +272,18 @@ def _scan_blocks(rows: DataFrame, asks: DataFrame, schema: T.StructType, k: int,
         if docs.num_rows == 0 or qs.num_rows == 0:
             return arrow.empty_table()
         ids = np.asarray(docs.column("doc_id"), dtype=np.int64)
-        scores = np.round(_matrix(docs.column("v"), dim) @ _matrix(qs.column("q"), dim).T, 6)
-        names = qs.column("query_id").to_pylist()
-        out = [(names[j], scores[:, j], _best(scores[:, j], ids, k)) for j in range(len(names))]
+        rows, asked, names = _matrix(docs.column("v"), dim), _matrix(qs.column("q"), dim), qs.column("query_id").to_pylist()
+        out, step = [], max(1, SCORES_AT_ONCE // len(rows))
+        for first in range(0, len(names), step):
+            scores = np.round(rows @ asked[first : first + step].T, 6)
+            for j, name in enumerate(names[first : first + step]):
+                keep = _best(scores[:, j], ids, k)
+                out.append((name, ids[keep], scores[keep, j]))
         return pa.Table.from_arrays(
             [
-                pa.array([n for n, _, keep in out for _ in keep], type=arrow.field(0).type),
-                pa.array(np.concatenate([ids[keep] for _, _, keep in out]), type=pa.int64()),
-                pa.array(np.concatenate([s[keep] for _, s, keep in out]), type=pa.float64()),
+                pa.array([n for n, own, _ in out for _ in own], type=arrow.field(0).type),
+                pa.array(np.concatenate([own for _, own, _ in out]), type=pa.int64()),
+                pa.array(np.concatenate([s for _, _, s in out]), type=pa.float64()),
             ],
             schema=arrow,
         )

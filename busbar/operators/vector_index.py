@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize, work_path
 from .clean import filter_meta
-from .retrieval import QUERY_BLOCK, _best, _matrix, _unit, vector_search
+from .retrieval import QUERY_BLOCK, SCORES_AT_ONCE, _best, _matrix, _unit, vector_search
 from .spread import top_per_group
 
 #: The centres are fitted on at most so many rows, whatever the size of the collection.
@@ -76,15 +76,15 @@ def _cells_of(spark: SparkSession, centres: np.ndarray, vector: str, n: int) ->
     shared = spark.sparkContext.broadcast(centres)  # at most MOST_CELLS directions
 
     def nearest(column: pa.Array) -> pa.Array:
-        dim = shared.value.shape[1]
-        out: list = [None] * len(column)
-        rows = [k for k, v in enumerate(column.to_pylist()) if v is not None and len(v) == dim and None not in v]
-        if rows:
-            scores = _matrix(column.take(pa.array(rows)), dim) @ shared.value.T
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-            for k, cells in zip(rows, best.tolist()):
-                out[k] = cells
-        return pa.array(out, pa.list_(pa.int32()))
+        cells, dim = shared.value.shape
+        known = np.array([v is not None and len(v) == dim and None not in v for v in column.to_pylist()], bool)
+        rows, step, parts = np.flatnonzero(known), max(1, SCORES_AT_ONCE // cells), []
+        for first in range(0, len(rows), step):
+            scores = _matrix(column.take(pa.array(rows[first : first + step])), dim) @ shared.value.T
+            parts.append(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32))
+        ends = np.concatenate([[0], np.cumsum(known * min(n, cells))]).astype(np.int32)
+        places = pa.array(np.concatenate(parts).ravel() if parts else [], pa.int32())
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~known, False)), places)  # a null place is a null list
 
     return F.arrow_udf(_hinted(nearest), T.ArrayType(T.IntegerType()))(F.col(vector))
 

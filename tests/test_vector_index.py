@@ -3,7 +3,9 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from busbar.operators import retrieval, vector_index
 from busbar.sources.bindings import vec
@@ -92,3 +94,52 @@ def test_awkward_rows(spark):
     found = vector_index.indexed_search(index, one, "id", "v", 10, probes=len(index.centres)).collect()
     assert sorted((r["query_id"], r["doc_id"]) for r in found if r["score"] == 1) == [(1, 1)] * 4
     assert vector_index.indexed_search(index, spark.createDataFrame([(9, [1.0])], names), "id", "v").count() == 0
+
+
+def test_blocks_of_many_queries_hold_few_products(spark, monkeypatch):
+    """More queries than one block: results are those of one pass, and no task holds all products of its rows and queries."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(700, 6))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "doc_id long, v array<double>")
+    asks = df.filter("doc_id % 2 = 0").selectExpr("doc_id AS query_id", "v AS q")
+    want = sorted(map(tuple, retrieval.vector_search(df, "doc_id", "v", asks, "query_id", "q", 3).collect()))
+    ids, q = pa.array(range(700)), pa.array(range(0, 700, 2))
+    held = []
+
+    def spied(scores, own, k, plain=retrieval._best):
+        held.append(scores.base.size if scores.base is not None else scores.size)
+        return plain(scores, own, k)
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 60)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 200)
+    assert sorted(map(tuple, retrieval.vector_search(df, "doc_id", "v", asks, "query_id", "q", 3).collect())) == want
+    caught = {}
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 7000, raising=False)
+    monkeypatch.setattr(retrieval, "_best", spied)
+
+    class Caught:
+        def __init__(self, rows): self.rows = rows
+        def count(self): return 700
+        def withColumn(self, *_): return self
+        def groupBy(self, *_): return self
+        def cogroup(self, _): return self
+        def applyInArrow(self, fn, _): caught["meet"] = fn
+
+    schema = asks.select(F.col("query_id"), F.col("query_id").alias("doc_id"), F.lit(0.0).alias("score")).schema
+    retrieval._scan_blocks(Caught(0), Caught(0), schema, 3, 6)
+    lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    got = caught["meet"](None, pa.table({"doc_id": ids, "v": lists(v)}), pa.table({"query_id": q, "q": lists(v[::2])}))
+    assert max(held) <= 7000 and len(held) == 350
+    assert sorted(zip(*(got.column(c).to_pylist() for c in ("query_id", "doc_id", "score")))) == sorted(r[:3] for r in want)
+
+
+def test_places_of_vectors_without_direction(spark, monkeypatch):
+    """Nearest cells in slices, with nulls, other lengths and null components between."""
+    monkeypatch.setattr(vector_index, "SCORES_AT_ONCE", 4, raising=False)
+    rows = [(0, [1.0, 0.1]), (1, None), (2, [0.1, 1.0]), (3, [1.0]), (4, [None, 1.0]), (5, [-1.0, 0.2])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    centres = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
+    got = {r[0]: r[1] for r in df.select("id", vector_index._cells_of(spark, centres, "v", 2).alias("c")).collect()}
+    assert got == {0: [0, 1], 1: None, 2: [1, 0], 3: None, 4: None, 5: [2, 1]}
+    none = df.filter("v IS NULL").select(vector_index._cells_of(spark, centres, "v", 9).alias("c")).collect()
+    assert [r[0] for r in none] == [None]
