@@ -20,9 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.hashing import hash_key
 from ..session import materialize
 from .clean import fill_zero, filter_region
-from .spread import exact_quantiles
+from .spread import quantile_by_buckets
 
 PSI = 256
+#: Scores are counted by so many equal ranges, to find the one that holds their threshold.
+SCORE_BUCKETS = 65_536
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("tree", T.LongType()),
@@ -122,9 +124,9 @@ def fit_forest(
     nodes = materialize(sample.groupBy("tree").applyInArrow(grow, NODE_SCHEMA), "forest")
     used = sample.groupBy("tree").count().agg(F.max("count")).first()[0] or 1
     forest = IsolationForest(cols, nodes, int(used), n_trees)
-    scores = raw_scores(rows, forest, key).select("_score")
-    row = exact_quantiles(scores, "_score", {"q": contamination}).first()
-    forest.threshold = row["q"] if row and row["q"] is not None else 0.0
+    scores = raw_scores(rows, forest, cols[0]).select("_score")  # no key is moved
+    found = quantile_by_buckets(scores, "_score", contamination, F.floor(F.col("_score") * SCORE_BUCKETS))
+    forest.threshold = 0.0 if found is None else found
     return forest
 
 

@@ -189,6 +189,27 @@ def exact_quantiles(df: DataFrame, col: str, qs: dict[str, float], by: Sequence[
     return stats.select(*by, *out)
 
 
+def quantile_by_buckets(df: DataFrame, col: str, q: float, bucket: Column) -> float | None:
+    """Linearly interpolated quantile over all rows, of which only those of one or two buckets are moved.
+
+    `bucket` rises with `col` and has a bounded number of values. Rows are counted
+    by it, and the counts tell in which buckets the wanted places are.
+    """
+    rows = materialize(df.filter(F.col(col).isNotNull()).select(col), "quantile")
+    counts = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_k"))
+    counts = counts.withColumns({"_upto": F.sum("_k").over(Window.orderBy("_bucket")), "_n": F.sum("_k").over(Window.partitionBy())})
+    at = F.lit(q) * (F.col("_n") - 1)
+    here = counts.filter((F.col("_upto") > F.floor(at)) & (F.col("_upto") - F.col("_k") <= F.ceil(at)))
+    found = here.select("_bucket", (F.floor(at) - F.col("_upto") + F.col("_k")).alias("_a"), (F.ceil(at) - F.floor(at)).alias("_step"),
+                        (at - F.floor(at)).alias("_part")).orderBy("_bucket").collect()  # two rows at most
+    if not found:
+        return None
+    first = found[0]
+    few = rows.filter(bucket.between(first["_bucket"], found[-1]["_bucket"]))
+    ends = order_statistics(few, col, {"_a": F.lit(first["_a"]), "_b": F.lit(first["_a"] + first["_step"])}).first()
+    return ends["_a"] + (ends["_b"] - ends["_a"]) * first["_part"]
+
+
 def top_per_group(
     df: DataFrame,
     keys: Sequence[str],
