@@ -9,6 +9,10 @@ that there are; what it counted for its terms is kept beside it. So the
 statistics of the whole are sums over segments less what is gone, and results
 are those of an index that is built anew.
 
+Only plain text is shuffled, once, by shard. Postings are made where the text of
+a shard is, and never move: a task that needs them reads the shard's files, and
+what is shuffled are the names of files and the ids of documents that are gone.
+
 A task takes one shard of one segment. For a query it reads lists in the order
 of what they can add. As soon as the rest cannot lift a new document above the
 k-th score so far, only documents already met can be among the best: in the
@@ -23,6 +27,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +41,8 @@ from .retrieval import BROADCAST_ROWS, EPSILON, K1, B, query_terms
 from .spread import top_per_group
 
 BLOCK_DOCS = 128
-#: Documents in a shard: a task holds the lists of a query block's terms for one shard.
-SHARD_DOCS = 20_000
+#: Documents and bytes of text in a shard: a task makes the postings of one shard, or holds the lists of a query block's terms for one.
+SHARD_DOCS, SHARD_BYTES = 20_000, 16 << 20
 #: Scores are compared at 6 places; less than this cannot change the order.
 _SLACK = 1e-6
 
@@ -51,6 +58,10 @@ class SegmentedIndex:
 
     # --- segments
 
+    def _tasks(self, shards: int) -> int:
+        """Tasks for so many shards; given as a number, since names of files are few bytes and would be put into one task."""
+        return max(1, min(2 * shards, 8 * self.spark.sparkContext.defaultParallelism))
+
     def _folders(self) -> list[int]:
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -71,23 +82,22 @@ class SegmentedIndex:
         """A new segment of documents that are in no other; see `replace`. Its number is returned."""
         number = max(self._folders(), default=-1) + 1
         place = f"{self.path}/segment-{number}"
-        text = F.concat_ws(" ", *self.text_cols)
-        rows = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), tokens(text).alias("toks"))
-        rows = materialize(rows.select("doc_id", F.size("toks").alias("dl"), "toks"), "segment-docs")
-        shards = max(1, -(-rows.count() // SHARD_DOCS))
+        text = F.concat_ws(" ", *self.text_cols).alias("text")
+        rows = materialize(docs.select(F.col(self.id_col).cast("long").alias("doc_id"), text), "segment-docs")
+        about = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+        shards = max(1, -(-about["n"] // SHARD_DOCS), -(-about["size"] // SHARD_BYTES))
         shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-        rows.select("doc_id", "dl", shard.alias("shard")).write.mode("overwrite").parquet(f"{place}/docs")
-        postings = rows.select("doc_id", "dl", F.explode_outer("toks").alias("term")).filter("term IS NOT NULL")
-        postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        # a list of one shard is bounded by the shard's documents, so a term of every document is no hot key
-        lists = postings.groupBy(shard.alias("shard"), "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))
-        starts = F.sequence(F.lit(1), F.size("p"), F.lit(BLOCK_DOCS))
-        blocks = lists.select("shard", "term", F.explode(F.transform(starts, lambda k: F.slice("p", k, BLOCK_DOCS))).alias("p"))
-        blocks = blocks.select("shard", "term", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"),
-                               F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-        blocks.repartition("shard").sortWithinPartitions("shard", "term").write.mode("overwrite").parquet(f"{place}/blocks")
+        # sorted while it is text, so that no tokens are sorted
+        placed = rows.withColumn("shard", shard).repartition(self._tasks(shards), "shard").sortWithinPartitions("shard")
+        split = placed.select("shard", "doc_id", tokens(F.col("text")).alias("toks"))
+        split.groupBy("shard").applyInArrow(_blocks_of_shard, _BLOCKS).write.mode("overwrite").parquet(f"{place}/blocks")
+        stored = self.spark.read.schema(_BLOCKS).parquet(f"{place}/blocks")
+        stored.select("shard", F.col("_metadata.file_name").alias("file")).distinct().write.mode("overwrite").parquet(f"{place}/files")
+        documents = stored.filter("term IS NULL").select("shard", F.explode(F.arrays_zip("docs", "dls")).alias("d"))
+        documents.select(F.col("d.docs").alias("doc_id"), F.col("d.dls").alias("dl"), "shard").write.mode("overwrite").parquet(f"{place}/docs")
+        postings = stored.filter("term IS NOT NULL").select("term", "n")
         # last, since a segment without it does not count
-        postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{place}/terms")
+        postings.groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{place}/terms")
         return number
 
     def delete(self, ids: DataFrame) -> None:
@@ -96,8 +106,8 @@ class SegmentedIndex:
         gone = materialize(self._live().join(asked, "doc_id", "left_semi"), "gone")
         if gone.isEmpty():
             return
-        lists = self._blocks().select("segment", "term", F.explode("docs").alias("doc_id"))
-        lost = lists.join(gone.select("segment", "doc_id"), ["segment", "doc_id"]).groupBy("term").agg((-F.count("*")).alias("df"))
+        hit = self._files().join(F.broadcast(gone.select("segment", "shard").distinct()), ["segment", "shard"], "left_semi")
+        lost = self._by_shard(hit, gone).applyInArrow(_lost_task(self.path), "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
         lost.write.mode("append").parquet(f"{self.path}/lost")
         gone.write.mode("append").parquet(f"{self.path}/gone")
 
@@ -110,7 +120,18 @@ class SegmentedIndex:
     # --- what the index holds
 
     def _blocks(self) -> DataFrame:
-        return self._all("blocks", "shard int, term string, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>")
+        return self._all("blocks", _BLOCKS).filter("term IS NOT NULL")
+
+    def _by_shard(self, files: DataFrame, gone: DataFrame):
+        """The files of each shard, with its documents that are gone."""
+        keys = ["segment", "shard"]
+        tasks = self._tasks(self._files().count())
+        left, right = files.repartition(tasks, *keys), gone.select(*keys, "doc_id").repartition(tasks, *keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
+    def _files(self) -> DataFrame:
+        """`(segment, shard, file)`: where the blocks of each shard are."""
+        return self._all("files", "shard int, file string")
 
     def _stored(self, name: str, shape: str) -> DataFrame:
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -156,16 +177,15 @@ class SegmentedIndex:
             return out
         weights = materialize(self._weights(queries, query_id, text, about["n_docs"]), "query-weights")
         parts = max(1, -(-weights.count() // BROADCAST_ROWS))
-        gone = self._gone().groupBy("segment", "shard")
+        gone = self._gone()
         for part in range(parts):
             own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
             asked: dict = {}
             for r in own.orderBy("query_id", "term").toLocalIterator():  # some BROADCAST_ROWS
                 asked.setdefault(r["query_id"], []).append((r["term"], r["w"]))
             shared = self.spark.sparkContext.broadcast(asked)
-            lists = self._blocks().join(F.broadcast(own.select("term").distinct()), "term", "left_semi")
-            task = _shard_task(shared, k, float(about["avg_len"]), to_arrow_schema(shape))
-            out = out.unionByName(lists.groupBy("segment", "shard").cogroup(gone).applyInArrow(task, shape))
+            task = _shard_task(self.path, shared, k, float(about["avg_len"]), to_arrow_schema(shape))
+            out = out.unionByName(self._by_shard(self._files(), gone).applyInArrow(task, shape))
         return out
 
     def search(self, queries: DataFrame, query_id: str, text: str, k: int = 20) -> DataFrame:
@@ -196,6 +216,88 @@ def create_index(docs: DataFrame, path: str, id_col: str, text_cols: Sequence[st
     return index
 
 
+_BLOCKS = "shard int, term string, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>"
+
+
+def _blocks_of_shard(rows: pa.Table) -> pa.Table:
+    """The blocks of a shard, by term; one more row without a term lists its documents and their lengths.
+
+    Rows of the same document and length are one posting of a term, with the sum of their frequencies.
+    """
+    rows = rows.combine_chunks()
+    shard, ids = rows.column("shard")[0].as_py(), rows.column("doc_id").combine_chunks()
+    toks = rows.column("toks").combine_chunks()
+    dl = np.diff(toks.offsets.to_numpy())
+    known, id_values = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    order = np.lexsort((dl, id_values, known))
+    other = np.append(True, (np.diff(id_values[order]) != 0) | (np.diff(known[order].astype(int)) != 0))
+    new = other | np.append(True, np.diff(dl[order]) != 0)
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    first = order[new]  # a row of each document and length, in the order of documents
+    words = toks.flatten().dictionary_encode()
+    by_term = pc.array_sort_indices(words.dictionary).to_numpy()
+    place = np.empty(len(by_term), np.int64)
+    place[by_term] = np.arange(len(by_term))
+    keys = place[words.indices.to_numpy()] << 32 | np.repeat(own, dl)
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    tf = np.diff(np.append(at, len(keys)))
+    term, doc = keys[at] >> 32, keys[at] & 0xFFFFFFFF
+    if not other[new].all():  # a document of several lengths: by frequency, then length
+        same = np.cumsum(other[new])[doc]
+        by = np.lexsort((dl[first][doc], tf, same, term))
+        term, doc, tf = term[by], doc[by], tf[by]
+    begins = np.flatnonzero(np.append(True, np.diff(term) != 0)[: len(term)])
+    sizes = np.diff(np.append(begins, len(term)))
+    starts = np.flatnonzero((np.arange(len(term)) - np.repeat(begins, sizes)) % BLOCK_DOCS == 0)
+    lengths = dl[first][doc]
+    offsets = np.append(starts, len(term)).astype(np.int32)
+    offsets = np.append(offsets, len(term) + len(dl)).astype(np.int32)
+
+    def lists(values, of_rows, kind):
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays([pa.array(values, kind), of_rows.cast(kind)]))
+
+    def longs(reduce, values):
+        return np.append(reduce.reduceat(values, starts) if len(starts) else [], 0)
+
+    terms = pa.concat_arrays([words.dictionary.take(pa.array(by_term[term[starts]])), pa.nulls(1, pa.string())])
+    columns = {
+        "shard": np.full(len(terms), shard), "term": terms, "n": np.diff(offsets), "max_tf": longs(np.maximum, tf), "min_dl": longs(np.minimum, lengths),
+        "docs": lists(ids.take(pa.array(first[doc])), ids, pa.int64()), "tfs": lists(tf, pa.array(np.zeros(len(dl), int)), pa.int32()),
+        "dls": lists(lengths, pa.array(dl), pa.int32()),
+    }
+    return pa.table({name: c if isinstance(c, pa.Array) else pa.array(c.astype(np.int32)) for name, c in columns.items()})
+
+
+def _read_shard(path: str, files: pa.Table, columns: list[str], of: pc.Expression) -> pa.Table:
+    """The stored blocks of one shard, read where they are."""
+    places = files.to_pydict()
+    system, root = fs.FileSystem.from_uri(path)
+    folder = f"{root}/segment-{places['segment'][0]}/blocks"
+    stored = ds.dataset([f"{folder}/{name}" for name in places["file"]], filesystem=system, format="parquet")
+    return stored.to_table(columns=columns, filter=(ds.field("shard") == places["shard"][0]) & of).combine_chunks()
+
+
+def _lost_task(path: str):
+    def run(files: pa.Table, gone: pa.Table) -> pa.Table:
+        ids, times = np.unique(gone.column("doc_id").to_numpy(), return_counts=True)
+        blocks = _read_shard(path, files, ["term", "docs"], ds.field("term").is_valid())
+        terms, counts = pa.array([], pa.string()), np.zeros(0, np.int64)
+        if blocks.num_rows:
+            docs = blocks.column("docs").combine_chunks()
+            flat = docs.flatten()
+            values = flat.fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
+            hit = np.where((ids[at] == values) & flat.is_valid().to_numpy(zero_copy_only=False), times[at], 0)
+            sums = np.add.reduceat(hit, docs.offsets.to_numpy()[:-1] - docs.offsets[0].as_py())
+            some = np.flatnonzero(sums)
+            terms, counts = blocks.column("term").combine_chunks().take(pa.array(some)), sums[some]
+        return pa.table({"term": terms, "df": pa.array(-counts, pa.int64())})
+
+    return run
+
+
 class _List:
     """The postings of one term in a shard, block by block."""
 
@@ -264,12 +366,20 @@ def best_of_shard(lists: list[tuple[float, _List]], gone: np.ndarray, k: int) ->
     return docs, scores, seen
 
 
-def _shard_task(shared, k: int, avg_len: float, arrow: pa.Schema):
-    def run(rows: pa.Table, dead: pa.Table) -> pa.Table:
+def _shard_task(path: str, shared, k: int, avg_len: float, arrow: pa.Schema):
+    def run(files: pa.Table, dead: pa.Table) -> pa.Table:
+        asked = pa.array(sorted({t for terms in shared.value.values() for t, _ in terms}), pa.string())
+        rows = _read_shard(path, files, ["term", "max_tf", "min_dl", "docs", "tfs", "dls"], ds.field("term").isin(asked)) if files.num_rows else None
         by_term: dict[str, list[tuple]] = {}
-        column = lambda c: rows.column(c).to_pylist()
-        for term, *bounds, docs, tfs, dls in zip(*(column(c) for c in ("term", "max_tf", "min_dl", "docs", "tfs", "dls"))):
-            by_term.setdefault(term, []).append((*bounds, np.array(docs, np.int64), np.array(tfs), np.array(dls)))
+        if rows is not None and rows.num_rows:
+            lists_of = [rows.column(c).combine_chunks() for c in ("docs", "tfs", "dls")]
+            if lists_of[0].flatten().null_count:
+                raise ValueError("a document without an id cannot be found")
+            docs, tfs, dls = (x.flatten().to_numpy() for x in lists_of)
+            edges = (lists_of[0].offsets.to_numpy() - lists_of[0].offsets[0].as_py()).tolist()
+            column = lambda c: rows.column(c).to_pylist()
+            for term, max_tf, min_dl, lo, hi in zip(column("term"), column("max_tf"), column("min_dl"), edges[:-1], edges[1:]):
+                by_term.setdefault(term, []).append((max_tf, min_dl, docs[lo:hi], tfs[lo:hi], dls[lo:hi]))
         lists = {t: _List(x, avg_len) for t, x in by_term.items()}
         gone = dead.column("doc_id").to_numpy()
         out: list[tuple] = []

@@ -1,6 +1,7 @@
 """The segmented index: what it finds, what it reads, and what changes leave of it."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from busbar.operators import retrieval, segments
@@ -95,3 +96,38 @@ def test_counts_and_empty_tables(spark, docs, asks):
     blank = spark.createDataFrame([(1, None, None), (2, "", "")], "doc_id long, text string, region string")
     index = segments.create_index(blank, work_path(spark, "blank"), "doc_id", COLS)
     assert index.search(asks, "query_id", "text").count() == 0 and index.statistics().first()["n_docs"] == 2
+
+
+def test_postings_are_not_shuffled(spark, docs, asks):
+    index = segments.create_index(docs, work_path(spark, "segments"), "doc_id", COLS)
+    blocks = spark.read.parquet(f"{index.path}/segment-0/blocks")
+    plan = index.search(asks, "query_id", "text", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_tf" not in plan and "file" in plan  # names of files move, lists do not
+    index.delete(docs.filter("doc_id % 2 = 0"))
+    odd = docs.filter("doc_id % 2 = 1")
+    assert rows_of(index.document_frequency()) == rows_of(retrieval.bm25_index(odd, "doc_id", COLS).terms.select("term", "df"))
+    assert blocks.filter("term IS NULL").selectExpr("sum(size(docs)) AS n").first().n == docs.count()
+
+
+def test_blocks_equal_counted_terms(monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK_DOCS", 3)
+    rng = np.random.default_rng(5)
+    ids = [None if i == 9 else int(i) for i in rng.integers(0, 25, 40)]  # some come twice, some have no id
+    toks = [[f"t{t}" for t in rng.integers(0, 6, n)] for n in rng.integers(0, 8, 40)]
+    rows = pa.table({"shard": pa.array([4] * 40, pa.int32()), "doc_id": pa.array(ids, pa.int64()), "toks": pa.array(toks, pa.list_(pa.string()))})
+    want = {}
+    for i, words in zip(ids, toks):
+        for w in words:
+            want[w, i, len(words)] = want.get((w, i, len(words)), 0) + 1
+    got, lists = {}, {}
+    for r in segments._blocks_of_shard(rows).to_pylist():
+        assert r["shard"] == 4 and r["n"] == len(r["docs"]) == len(r["tfs"]) == len(r["dls"])
+        if r["term"] is None:
+            assert sorted(zip(map(str, r["docs"]), r["dls"])) == sorted(zip(map(str, ids), map(len, toks)))
+            continue
+        assert r["n"] <= 3 and r["max_tf"] == max(r["tfs"]) and r["min_dl"] == min(r["dls"])
+        lists.setdefault(r["term"], []).extend(zip(((-1 if d is None else d) for d in r["docs"]), r["tfs"], r["dls"]))
+        got |= {(r["term"], d, n): tf for d, tf, n in zip(r["docs"], r["tfs"], r["dls"])}
+    assert got == want and all(x == sorted(x) for x in lists.values())
+    none = segments._blocks_of_shard(rows.slice(0, 1).set_column(2, "toks", pa.array([[]], pa.list_(pa.string()))))
+    assert none.to_pylist()[0]["term"] is None and none.num_rows == 1
