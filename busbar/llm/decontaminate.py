@@ -22,17 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_path
-from .common import LOWER, SharedFolder, annotate, table, utf8
+from .common import LOWER, SharedFolder, annotate, table, take_over, utf8
 
 WINDOW_WORDS = 13
 SHINGLE_WORDS = 4
 #: Windows in a block; a task holds one block at a time.
 BLOCK_WINDOWS = 100_000
+#: Texts that are taken apart at a time, and their bytes when shingles are counted and when hits are looked for.
+SLICE_TEXTS, COUNTED_BYTES, SLICE_BYTES = 1000, 1 << 20, 4 << 20
 #: A document is contaminated if one word in so many is hit, and at least one is.
 HIT_SHARE = 20
 
@@ -45,6 +48,24 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORD_BYTES).split()
 
 
+def _slices(column: pa.Array, most: int) -> Iterator[list[bytes | None]]:
+    """The texts of a batch, few at a time; a text that is longer comes by itself."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > lo and (held + size > most or k - lo >= SLICE_TEXTS):
+            yield utf8(column.slice(lo, k - lo))
+            lo, held = k, 0
+        held += size
+    if len(sizes):
+        yield utf8(column.slice(lo))
+
+
+def _give_up() -> None:
+    _all_shingles.cache_clear()
+    _prefixes.cache_clear()
+
+
 def _windows_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, items = [], []
@@ -150,15 +171,16 @@ def shingles_of(window: str) -> list[str]:
 
 def _count_task(files: WindowFiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("decontaminate", _give_up)
         sums: list[np.ndarray | None] = [None] * files.blocks
         for batch in batches:
-            docs = [words_of(t) for t in utf8(batch.column(0))]
             for k in range(files.blocks):
                 block, texts = _all_shingles(files.uri, k)
                 if sums[k] is None:
                     sums[k] = np.zeros(len(texts), np.int64)
-                for _, entries in block.matches(block.numbers(docs)):
-                    sums[k] += np.bincount(entries[:, 3], minlength=len(texts))
+                for part in _slices(batch.column(0), COUNTED_BYTES):
+                    for _, entries in block.matches(block.numbers([words_of(t) for t in part])):
+                        sums[k] += np.bincount(entries[:, 3], minlength=len(texts))
         for k, found in enumerate(sums):
             if found is not None and found.any():
                 texts = _all_shingles(files.uri, k)[1]
@@ -196,11 +218,12 @@ def build_index(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
 
 def _hits(files: WindowFiles, text: str):
     def make():
+        take_over("decontaminate", _give_up)
+
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             columns = [[], [], [], []]
-            texts = utf8(batch.column(text))
-            for lo in range(0, len(texts), 1000):
-                for column, got in zip(columns, _hit_texts(files, texts[lo : lo + 1000])):
+            for texts in _slices(batch.column(text), SLICE_BYTES):
+                for column, got in zip(columns, _hit_texts(files, texts)):
                     column += got
             n_words, n_hit, n_items, digests = columns
             bad = [h > 0 and HIT_SHARE * h >= n for h, n in zip(n_hit, n_words)]

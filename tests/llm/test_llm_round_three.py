@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 import tables
-from busbar.llm import hard_negatives, repeats, signature_search, suffix_groups
+from busbar.llm import decontaminate, hard_negatives, repeats, signature_search, suffix_groups
 
 
 @pytest.fixture(scope="module")
@@ -239,3 +240,21 @@ def test_hard_negatives_of_no_rows(spark):
     assert hard_negatives.hard_negatives(none).count() == 0
     alone = spark.createDataFrame([(50, 1, [1.0], "x", 1)], VECTORS)
     assert hard_negatives.hard_negatives(alone).count() == 0
+
+
+def test_few_texts_are_taken_apart_at_a_time(monkeypatch):
+    """A batch's words are never held together; sums over the slices are those of the whole batch."""
+    texts = pa.array(["alpha beta gamma delta", None, "", "x " * 40, "alpha beta gamma delta eps"] * 5)
+    parts = list(decontaminate._slices(texts, 60))
+    assert [t for p in parts for t in p] == [None if t is None else t.encode() for t in texts.to_pylist()] and len(parts) > 9
+    assert max(sum(len(t or b"") for t in p) for p in parts if len(p) > 1) <= 60
+    assert list(decontaminate._slices(texts.slice(0, 0), 60)) == []
+    shingles = ["alpha beta gamma delta", "beta gamma delta eps"]
+    block = decontaminate.Block(["alpha beta gamma delta eps"], [(0, 0, 4), (0, 1, 4)])
+    monkeypatch.setattr(decontaminate, "_all_shingles", lambda uri, k: (block, shingles))
+    monkeypatch.setattr(decontaminate, "COUNTED_BYTES", 60)
+    held = []
+    numbers = block.numbers
+    block.numbers = lambda docs: held.append(sum(map(len, docs))) or numbers(docs)
+    out = list(decontaminate._count_task(decontaminate.WindowFiles("none", 1))(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    assert out[0].to_pydict() == {"shingle": shingles, "n": [10, 5]} and max(held) <= 40
