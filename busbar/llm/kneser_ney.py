@@ -29,6 +29,7 @@ import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -191,13 +192,19 @@ class Words:
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
         """Number of each token, -1 if training has no such word."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         known = self.known
-        if new := [t for t in set(tokens) if t not in known]:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        out = np.fromiter(map(known.get, tokens, repeat(-2)), np.int64, len(tokens))
+        at = np.flatnonzero(out == -2)
+        if len(at):
+            missed = [tokens[k] for k in at.tolist()]
+            new = list(set(missed))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            known.update(zip(new, self._of(hashes).tolist()))
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+            order = np.argsort(hashes)  # so that a search walks forwards
+            known.update(zip([new[k] for k in order.tolist()], self._of(hashes[order]).tolist()))
+            out[at] = np.fromiter(map(known.__getitem__, missed), np.int64, len(missed))
+        return out
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
@@ -225,7 +232,7 @@ def count_words(texts: DataFrame, uri: str) -> tuple[Words, list[int]]:
 
 def bigrams_of(words: Words, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Number of each token and of the one before it; the first of a text follows the number after the last word's."""
-    flat = words.numbers([t for d in docs for t in d])
+    flat = words.numbers(list(chain.from_iterable(docs)))
     before = np.r_[words.size, flat[:-1]]
     starts = np.cumsum([0, *(len(d) for d in docs[:-1])])
     before[starts] = words.size
@@ -355,9 +362,13 @@ class Model:
     def log10(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Log probability of each token `two` after `one`."""
         v = self.words.size
-        contexts = self._stats(two)["contexts"]
+        own = self._stats(two)
+        contexts = own["contexts"]
         lower = (np.maximum(contexts - self.word_discounts[np.minimum(contexts, 3)], 0) + self.word_rest / (v + 1)) / self.bigrams if self.bigrams else np.full(len(two), 1 / (v + 1))
-        head = self._stats(one)
+        # What stands before a token mostly is the token before it, whose statistics are there.
+        head = np.roll(own, 1)
+        other = np.flatnonzero(one != np.roll(two, 1))
+        head[other] = self._stats(one[other])
         c, d = self._bigram_counts(one, two), self.bigram_discounts
         rest = d[1] * head["n1"] + d[2] * head["n2"] + d[3] * head["n3"]
         total = np.maximum(head["total"], 1)

@@ -10,7 +10,7 @@ import plain
 import pyarrow as pa
 import pytest
 import tables
-from busbar.llm import decontaminate, hard_negatives, repeats, signature_search, suffix_groups
+from busbar.llm import decontaminate, hard_negatives, kneser_ney, repeats, signature_search, suffix_groups
 
 
 @pytest.fixture(scope="module")
@@ -258,3 +258,42 @@ def test_few_texts_are_taken_apart_at_a_time(monkeypatch):
     block.numbers = lambda docs: held.append(sum(map(len, docs))) or numbers(docs)
     out = list(decontaminate._count_task(decontaminate.WindowFiles("none", 1))(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
     assert out[0].to_pydict() == {"shingle": shingles, "n": [10, 5]} and max(held) <= 40
+
+
+def test_statistics_of_a_token_are_looked_up_once(monkeypatch):
+    """Tokens behind one another share a look-up, and the scores are those of separate ones."""
+    asked, rng = [], np.random.default_rng(1)
+    stats = np.zeros(8, kneser_ney._STATS)
+    for c in kneser_ney._STATS.names:
+        stats[c] = rng.integers(1, 9, 8)
+
+    class Fake(kneser_ney.Model):
+        def _stats(self, numbers):
+            asked.append(len(numbers))
+            return np.where(numbers >= 0, stats[numbers], np.zeros(1, kneser_ney._STATS))
+
+        def _bigram_counts(self, one, two):
+            return (one + two) % 3
+
+    words = kneser_ney.Words("none", 1, np.array([5, 2]), 40, 18)
+    model = Fake(words, set(), 1, np.array([7]), set(), np.array([0, 0.5, 1, 1.5]), np.array([0, 0.5, 1, 1.5]), 30, 4.0)
+    two = np.array([3, -1, 3, 0, 6, 6, 2, -1])
+    one = np.array([7, 3, -1, 7, 0, 6, 6, 7])
+    got = model.log10(one, two)
+    assert sum(asked) <= len(two) + 4
+    assert got.tolist() == [model.log10(one[k : k + 1], two[k : k + 1])[0] for k in range(len(two))]
+
+
+def test_numbers_of_words(monkeypatch):
+    words = kneser_ney.Words("none", 1, np.array([2, 2]), 9, 18)
+    known, seen = {b"a": 0, b"b": 3}, []
+    by_hash = {kneser_ney.xxhash.xxh3_64_intdigest(w): n for w, n in known.items()}
+
+    def of(hashes):
+        seen.extend(hashes.tolist())
+        return np.array([by_hash.get(h, -1) for h in hashes.tolist()])
+
+    monkeypatch.setattr(words, "_of", of)
+    assert words.numbers([b"a", b"x", b"b", b"a", b"x"]).tolist() == [0, -1, 3, 0, -1]
+    assert words.numbers([b"x", b"b"]).tolist() == [-1, 3] and words.numbers([]).tolist() == []
+    assert len(seen) == 3 and seen == sorted(seen)  # each word once, in the order of the stored ones
