@@ -56,9 +56,9 @@ def collection(spark, d):
 
     def build():
         docs = corpus(spark, d)
-        model = retrieval.embedder(docs, "text")
+        model, vectors = retrieval.embedded(docs, "text")
         meta = ["region", "equipment", "severity"]
-        stored = files.build_collection(retrieval.embed(model, docs, "text"), work_path(spark, "vectors"), "doc_id", "text", meta, "region", vec_col="vec")
+        stored = files.build_collection(vectors, work_path(spark, "vectors"), "doc_id", "text", meta, "region", vec_col="vec")
         return model, stored.select(F.col("id").alias("doc_id"), "vec", "meta.*")
 
     return _once("vectors", spark, d, build)

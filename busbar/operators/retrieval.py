@@ -143,15 +143,29 @@ def bm25_search(
     return top_per_group(both, ["query_id"], order, k)
 
 
-def embedder(df: DataFrame, text: str, dims: int = 256) -> PipelineModel:
-    """Fit hashed TF-IDF vectors of unit length on a corpus."""
-    toks = df.select(tokens(F.col(text)).alias("_toks"))
-    stages = [
+def _stages(dims: int) -> list:
+    return [
         HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dims),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(toks)
+
+
+def embedder(df: DataFrame, text: str, dims: int = 256) -> PipelineModel:
+    """Fit hashed TF-IDF vectors of unit length on a corpus."""
+    toks = df.select(tokens(F.col(text)).alias("_toks"))
+    return Pipeline(stages=_stages(dims)).fit(toks)
+
+
+def embedded(df: DataFrame, text: str, dims: int = 256, out: str = "vec") -> tuple[PipelineModel, DataFrame]:
+    """`embedder` and `embed` of the same rows, whose texts are split and hashed once; the hashed counts are stored."""
+    hashing, idf, unit = _stages(dims)
+    counts = hashing.transform(df.withColumn("_toks", tokens(F.col(text)))).drop("_toks")
+    counts = materialize(counts, "hashed")
+    weights = idf.fit(counts.select("_tf"))
+    vectors = unit.transform(weights.transform(counts))
+    vectors = vectors.withColumn(out, vector_to_array("_vec", "float32")).drop("_tf", "_idf", "_vec")
+    return PipelineModel([hashing, weights, unit]), vectors
 
 
 def embed(model: PipelineModel, df: DataFrame, text: str, out: str = "vec") -> DataFrame:

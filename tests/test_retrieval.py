@@ -157,3 +157,16 @@ def test_hybrid_filter_both(spark, sf):
     hits = retrieval.hybrid_search(docs, qset(spark, sf), index, model, filters={"region": "en"}, filter_both=True)
     langs = {r["region"] for r in hits.join(docs, "doc_id").select("region").distinct().collect()}
     assert langs == {"en"}
+
+
+def test_texts_are_hashed_once(spark, monkeypatch):
+    """`embedded` gives the model and vectors of `embedder` and `embed`, and splits each text once."""
+    docs = spark.createDataFrame([(1, "Grid down in Zone A", "x"), (2, "up", "y"), (2, "grid up", None), (None, "", "z")], "doc_id long, text string, region string")
+    model = retrieval.embedder(docs, "text", 32)
+    want = retrieval.embed(model, docs, "text").collect()
+    split = []
+    monkeypatch.setattr(retrieval, "tokens", lambda c, real=retrieval.tokens: split.append(c) or real(c))
+    again, vectors = retrieval.embedded(docs, "text", 32)
+    assert sorted(map(str, vectors.collect())) == sorted(map(str, want)) and vectors.columns == [*docs.columns, "vec"]
+    assert len(split) == 1
+    assert sorted(map(str, retrieval.embed(again, docs, "text").collect())) == sorted(map(str, want))
