@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import plain
+import pyarrow as pa
 import tables
 from busbar.llm import language_id, token_files
 from pyspark.sql import functions as F
@@ -67,3 +68,19 @@ def test_run_equals_its_plain_version(spark, tmp_path):
 def test_run_on_no_rows(spark, tmp_path):
     sf_dir = _parquet(spark, [], tmp_path)
     assert corpus_pipeline.run(spark, sf_dir).count() == 0
+
+
+def test_texts_reach_python_a_few_megabytes_at_a_time(spark, tmp_path):
+    sf_dir = _parquet(spark, tables.documents(), tmp_path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("0123456789abcdef"), 1 << 15).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, sf_dir)
+        got = long.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 40 and max(r.size for r in got) < 6 << 20, name
