@@ -10,6 +10,10 @@ memory instead of loading:
   once, twice, and three times or more
 - bigrams: sorted keys of both numbers and their counts, in shards by context
 
+Words are found, hashed and looked up for many texts together, each different
+word and each different pair of them once. Counts are shuffled as packed arrays,
+one for each shard and some million tokens, and added where a shard is written.
+
 A context with more than a thousandth of all tokens is spread over all shards,
 so no task holds a hot context. All statistics are sums over bigrams, so it does
 not matter where a context's bigrams are.
@@ -29,7 +33,7 @@ import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +42,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_path
-from .common import LOWER, SharedFolder, annotate, held_out, mix64, table, take_over, utf8
+from .common import LOWER, SPACES, SharedFolder, annotate, held_out, mix64, table, utf8
 
 #: Tokens that a task counts at a time.
 COUNTED = 4_000_000
 #: Texts that are taken apart together.
-SLICE = 400
+SLICE = 600
 #: Words in a shard and ids in a block of statistics are about 2 to this power; bigrams in a shard about so many tokens'.
-WORD_BITS, SHARD_TOKENS = 18, 4_000_000
+WORD_BITS, SHARD_TOKENS = 18, 2_000_000
 #: Contexts with more than 1/HOT_SHARE of all tokens are spread.
 HOT_SHARE = 1000
 CACHE_WORDS = 300_000
@@ -56,19 +60,63 @@ _COUNT = struct.Struct("<Q")
 _STATS = np.dtype([("contexts", "<i8"), ("total", "<i8"), ("n1", "<i8"), ("n2", "<i8"), ("n3", "<i8")])
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return [*(text or b"").translate(LOWER).split(), END]
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_BREAKS = bytes(b in SPACES for b in range(256))
+_END_HASH = xxhash.xxh3_64_intdigest(END)
+#: Fixed values of the xxh3 hash: what words of up to 3, 8 and 16 bytes are mixed with.
+_FLIP_3, _FLIP_8, _FLIP_LOW, _FLIP_HIGH = 0x87275A9B, 0xC73AB174C5ECD5A2, 0x6782737BEA4239B9, 0xAF56BC3B0996523A
+#: Words that are longer are hashed one by one.
+_SHORT = 16
+
+
+def _folded_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The upper half of each 128-bit product, xor its lower half."""
+    low = np.uint64(0xFFFFFFFF)
+    al, ah, bl, bh = a & low, a >> 32, b & low, b >> 32
+    cross = ah * bl
+    middle = (al * bl >> 32) + (cross & low) + al * bh
+    return (cross >> 32) + (middle >> 32) + ah * bh ^ a * b
+
+
+def hashes_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxh3 of the words raw[start:end], none of them empty; `raw` goes on for 8 bytes behind the last."""
+    sizes, out = ends - starts, np.empty(len(starts), np.uint64)
+    eight = np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, strides=(1,))  # the 8 bytes from every place on
+    k = np.flatnonzero(sizes <= 3)
+    n, x = sizes[k].astype(np.uint64), eight[starts[k]]
+    x = (x & 255) << 16 | (x >> (n >> 1) * 8 & 255) << 24 | x >> (n - 1) * 8 & 255 | n << 8
+    x ^= np.uint64(_FLIP_3)
+    x = (x ^ x >> 33) * 0xC2B2AE3D27D4EB4F
+    x = (x ^ x >> 29) * 0x165667B19E3779F9
+    out[k] = x ^ x >> 32
+    k = np.flatnonzero((sizes > 3) & (sizes <= 8))
+    x = ((eight[ends[k] - 4] & 0xFFFFFFFF) + (eight[starts[k]] << 32)) ^ _FLIP_8
+    x = (x ^ (x << 49 | x >> 15) ^ (x << 24 | x >> 40)) * 0x9FB21C651E98DF25
+    x = (x ^ (x >> 35) + sizes[k].astype(np.uint64)) * 0x9FB21C651E98DF25
+    out[k] = x ^ x >> 28
+    k = np.flatnonzero((sizes > 8) & (sizes <= _SHORT))
+    low, high = eight[starts[k]] ^ _FLIP_LOW, eight[ends[k] - 8] ^ _FLIP_HIGH
+    x = sizes[k].astype(np.uint64) + low.byteswap() + high + _folded_product(low, high)
+    x = (x ^ x >> 37) * 0x165667919E3779F9
+    out[k] = x ^ x >> 32
+    for k in np.flatnonzero(sizes > _SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return out
 
 
-_HASHES = _Hashes()
+def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, and the place of each text's first; the end of a text is a token."""
+    texts = [t or b"" for t in texts]
+    raw = b"\n".join([b"", *texts, b"       \n"]).translate(LOWER)
+    gap = np.frombuffer(raw.translate(_BREAKS), np.bool_)
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    words = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))  # up to the end of each text
+    ending = words + np.arange(len(texts))
+    out = np.empty(len(starts) + len(texts), np.uint64)
+    inside = np.ones(len(out), np.bool_)
+    inside[ending] = False
+    out[inside], out[ending] = hashes_of(raw, starts, ends), _END_HASH
+    return out, np.append(0, ending[:-1] + 1)
 
 
 def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,26 +128,37 @@ def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[edges], np.diff(np.append(edges, len(flat)))
 
 
+def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list[bytes | None]]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield utf8(batch.column(column).slice(lo, SLICE))
+
+
 def _word_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    take_over("kneser_ney", _HASHES.clear)
     held, n = [], 0
 
     def drain() -> pa.RecordBatch:
         words, counts = _counted(held)
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
-    for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            for text in utf8(batch.column(0).slice(lo, SLICE)):
-                tokens = tokens_of(text)
-                held.append(np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens)))
-                n += len(tokens)
-                if n > COUNTED:
-                    yield drain()
-                    n = 0
+    for texts in _texts(batches):
+        held.append(token_hashes(texts)[0])
+        n += len(held[-1])
+        if n > COUNTED:
+            yield drain()
+            n = 0
     if held:
         yield drain()
-    _HASHES.clear()  # the next stages have no use for it
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed: the lowest bytes of all of them, then the next, as small numbers have few."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
 def _columns_file(folder: SharedFolder, name: str, arrays: list[np.ndarray]) -> None:
@@ -153,6 +212,19 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
+def _packed_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """The same for a few rows with packed arrays."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names)):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _write_words(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = SharedFolder(uri)
@@ -164,6 +236,17 @@ def _write_words(uri: str):
     return run
 
 
+def _alike(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of some small numbers with the places where it stands, in ascending order."""
+    if len(numbers) and int(numbers.max()) < 1 << 15:
+        numbers = numbers.astype(np.int16)  # sorted by digits
+    order = np.argsort(numbers, kind="stable")
+    edges = np.flatnonzero(np.diff(numbers[order])) + 1
+    for own in np.split(order, edges):
+        if len(own):
+            yield int(numbers[own[0]]), own
+
+
 @dataclass
 class Words:
     """The stored words: number and count of each."""
@@ -181,17 +264,21 @@ class Words:
 
     def _of(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
-        shards = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        for s in np.unique(shards):
+        for s, own in _alike((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
             if self.sizes[s]:
-                own = np.flatnonzero(shards == s)
                 keys, _ = _columns(self.uri, f"words-{s}", "<u8", "<i8")
                 at = np.minimum(np.searchsorted(keys, hashes[own]), len(keys) - 1)
                 out[own] = np.where(keys[at] == hashes[own], at + self.offsets[s], -1)
         return out
 
+    def of_texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the different words in some texts, which of them each token is, and the place of each text's first token."""
+        hashes, first = token_hashes(texts)
+        different, which = np.unique(hashes, return_inverse=True)
+        return self._of(different), which, first
+
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        """Number of each token, -1 if training has no such word."""
+        """Number of each token of a list, -1 if training has no such word; for whole texts see `of_texts`."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -208,10 +295,9 @@ class Words:
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         out = np.zeros(len(numbers), np.int64)
-        shards = np.searchsorted(self.offsets, numbers, side="right") - 1
-        for s in np.unique(shards[numbers >= 0]):
-            own = np.flatnonzero((shards == s) & (numbers >= 0))
-            out[own] = _columns(self.uri, f"words-{s}", "<u8", "<i8")[1][numbers[own] - self.offsets[s]]
+        for s, own in _alike(np.where(numbers >= 0, np.searchsorted(self.offsets, numbers, side="right") - 1, -1)):
+            if s >= 0:
+                out[own] = _columns(self.uri, f"words-{s}", "<u8", "<i8")[1][numbers[own] - self.offsets[s]]
         return out
 
 
@@ -230,82 +316,107 @@ def count_words(texts: DataFrame, uri: str) -> tuple[Words, list[int]]:
     return Words(uri, bits, sizes, all_.n, WORD_BITS), hot
 
 
-def bigrams_of(words: Words, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each token and of the one before it; the first of a text follows the number after the last word's."""
-    flat = words.numbers(list(chain.from_iterable(docs)))
-    before = np.r_[words.size, flat[:-1]]
-    starts = np.cumsum([0, *(len(d) for d in docs[:-1])])
-    before[starts] = words.size
-    return before, flat
+def _shard(words: Words, hot: np.ndarray, bits: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Shard of each pair of numbers; `hot` is sorted."""
+    key = one.astype(np.uint64)
+    spread = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, one), len(hot) - 1)] == one)
+    key[spread] ^= mix64(two[spread], 5)
+    return (mix64(key, 6) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _shard(words: Words, hot: np.ndarray, bits: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    spread = np.isin(one, hot)
-    return (mix64(np.where(spread, mix64(two, 5) ^ one.view(np.uint64), one.view(np.uint64)), 6) >> np.uint64(64 - bits)).astype(np.int64)
+_BIGRAMS = "shard long, size long, bigrams binary, n binary"
 
 
 def _bigram_task(words: Words, hot: np.ndarray, bits: int):
+    """A row for each shard and some million tokens: the different bigrams, as distances, and how often each occurs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def drain() -> pa.RecordBatch:
             keys, counts = _counted(held)
-            shards = _shard(words, hot, bits, keys >> 32, keys & 0xFFFFFFFF)
-            return pa.RecordBatch.from_arrays([pa.array(shards), pa.array(keys), pa.array(counts.astype(np.int64))], ["shard", "bigram", "n"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                before, flat = bigrams_of(words, [tokens_of(t) for t in utf8(batch.column(0).slice(lo, SLICE))])
-                held.append(before << 32 | flat)
-                n += len(flat)
-                if n > COUNTED:
-                    yield drain()
-                    n = 0
+            rows = []
+            for shard, own in _alike(_shard(words, hot, bits, keys >> 32, keys & 0xFFFFFFFF)):
+                rows.append((shard, len(own), _packed(np.diff(keys[own], prepend=0)), _packed(counts[own])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "size", "bigrams", "n"])
+
+        for texts in _texts(batches):
+            numbers, which, first = words.of_texts(texts)
+            flat = numbers[which]
+            before = np.append(words.size, flat[:-1])  # the first token of a text follows the number after the last word's
+            before[first] = words.size
+            held.append(before << 32 | flat)
+            n += len(flat)
+            if n > COUNTED:
+                yield drain()
+                n = 0
         if held:
             yield drain()
 
     return run
 
 
-_PARTS = "kind string, id long, contexts long, total long, n1 long, n2 long, n3 long, n4 long"
+_PARTS = "shard long, total long, n1 long, n2 long, n3 long, n4 long, block long, size long, stats binary"
+_SEEN = ("n1", "n2", "n3", "n4", "more")
 
 
-def _write_bigrams(uri: str):
-    names = ["kind", "id", "contexts", "total", "n1", "n2", "n3", "n4"]
+def _write_bigrams(uri: str, bits: int):
+    """Writes a file for each shard; a row for the file, and one for each block of words with sums over the file's bigrams."""
+    names = [part.split()[0] for part in _PARTS.split(", ")]
 
-    def rows_of(kind: str, **columns) -> pa.RecordBatch:
-        n = len(columns["id"])
-        none = np.zeros(n, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *(pa.array(columns.get(c, none)) for c in names[1:])], names)
+    def row(**values) -> pa.RecordBatch:
+        kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([values.get(c)], k) for c, k in zip(names, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = SharedFolder(uri)
-        for rows in _groups(batches, ["shard", "bigram", "n"]):
-            shard, keys, n = int(rows["shard"][0]), rows["bigram"], rows["n"]
+        for rows in _packed_groups(batches, ["shard", "size", "bigrams", "n"]):
+            shard = rows[0][0]
+            keys = np.concatenate([np.cumsum(_unpacked(data, size)) for _, size, data, _ in rows])
+            n = np.concatenate([_unpacked(data, size) for _, size, _, data in rows])
+            del rows
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            del order
+            edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, n = keys[edges], np.add.reduceat(n, edges)
             _columns_file(folder, f"bigrams-{shard}", [keys, n])
-            # Only tokens of the file's own row count: its number of bigrams, and of those seen one to four times.
-            yield rows_of("file", id=np.array([shard]), total=np.array([len(keys)]), **{f"n{k}": np.array([(n == k).sum()]) for k in (1, 2, 3, 4)})
+            # The file's number of bigrams, and of those seen one to four times.
+            yield row(shard=shard, total=len(keys), **{f"n{k}": int((n == k).sum()) for k in (1, 2, 3, 4)})
             one = keys >> 32
-            edges = np.r_[0, np.flatnonzero(np.diff(one)) + 1]
-            sums = {c: np.add.reduceat(x.astype(np.int64), edges) for c, x in (("total", n), ("n1", n == 1), ("n2", n == 2), ("n3", n >= 3))}
-            yield rows_of("word", id=one[edges], **sums)
+            edges = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
             two, contexts = np.unique(keys & 0xFFFFFFFF, return_counts=True)
-            yield rows_of("word", id=two, contexts=contexts.astype(np.int64))
+            ids = np.union1d(one[edges], two)
+            stats = np.zeros((len(_STATS.names), len(ids)), np.int64)
+            stats[0, np.searchsorted(ids, two)] = contexts
+            at = np.searchsorted(ids, one[edges])
+            for k, x in enumerate((n, n == 1, n == 2, n >= 3), 1):
+                stats[k, at] = np.add.reduceat(x.astype(np.int64), edges)
+            bounds = np.append(np.flatnonzero(np.append(True, ids[1:] >> bits != ids[:-1] >> bits)), len(ids))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                block = int(ids[lo]) >> bits
+                packed = _packed(np.concatenate([np.diff(ids[lo:hi], prepend=block << bits), stats[:, lo:hi].ravel()]))
+                yield row(block=block, size=hi - lo, stats=packed)
 
     return run
 
 
 def _write_stats(uri: str, bits: int):
+    """Adds up what the files say of each block; a row with the number of its words with one to four contexts, and three or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = SharedFolder(uri)
-        for rows in _groups(batches, ["block", "id", *_STATS.names]):
-            block = int(rows["block"][0])
-            stats = np.zeros(1 << bits, _STATS)
-            at = rows["id"] - (block << bits)
-            for c in _STATS.names:
-                stats[c][at] = rows[c]
+        for rows in _packed_groups(batches, ["block", "size", "stats"]):
+            block, stats = rows[0][0], np.zeros(1 << bits, _STATS)
+            for _, size, data in rows:
+                ids, *sums = _unpacked(data, size * (1 + len(_STATS.names))).reshape(-1, size)
+                ids = np.cumsum(ids)  # each once in a row
+                for c, values in zip(_STATS.names, sums):
+                    stats[c][ids] += values
             _columns_file(folder, f"stats-{block}", [stats.view(np.uint8)])
-            yield pa.RecordBatch.from_arrays([pa.array([block])], ["block"])
+            k = stats["contexts"]
+            seen = [(k == 1).sum(), (k == 2).sum(), (k == 3).sum(), (k == 4).sum(), (k >= 3).sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (block, *seen)], ["block", *_SEEN])
 
     return run
 
@@ -334,10 +445,8 @@ class Model:
 
     def _stats(self, numbers: np.ndarray) -> np.ndarray:
         out, bits = np.zeros(len(numbers), _STATS), self.words.block_bits
-        blocks = numbers >> bits
-        for b in np.unique(blocks[numbers >= 0]):
-            if int(b) in self.blocks:
-                own = np.flatnonzero(blocks == b)
+        for b, own in _alike(np.where(numbers >= 0, numbers >> bits, -1)):
+            if b in self.blocks:
                 stored = _mapped(self.words.uri, f"stats-{b}")[_COUNT.size :].view(_STATS)
                 out[own] = stored[numbers[own] - (b << bits)]
         return out
@@ -345,34 +454,32 @@ class Model:
     def _bigram_counts(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         out = np.zeros(len(one), np.int64)
         known = np.flatnonzero((one >= 0) & (two >= 0))
-        keys, back = np.unique(one[known] << 32 | two[known], return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        shards = _shard(self.words, self.hot, self.bits, keys >> 32, keys & 0xFFFFFFFF)
-        order = np.argsort(shards, kind="stable")  # within a shard the keys stay sorted, so a search walks forwards
-        edges = np.r_[0, np.flatnonzero(np.diff(shards[order])) + 1, len(order)]
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            if hi > lo and int(shards[order[lo]]) in self.shards:
-                own = order[lo:hi]
-                stored, n = _columns(self.words.uri, f"bigrams-{shards[own[0]]}", "<i8", "<i8")
+        one, two = one[known], two[known]
+        keys = one << 32 | two
+        for s, own in _alike(_shard(self.words, self.hot, self.bits, one, two)):
+            if s in self.shards:
+                stored, n = _columns(self.words.uri, f"bigrams-{s}", "<i8", "<i8")
                 at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
-                counts[own] = np.where(stored[at] == keys[own], n[at], 0)
-        out[known] = counts[back]
+                out[known[own]] = np.where(stored[at] == keys[own], n[at], 0)
         return out
 
     def log10(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Log probability of each token `two` after `one`."""
-        v = self.words.size
-        own = self._stats(two)
+        ids, which = np.unique(np.concatenate([one, two]), return_inverse=True)
+        return self.log10_of(ids, which[: len(one)], which[len(one) :])
+
+    def log10_of(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The same for places in a list of words, each of which is looked up once, and so is each different pair of places."""
+        v, own, d = self.words.size, self._stats(ids), self.bigram_discounts
         contexts = own["contexts"]
-        lower = (np.maximum(contexts - self.word_discounts[np.minimum(contexts, 3)], 0) + self.word_rest / (v + 1)) / self.bigrams if self.bigrams else np.full(len(two), 1 / (v + 1))
-        # What stands before a token mostly is the token before it, whose statistics are there.
-        head = np.roll(own, 1)
-        other = np.flatnonzero(one != np.roll(two, 1))
-        head[other] = self._stats(one[other])
-        c, d = self._bigram_counts(one, two), self.bigram_discounts
-        rest = d[1] * head["n1"] + d[2] * head["n2"] + d[3] * head["n3"]
-        total = np.maximum(head["total"], 1)
-        return np.log10(np.where(head["total"] > 0, (np.maximum(c - d[np.minimum(c, 3)], 0) + rest * lower) / total, lower))
+        lower = (np.maximum(contexts - self.word_discounts[np.minimum(contexts, 3)], 0) + self.word_rest / (v + 1)) / self.bigrams if self.bigrams else np.full(len(ids), 1 / (v + 1))
+        rest = d[1] * own["n1"] + d[2] * own["n2"] + d[3] * own["n3"]
+        total = own["total"]
+        pairs, which = np.unique(one * len(ids) + two, return_inverse=True)
+        one, two = np.divmod(pairs, len(ids))  # in ascending order, so that a search walks forwards
+        c, lower, total = self._bigram_counts(ids[one], ids[two]), lower[two], total[one]
+        higher = (np.maximum(c - d[np.minimum(c, 3)], 0) + rest[one] * lower) / np.maximum(total, 1)
+        return np.log10(np.where(total > 0, higher, lower))[which]
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
@@ -382,22 +489,20 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
     words, hot_hashes = count_words(texts, uri)
     if words.size >= 1 << 31:
         raise ValueError("more than 2**31 distinct words; numbers of two of them do not fit a key")
-    hot = np.r_[words._of(np.array(hot_hashes, np.int64).view(np.uint64)), words.size] if hot_hashes else np.array([words.size])
+    hot = np.append(np.sort(words._of(np.array(hot_hashes, np.int64).view(np.uint64))), words.size)
     bits = max(1, (words.tokens // SHARD_TOKENS).bit_length())
-    counts = texts.mapInArrow(_bigram_task(words, hot, bits), "shard long, bigram long, n long").repartition("shard")
-    summed = counts.groupBy("shard", "bigram").agg(F.sum("n").alias("n")).sortWithinPartitions("shard", "bigram")
-    parts = materialize(summed.mapInArrow(_write_bigrams(uri), _PARTS), "bigram-parts")
-    files = parts.filter("kind = 'file'").select("id", "total", "n1", "n2", "n3", "n4").collect()  # a row for each file
-    stats = parts.filter("kind = 'word'").groupBy("id").agg(*(F.sum(c).alias(c) for c in _STATS.names))
-    stats = materialize(stats.withColumn("block", F.shiftright("id", WORD_BITS)), "word-stats")
-    placed = stats.repartition("block").sortWithinPartitions("block", "id").select("block", "id", *_STATS.names)
-    blocks = {r.block for r in materialize(placed.mapInArrow(_write_stats(uri, WORD_BITS), "block long"), "stat-files").collect()}
-    seen = stats.agg(*(F.count(F.when(F.col("contexts") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count(F.when(F.col("contexts") >= 3, 1)).alias("more")).first()
-    d = discounts([seen.n1, seen.n2, seen.n3, seen.n4])
+    counts = texts.mapInArrow(_bigram_task(words, hot, bits), _BIGRAMS).repartition("shard").sortWithinPartitions("shard")
+    parts = materialize(counts.mapInArrow(_write_bigrams(uri, WORD_BITS), _PARTS), "bigram-parts")
+    files = parts.filter("shard IS NOT NULL").select("shard", "total", "n1", "n2", "n3", "n4").collect()  # a row for each file
+    placed = parts.filter("block IS NOT NULL").select("block", "size", "stats").repartition("block").sortWithinPartitions("block")
+    blocks = materialize(placed.mapInArrow(_write_stats(uri, WORD_BITS), ", ".join(f"{c} long" for c in ("block", *_SEEN))), "stat-files")
+    blocks = blocks.collect()  # a row for each block
+    n1, n2, n3, n4, more = (sum(r[c] for r in blocks) for c in _SEEN)
+    d = discounts([n1, n2, n3, n4])
     return Model(
-        words, {r.id for r in files}, bits, hot, blocks,
+        words, {r.shard for r in files}, bits, hot, {r.block for r in blocks},
         discounts([sum(r[f"n{k}"] for r in files) for k in (1, 2, 3, 4)]), d,
-        sum(r.total for r in files), float(d[1] * seen.n1 + d[2] * seen.n2 + d[3] * seen.more),
+        sum(r.total for r in files), float(d[1] * n1 + d[2] * n2 + d[3] * more),
     )
 
 
@@ -414,19 +519,19 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def make():
         model = shared.value
         words = model.words
-        take_over("kneser_ney", words.known.clear)
         floor = np.log10(words.tokens + words.size + 1)
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for lo in range(0, batch.num_rows, SLICE):
-                docs = [tokens_of(t) for t in utf8(batch.column(text).slice(lo, SLICE))]
-                one, two = bigrams_of(words, docs)
-                starts = np.cumsum([0, *(len(d) for d in docs[:-1])])
-                base = np.log10(words.counts(two) + 1) - floor
-                for column, values in zip(columns[1:], (two >= 0, base, model.log10(one, two))):
-                    column.append(np.add.reduceat(values.astype(np.float64), starts))
-                columns[0].append(np.array([len(d) for d in docs]))
+            for texts in _texts([batch], batch.schema.get_field_index(text)):
+                numbers, two, first = words.of_texts(texts)
+                one = np.append(0, two[:-1])
+                one[first] = len(numbers)  # what stands before a text
+                base = np.log10(words.counts(numbers) + 1) - floor
+                found = model.log10_of(np.append(numbers, words.size), one, two)
+                columns[0].append(np.diff(first, append=len(two)))
+                for column, values in zip(columns[1:], ((numbers >= 0)[two], base[two], found)):
+                    column.append(np.add.reduceat(values.astype(np.float64), first))
             n, known, base, found = (np.concatenate(c) for c in columns)
             return [pa.array(n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), words.tokens)), pa.array(base), pa.array(found)]
 

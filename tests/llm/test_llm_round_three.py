@@ -297,3 +297,56 @@ def test_numbers_of_words(monkeypatch):
     assert words.numbers([b"a", b"x", b"b", b"a", b"x"]).tolist() == [0, -1, 3, 0, -1]
     assert words.numbers([b"x", b"b"]).tolist() == [-1, 3] and words.numbers([]).tolist() == []
     assert len(seen) == 3 and seen == sorted(seen)  # each word once, in the order of the stored ones
+
+
+# --- 8 what a slice of texts costs ----------------------------------------------------------------
+
+
+def test_words_are_hashed_together_as_the_library_does():
+    rng = np.random.default_rng(3)
+    texts = [None, b"", b" \n", b"a", b"A b\tc\x0b\x0cd\r\n", *(b"Q" * n for n in range(1, 40)), b"  " + b"w" * 300 + b" "]
+    texts += [bytes(rng.choice(list(b"abcXYZ \n\xc3\xa9\x00\x1f\xff0"), rng.integers(0, 200)).tolist()) for _ in range(100)]
+    want, first = [], []
+    for text in texts:
+        first.append(len(want))
+        want += [kneser_ney.xxhash.xxh3_64_intdigest(w) for w in [*(text or b"").lower().split(), b""]]
+    hashes, starts = kneser_ney.token_hashes(texts)
+    assert hashes.tolist() == want and starts.tolist() == first
+
+
+def test_counts_leave_a_task_packed(monkeypatch):
+    texts = [" ".join(f"w{k * j % 211}" for k in range(300)) for j in range(1, 20)] + [None, ""]
+    names = sorted({h for t in texts for h in kneser_ney.token_hashes([(t or "").encode()])[0].tolist()})
+    words = kneser_ney.Words("none", 1, np.array([len(names), 0]), 5000, 18)
+    monkeypatch.setattr(words, "_of", lambda hashes: np.searchsorted(np.array(names, np.uint64), hashes))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    out = list(kneser_ney._bigram_task(words, np.array([3, words.size]), 2)(iter([batch])))
+    assert sum(b.num_rows for b in out) <= 4  # a row for each shard, not for each bigram
+    got = Counter()
+    for row in (r for b in out for r in b.to_pylist()):
+        keys = np.cumsum(kneser_ney._unpacked(row["bigrams"], row["size"]))
+        assert set(kneser_ney._shard(words, np.array([3, words.size]), 2, keys >> 32, keys & 0xFFFFFFFF).tolist()) == {row["shard"]}
+        got.update(dict(zip(keys.tolist(), kneser_ney._unpacked(row["n"], row["size"]).tolist())))
+    want = Counter()
+    for t in texts:
+        numbers = [names.index(h) for h in kneser_ney.token_hashes([(t or "").encode()])[0].tolist()]
+        want.update(a << 32 | b for a, b in zip([words.size, *numbers], numbers))
+    assert got == want
+
+
+def test_each_pair_of_words_is_looked_up_once():
+    asked = []
+
+    class Fake(kneser_ney.Model):
+        def _stats(self, numbers):
+            return np.ones(len(numbers), kneser_ney._STATS)
+
+        def _bigram_counts(self, one, two):
+            asked.extend(zip(one.tolist(), two.tolist()))
+            return (one + two) % 3
+
+    words = kneser_ney.Words("none", 1, np.array([5, 2]), 40, 18)
+    model = Fake(words, set(), 1, np.array([7]), set(), np.array([0, 0.5, 1, 1.5]), np.array([0, 0.5, 1, 1.5]), 30, 4.0)
+    one, two = np.array([7, 1, 2, 1, 2, 7]), np.array([1, 2, 1, 2, 1, 1])
+    got = model.log10(one, two)
+    assert sorted(asked) == [(1, 2), (2, 1), (7, 1)] and got[0] == got[5] and got[1] == got[3] and got[2] == got[4]
